@@ -32,12 +32,13 @@ def shingles_of(words: str) -> Column:
 
 
 def with_shingles(df: DataFrame, *keep: str) -> DataFrame:
+    """Explode ``shingles`` by explode_outer: a filter on them would be pushed below the split and split anew for each word."""
     return df.select(*keep, words_of(F.col("text")).alias("words")).select(*keep, shingles_of("words").alias("shingles"))
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """item_id, shingles, n_item, size_class, least (hits a match must have), sketch."""
-    known = with_shingles(items.filter("item_id IS NOT NULL"), "item_id").select("item_id", F.array_sort(F.array_distinct("shingles")).alias("shingles")).filter(F.size("shingles") > 0)
+    known = cut(with_shingles(items.filter("item_id IS NOT NULL"), "item_id")).select("item_id", F.array_sort(F.array_distinct("shingles")).alias("shingles")).filter(F.size("shingles") > 0)
     n = F.size("shingles")
     sized = known.withColumns({"n_item": n.cast("long"), "size_class": F.floor(F.log2(n)).cast("int")})
     largest = F.least(F.pow(F.lit(2), F.col("size_class") + 1).cast("int") - 1, F.lit(1 << 30))
@@ -57,12 +58,12 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     probes = few(items.select("item_id", "least", F.explode("sketch").alias("h")))
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    probed = with_shingles(keyed, "doc_id", "t").select("doc_id", "t", F.explode("shingles").alias("h"))
+    probed = with_shingles(keyed, "doc_id", "t").select("doc_id", "t", F.explode_outer("shingles").alias("h")).filter("h IS NOT NULL")
     hits = probed.join(probes, "h").groupBy("doc_id", "t", "item_id").agg(F.countDistinct("h").alias("hits"), F.first("least").alias("least"))
     candidates = cut(hits.filter("hits >= least").select("doc_id", "t", "item_id"))
     # only candidates are shingled again
     wanted = candidates.groupBy("doc_id", "t").agg(F.collect_set("item_id").alias("items"))
-    again = with_shingles(keyed.join(wanted, ["doc_id", "t"]), "doc_id", "t", "items").select("doc_id", "t", "items", F.explode(F.array_distinct("shingles")).alias("h"))
+    again = with_shingles(keyed.join(wanted, ["doc_id", "t"]), "doc_id", "t", "items").select("doc_id", "t", "items", F.explode_outer(F.array_distinct("shingles")).alias("h")).filter("h IS NOT NULL")
     exact = again.join(few(items.select("item_id", "n_item", F.explode("shingles").alias("h"))), "h").filter(F.array_contains("items", F.col("item_id")))
     shared = exact.groupBy("doc_id", "t", "item_id").agg(F.countDistinct("h").alias("n_shared"), F.first("n_item").alias("n_item"))
     return shared.filter(F.col("n_shared") >= F.col("n_item") * threshold - 1e-9).groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.first("n_item").alias("n_item")).withColumn("containment", F.col("n_shared") / F.col("n_item"))

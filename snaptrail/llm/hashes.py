@@ -61,7 +61,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(h: np.ndarray, n: int, base: np.uint64 = FIRST) -> np.ndarray:
     """Hashes of all runs of n words (the last n-1 places give none)."""
-    out, have, power = None, 0, base
+    out, have, power = None, 0, int(base)
     part, size = h, 1
     while True:
         if n & size:
@@ -77,8 +77,8 @@ def runs(h: np.ndarray, n: int, base: np.uint64 = FIRST) -> np.ndarray:
             return mix(out)
         if len(part) <= size:
             return np.zeros(0, np.uint64)
-        part = part[:-size] + power * part[size:]
-        power, size = power * power, size * 2
+        part = part[:-size] + np.uint64(power) * part[size:]
+        power, size = power * power % (1 << 64), size * 2
 
 
 def of_texts(sizes: np.ndarray, n: int) -> np.ndarray:

@@ -47,7 +47,7 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = 1, lg_k: int = LG_K) -> DataFrame:
     """docs with boilerplate lines cut out of ``text``, and ``n_lines``, ``n_removed``."""
     line = trimmed(F.col("line"))
-    exploded = docs.select("text", F.col(site).cast("string").alias("site"), F.explode(F.split("text", "\n")).alias("line")).select(
+    exploded = docs.select("text", F.col(site).cast("string").alias("site"), F.explode_outer(F.split("text", "\n")).alias("line")).select(
         F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "site", line.alias("line")
     )
     lines = exploded.filter(F.length("line") >= max(1, min_chars)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaptrail.llm import chat, contamination, html_text, language, lines, media, packing, toxicity
+from snaptrail.llm import chat, contamination, html_text, language, lines, media, near_dups, packing, toxicity
 from snaptrail.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -87,9 +91,8 @@ FROM e GROUP BY conv_id
 
 
 SHINGLES_SQL = r"""
-  SELECT DISTINCT {id}, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s
-  FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS i
-        FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) >= 5)
+  SELECT DISTINCT {id}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) >= 5
 """
 OP6_SQL = f"""
 WITH d AS ({SHINGLES_SQL.format(id="doc_id", table="documents")}), b AS ({SHINGLES_SQL.format(id="item_id", table="benchmark")}),
@@ -97,6 +100,19 @@ n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)
 """
+OP7_SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT coalesce(text, '') AS text, min(doc_id) AS node FROM documents GROUP BY 1),
+w AS (SELECT node, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT node, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT node, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+bag AS MATERIALIZED (SELECT node, s, count(*) AS c FROM s GROUP BY node, s),
+size AS (SELECT node, sum(c) AS n FROM bag GROUP BY node),
+pair AS (SELECT x.node AS a, y.node AS b, sum(least(x.c, y.c)) AS n FROM bag x JOIN bag y ON x.s = y.s AND x.node <> y.node GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM pair JOIN size p ON p.node = a JOIN size q ON q.node = b WHERE pair.n >= 0.8 * (p.n + q.n - pair.n)),
+reach AS (SELECT node AS a, node AS b FROM t UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+class AS (SELECT a AS node, min(b) AS class_id FROM reach GROUP BY a),
+d AS (SELECT doc_id, class_id FROM documents JOIN t ON coalesce(documents.text, '') = t.text JOIN class USING (node))
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM d
+"""
 OP8_SQL = """
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS line0 FROM l),
@@ -108,7 +124,7 @@ FROM t GROUP BY doc_id
 
 
 QUERIES = (
-    op1_media_columns, op2_composite_text_density, op3_best_fit_packing, op4_string_kernel_language, op5_chat_formatting, op6_benchmark_containment, op8_line_spread, op9_toxicity,
+    op1_media_columns, op2_composite_text_density, op3_best_fit_packing, op4_string_kernel_language, op5_chat_formatting, op6_benchmark_containment, op7_bag_minhash, op8_line_spread, op9_toxicity,
 )
 
 
@@ -117,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL, "op6_benchmark_containment": OP6_SQL, "op8_line_spread": OP8_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op6_benchmark_containment": OP6_SQL, "op7_bag_minhash": OP7_SQL, "op8_line_spread": OP8_SQL}
