@@ -1,15 +1,64 @@
-"""A corpus pipeline: toxicity, line dedup, near dedup, decontamination, packing."""
+"""A corpus pipeline over ``documents``: toxic documents go, boilerplate lines go, one document of each group of near copies
+stays, documents that hold a benchmark item go, and what is left is packed into token sequences.
+
+Each stage takes (spark, docs, sf_dir), works on every row it is given, and returns the columns of documents (the last one:
+pieces and their places). Null texts, empty texts, repeated rows and empty tables pass as the operators define it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from snaptrail.llm import contamination, lines, near_dups, packing, toxicity
+from snaptrail.llm.common import cut, table
+from snaptrail.llm.queries import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold."""
+    network = toxicity.learn(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.score(docs, network, COLUMNS).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that many sources carry; ``n_chars`` follows the text."""
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near duplicates."""
+    found = near_dups.near_duplicates(docs)
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = contamination.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", cut_boilerplate),
+    ("near dedup", keep_one_of_each),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+#: The first stage is a trained network, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaptrail.llm import chat, contamination, html_text, language, lines, media, near_dups, packing, toxicity
+from snaptrail.llm import chat, contamination, html_text, language, lines, media, near_dups, packing, substrings, toxicity
 from snaptrail.llm.common import table
 
 
@@ -73,6 +73,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op10_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 OP5_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -90,6 +95,15 @@ FROM e GROUP BY conv_id
 """
 
 
+OP10_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: hash(array_to_string(w[i:i + 19], ' ')))) AS h FROM t WHERE len(w) >= 20),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM t),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
+"""
 SHINGLES_SQL = r"""
   SELECT DISTINCT {id}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
   FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) >= 5
@@ -124,7 +138,7 @@ FROM t GROUP BY doc_id
 
 
 QUERIES = (
-    op1_media_columns, op2_composite_text_density, op3_best_fit_packing, op4_string_kernel_language, op5_chat_formatting, op6_benchmark_containment, op7_bag_minhash, op8_line_spread, op9_toxicity,
+    op1_media_columns, op2_composite_text_density, op3_best_fit_packing, op4_string_kernel_language, op5_chat_formatting, op6_benchmark_containment, op7_bag_minhash, op8_line_spread, op9_toxicity, op10_count_min_substrings,
 )
 
 
@@ -133,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL, "op6_benchmark_containment": OP6_SQL, "op7_bag_minhash": OP7_SQL, "op8_line_spread": OP8_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op6_benchmark_containment": OP6_SQL, "op7_bag_minhash": OP7_SQL, "op8_line_spread": OP8_SQL, "op10_count_min_substrings": OP10_SQL}

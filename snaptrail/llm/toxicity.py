@@ -378,13 +378,15 @@ def score(docs: DataFrame, network: Network | None, keep: list[str]) -> DataFram
     from pyspark.sql.types import StructType
 
     kept = docs.select(*keep)
-    schema = StructType([*kept.schema.fields, *StructType.fromDDL("score double").fields])
+    schema = StructType(kept.schema.fields + StructType.fromDDL("score double").fields)
+    columns = [*keep] if "text" in keep else [*keep, "text"]
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network) if network is not None else None
         for batch in batches:
-            for part in parts_of(batch, len(keep), TEXT_BYTES):
-                values = scorer.scores(part.column(len(keep))) if scorer is not None else np.zeros(part.num_rows)
+            for part in parts_of(batch, at, TEXT_BYTES):
+                values = scorer.scores(part.column(at)) if scorer is not None else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(values, pa.float64())], [*keep, "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
