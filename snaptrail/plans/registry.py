@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snaptrail.plans import history_queries, log_queries
+from snaptrail.plans import file_queries, history_queries, log_queries
 
-ALL = {**history_queries.QUERIES, **log_queries.QUERIES}
+ALL = {**history_queries.QUERIES, **log_queries.QUERIES, **file_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
