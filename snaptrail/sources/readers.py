@@ -38,7 +38,8 @@ def read_csv_strict(spark: SparkSession, paths: str | list[str], columns: list[s
     is_expected = F.array(*[F.col(f"head.{n}") for n in names]) == F.array(*[F.lit(e) for e in expected])
     heads = heads.select("file", F.col("head.pos").alias("head_pos"), (F.coalesce(is_expected, F.lit(False)) & ~F.coalesce("head.ragged", F.lit(True))).alias("ok"))
     body = filled.join(F.broadcast(heads), "file").filter("ok AND pos > head_pos")
-    ragged = body.filter("ragged").groupBy("file").agg(F.concat(F.lit("RAGGED_ROWS:"), F.count("*")).alias("problem"))
+    # Spark reads the broken-row column only together with another one
+    ragged = body.filter(F.col("ragged") & (F.length(F.concat_ws("", *names)) >= 0)).groupBy("file").agg(F.concat(F.lit("RAGGED_ROWS:"), F.count("*")).alias("problem"))
     problems = heads.filter("NOT ok").select("file", F.lit("HEADER_MISMATCH").alias("problem")).unionByName(ragged)
     return body.filter("NOT ragged").select(*[nfc(F.col(n)).alias(c) for n, c in zip(names, columns, strict=True)]), problems
 
