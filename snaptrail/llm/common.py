@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: rows of a table that may be sent to every executor
+BROADCAST_ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table; only Spark opens the path."""
@@ -36,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A hint to send a table to the executors, given only if it has few rows (it is counted)."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def words_of(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; null text has none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -18,11 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptrail.llm.common import cut, words_of
+from snaptrail.llm.common import cut, few, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BROADCAST_ROWS = 1_000_000
 
 
 def shingles_of(words: str) -> Column:
@@ -47,11 +46,6 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sized.withColumn("sketch", F.slice("shingles", 1, k)).withColumn("least", F.size("sketch") - missing)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """A hint to send a table to the executors, given only if it has few rows (it is counted)."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every pair at or above the threshold."""
     items = cut(sketches(items, threshold))
