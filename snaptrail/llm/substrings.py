@@ -5,11 +5,12 @@ comes first. It counts anchors: of the runs of ``GRAM`` words in a window, the o
 place where it stands. Windows with equal words have equal anchors, so an anchor's count is at least that of each of its
 windows, and far fewer anchors than windows exist. Partitions sketch their own anchors; sketches merge by summing cells
 block by block; cells saturate at two. A second pass takes every window whose anchor is estimated to repeat, and only
-those are grouped exactly (by 128 bits of hash): all but the earliest of a group are repeats. The sketch never
+those are grouped exactly (by 95 bits of hash): all but the earliest of a group are repeats. The sketch never
 underestimates, so no repeated window is lost. Its size follows the input up to a fixed bound; past the bound more windows
 pass to the exact step and the result stays the same.
 
-Copies of a window inside one batch are reduced to the earliest before the shuffle, so a window that fills a third of the
+Texts equal to the text of a smaller id hold nothing new: they go whole, and their windows are neither sketched nor
+grouped. Copies of a window inside one batch are reduced to the earliest before the shuffle, so a window that fills a third of the
 corpus brings one row a batch.
 
 Defined results: null text has no words; texts shorter than a window are never cut; a null id sorts before all others;
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaptrail.llm import hashes
-from snaptrail.llm.common import parts_of
+from snaptrail.llm.common import cut, few, parts_of
 
 WINDOW, GRAM = 20, 8
 MAX_CELLS = 1 << 27
@@ -135,7 +136,6 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells:
                 if not len(start):
                     continue
                 k = hashes.runs(h, window)[start].view(np.int64)
-                # one number for the second hash's upper half and the place in the text
                 second = hashes.runs(h, window, hashes.SECOND)[start]
                 text = np.repeat(np.arange(len(sizes)), sizes)[start]
                 at = start - (np.cumsum(sizes) - sizes)[text]
@@ -153,17 +153,24 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells:
                 # repeats are spread evenly: they need no group
                 spread = hashes.mix(k.view(np.uint64) + np.arange(len(k), dtype=np.uint64) + hashes.FIRST * (doc.view(np.uint64) + np.uint64(1))).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(known, spread, k)), pa.array((second >> np.uint64(1)).view(np.int64)), pa.array(known), pa.array(doc), pa.array(variant), pa.array(at.astype(np.int32))],
+                    [pa.array(np.where(known, spread, k)), pa.array(np.where(known, 0, second >> np.uint64(33)).astype(np.int32)), pa.array(known), pa.array(doc), pa.array(variant), pa.array(at.astype(np.int32))],
                     ["k1", "k2", "known", "doc_id", "variant", "at"],
                 )
 
-    found = docs.select("doc_id", "variant", "text").mapInArrow(candidates, "k1 long, k2 long, known boolean, doc_id long, variant long, at int")
+    found = docs.select("doc_id", "variant", "text").mapInArrow(candidates, "k1 long, k2 int, known boolean, doc_id long, variant long, at int")
     # equal windows meet, at most one a part; rank 1 is the earliest (and the same place of a repeated row)
     order = Window.partitionBy("k1", "k2", "known").orderBy("doc_id", "at")
     later = found.withColumn("rank", F.rank().over(order)).filter(F.col("known") | (F.col("rank") > 1))
     return later.groupBy("doc_id", "variant").agg(F.collect_list("at").alias("starts"))
 
 
+def later_copies(keyed: DataFrame) -> DataFrame:
+    """(doc_id, variant) of the texts that equal the text of a smaller id."""
+    hashed = keyed.filter("text IS NOT NULL").select("doc_id", "variant", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
+    firsts = hashed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return cut(hashed.join(firsts, ["t1", "t2"]).filter("doc_id > first_id").select("doc_id", "variant").distinct())
+
+
 def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = MAX_CELLS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_removed, kept (words left, joined by one space)."""
     none = -(1 << 63)
@@ -171,16 +178,20 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cel
     # only where an id has several rows is the text needed to tell them apart
     twins = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     keyed = docs.select("doc_id", (F.xxhash64("text") if twins else F.lit(0).cast("long")).alias("variant"), "text")
-    found = repeats(keyed, window, gram, max_cells)
+    later = later_copies(keyed)
+    found = repeats(keyed.join(few(later), ["doc_id", "variant"], "left_anti"), window, gram, max_cells).withColumn("whole", F.lit(False))
+    found = found.unionByName(later.select("*", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts_of(batch, 1, TEXT_BYTES):
                 n_words, n_removed, kept = [], [], []
-                for text, starts in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+                for text, starts, whole in zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), strict=True):
                     words = [w for w in SEPARATORS.split(text or "") if w]
                     n_words.append(len(words))
-                    if starts.is_valid:
+                    if whole and len(words) >= window:
+                        words = []
+                    elif starts.is_valid:
                         change = np.zeros(len(words) + 1, np.int64)
                         at = np.unique(starts.values.to_numpy())
                         change[at] += 1
@@ -191,5 +202,5 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cel
                     kept.append(" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    done = keyed.join(found, ["doc_id", "variant"], "left").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    done = keyed.join(found, ["doc_id", "variant"], "left").select("doc_id", "text", "starts", "whole").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(none)))
