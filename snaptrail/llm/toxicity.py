@@ -1,10 +1,11 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-Inputs of a word are two: the embedding of the word, if training met it often enough, and the mean embedding of its
-character trigrams (hashed, word ends marked), so new inflections and spellings are seen as well. Two gated recurrent
-layers, one a direction, read windows of ``WINDOW`` words; attention pools their states to one logit. A text's score is
-that of its highest window; windows start every ``STRIDE`` words, fewer than they are long, so they overlap, and all
-windows of a text are scored. The network is trained here, in numpy.
+Inputs of a word are the embedding of the word, if training met it often enough, and two character inputs: the mean
+embedding of its trigrams and that of its first 3, 4 and 5 letters (hashed, word ends marked), so new inflections and
+spellings are seen as well. Two gated recurrent layers, one a direction, read windows of ``WINDOW`` words; attention pools
+their states to one logit. Windows start every ``STRIDE`` words, fewer than they are long, so they overlap, and all
+windows of a text are scored. A text's score weighs its three highest windows and the share of toxic ones, as one odd
+window in a long text means less than several in a short one. The network is trained here, in numpy.
 
 Only a bounded sample is learned from: about ``per_label`` labelled texts of each label, of at most ``longest`` code
 points, drawn by a hash of the id. As a toxic text is toxic in few places, training picks each toxic text's most telling
@@ -30,7 +31,9 @@ from snaptrail.llm.common import parts_of
 
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_SIZE, CHAR_SIZE = 8, 8, 16
-TRIGRAMS = 1 << 12
+TRIGRAMS = PREFIXES = 1 << 12
+PREFIX_SIZES = (4, 5, 6)  # with the mark of the word's start
+UPDATES = 150
 KNOWN_ROWS = 400_000
 TEXT_BYTES = 12 << 20
 THRESHOLD = 0.7
@@ -59,32 +62,48 @@ def trigram_places(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return place[keep].astype(np.int64), np.where(long, sizes - 2, 1)
 
 
+def prefix_places(words: list[str]) -> np.ndarray:
+    """Hashed beginnings of every word, a column a length; a shorter word counts as a whole."""
+    code = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(sizes) - sizes
+    h, out = np.full(len(words), 0x1234567, np.uint32), []
+    for j in range(max(PREFIX_SIZES)):
+        there = j < sizes
+        step = (h ^ code[np.minimum(start + j, len(code) - 1)]) * np.uint32(0x9E3779B1)
+        h = np.where(there, step ^ (step >> np.uint32(15)), h)
+        if j + 1 in PREFIX_SIZES:
+            out.append(h % np.uint32(PREFIXES))
+    return np.stack(out, 1).astype(np.int64)
+
+
 class Network:
     """Parameters, forward pass, gradients (Adam)."""
 
     def __init__(self, vocabulary: list[str], seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.words = {w: i + 1 for i, w in enumerate(vocabulary)}
-        d, h = WORD_SIZE + CHAR_SIZE, HIDDEN
+        d, h = WORD_SIZE + 2 * CHAR_SIZE, HIDDEN
 
         def init(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
         self.p = {
-            "word": init(len(vocabulary) + 1, WORD_SIZE, scale=0.1), "char": init(TRIGRAMS, CHAR_SIZE, scale=0.3), "w": init(2, d, 3 * h, scale=d**-0.5), "b": np.zeros((2, 3 * h), np.float32),
+            "word": init(len(vocabulary) + 1, WORD_SIZE, scale=0.03), "char": init(TRIGRAMS, CHAR_SIZE, scale=0.03), "start": init(PREFIXES, CHAR_SIZE, scale=0.03), "w": init(2, d, 3 * h, scale=d**-0.5), "b": np.zeros((2, 3 * h), np.float32),
             "u": init(2, h, 3 * h, scale=h**-0.5), "att": init(2 * h, scale=0.3), "out": init(2 * h, scale=0.5), "bias": np.full(1, -1, np.float32),
         }
         self.p["word"][0] = 0
-        self.shift = 0.0
+        self.weights = np.array([1.0, 0, 0, 0, 0, 0])
         self.moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         self.steps = 0
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def inputs(self, words: list[str]) -> tuple[np.ndarray, ...]:
         ids = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
         place, n = trigram_places(words)
         start = np.cumsum(n) - n
         chars = np.add.reduceat(self.p["char"][place], start, axis=0) / n[:, None].astype(np.float32)
-        return np.concatenate([self.p["word"][ids], chars], 1), ids, place, n
+        first = prefix_places(words)
+        return np.concatenate([self.p["word"][ids], chars, self.p["start"][first].mean(1)], 1), ids, place, n, first
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Both directions' input parts of the gates: (2, words, 3 * hidden)."""
@@ -122,7 +141,7 @@ class Network:
     def step(self, words: list[str], rows: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> float:
         """One update on a batch of windows over the words given."""
         p, h, time = self.p, HIDDEN, rows.shape[1]
-        x, ids, place, n_tri = self.inputs(words)
+        x, ids, place, n_tri, first = self.inputs(words)
         gates = self.project(x)
         logit, states, kept, att, value = self.forward(gates, rows, mask, keep=True)
         prob = 1 / (1 + np.exp(-logit))
@@ -159,7 +178,8 @@ class Network:
         d_x = np.matmul(d_gates, p["w"].transpose(0, 2, 1)).sum(0)
         np.add.at(g["word"], ids, d_x[:, :WORD_SIZE])
         g["word"][0] = 0
-        np.add.at(g["char"], place, np.repeat(d_x[:, WORD_SIZE:] / n_tri[:, None].astype(np.float32), n_tri, axis=0))
+        np.add.at(g["char"], place, np.repeat(d_x[:, WORD_SIZE : WORD_SIZE + CHAR_SIZE] / n_tri[:, None].astype(np.float32), n_tri, axis=0))
+        np.add.at(g["start"], first, d_x[:, None, WORD_SIZE + CHAR_SIZE :] / np.float32(first.shape[1]))
         self.steps += 1
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
@@ -245,23 +265,46 @@ class Scorer:
         np.exp(att, out=att)
         return (att * value).sum(0) / att.sum(0) + self.network.p["bias"][0]
 
-    def logits(self, texts: pa.Array, chunk: int = 768) -> np.ndarray:
-        """The highest logit of every text; minus infinity without words."""
+    def logits(self, texts: pa.Array, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray, int]:
+        """The logits of all windows of all texts, the text of each, and the number of texts."""
         flat, sizes = split_words(texts)
         coded = flat.dictionary_encode()
         rows = np.append(self.rows_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64), 0)
         start, n, text = windows(sizes)
-        out = np.full(len(sizes), -np.inf, np.float32)
+        out = np.zeros(len(start), np.float32)
         steps = np.arange(WINDOW)
         for a in range(0, len(start), chunk):
             s = slice(a, a + chunk)
             at = np.where(steps < n[s][:, None], start[s][:, None] + steps, len(rows) - 1)
-            np.maximum.at(out, text[s], self.forward(rows[at]))
-        return out
+            out[s] = self.forward(rows[at])
+        return out, text, len(sizes)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        x = np.clip(self.logits(texts).astype(np.float64) - self.network.shift, -700, 700)
-        return np.where(np.isfinite(x) & (x > -700), 1 / (1 + np.exp(-x)), 0.0)
+        x = features(*self.logits(texts))
+        return np.where(x[:, 0] == 0, 0.0, 1 / (1 + np.exp(-np.clip(x @ self.network.weights, -50, 50))))
+
+
+def features(logit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Of every text: one (0 without windows), its three highest logits, share of toxic windows, log of their number."""
+    count = np.bincount(text, minlength=n)
+    order = np.lexsort((-logit, text))
+    z, first = np.append(logit[order].astype(np.float64), 0.0), np.cumsum(count) - count
+    tops = [np.where(count > i, z[np.minimum(first + i, len(z) - 1)], -4.0) for i in range(3)]
+    share = np.bincount(text, 1 / (1 + np.exp(-logit.astype(np.float64))), n) / np.maximum(1, count)
+    return np.stack([(count > 0).astype(np.float64), *tops, np.sqrt(share), np.log1p(count)], 1) * (count > 0)[:, None]
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
+    """Logistic regression; both labels weigh alike."""
+    w = np.zeros(x.shape[1])
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    keep = np.eye(x.shape[1]) * ridge
+    keep[0, 0] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + keep
+        w -= np.linalg.solve(h + 1e-9 * np.eye(len(w)), x.T @ (weight * (p - y)) + keep @ w)
+    return w
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -296,18 +339,15 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4, batch: int = 256,
     of_word = np.repeat(np.arange(len(y)), sizes)
     df = np.bincount(np.unique(of_word * len(distinct) + coded) % len(distinct), minlength=len(distinct)) if len(coded) else np.zeros(0)
     net = Network([w for w, c in zip(distinct, df, strict=True) if c >= 5][:20_000], seed)
-    # how telling a word is: mean log-odds of its trigrams
-    place, n_tri = trigram_places(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    odds = np.zeros(TRIGRAMS)
-    tri_start = np.cumsum(n_tri) - n_tri
-    seen = np.zeros((2, TRIGRAMS))
+    # how telling a word is: the log-odds of its beginnings
+    place = prefix_places(distinct) if distinct else np.zeros((0, 1), np.int64)
+    seen = np.zeros((2, PREFIXES))
     for i in np.flatnonzero(~held):
         own = np.unique(coded[of_word == i]) if len(y) < 50 else np.unique(coded[np.searchsorted(of_word, i) : np.searchsorted(of_word, i + 1)])
         if len(own):
-            tri = np.unique(np.concatenate([place[tri_start[w] : tri_start[w] + n_tri[w]] for w in own]))
-            seen[y[i], tri] += 1
+            seen[y[i], np.unique(place[own])] += 1
     odds = np.log((seen[1] + 0.5) / ((y[~held] == 1).sum() + 1)) - np.log((seen[0] + 0.5) / ((y[~held] == 0).sum() + 1))
-    telling = np.add.reduceat(odds[place], tri_start) / n_tri if len(place) else np.zeros(0)
+    telling = odds[place].max(1)
     score = np.where(mask, telling[rows], -9).max(1) if len(rows) else np.zeros(0)
     learn_from = ~held[text]
     # a window that only repeats a clean word, or two by turns, is clean
@@ -326,23 +366,29 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4, batch: int = 256,
             if int(text[i]) not in best or score[i] > score[best[int(text[i])]]:
                 best[int(text[i])] = i
         positive = np.fromiter(best.values(), np.int64, len(best))
+        if r:  # and the others that the network takes for toxic
+            positive = np.union1d(positive, np.flatnonzero(learn_from & (y[text] == 1) & (score > 1)))
         some = rng.choice(clean, min(len(clean), 4 * len(positive) + 500), replace=False)
         hard = clean[np.argsort(-score[clean], kind="stable")[: len(positive)]] if r else some[:0]
         chosen = np.unique(np.concatenate([positive, some, hard, np.arange(n_windows, n_windows + dull)]))
         label = y[text[chosen]].astype(np.float32)
         weight = np.where(label == 1, 0.5 * len(label) / max(1, len(positive)), 0.5 * len(label) / max(1, len(label) - len(positive))).astype(np.float32)
-        epochs = 2 if len(chosen) > 4000 else max(3, min(30, 8000 // max(1, len(chosen))))
+        # at least so many updates a round, in smaller batches, if there is little to learn from
+        own_batch = batch if len(chosen) > 4000 else max(32, batch // 4)
+        epochs = max(2, -(-UPDATES * own_batch // max(1, len(chosen))))
         for e in range(epochs):
             order = rng.permutation(len(chosen))
-            for a in range(0, len(order), batch):
-                b = order[a : a + batch]
+            for a in range(0, len(order), own_batch):
+                b = order[a : a + own_batch]
                 own, local = np.unique(rows[chosen[b]], return_inverse=True)
                 net.step([distinct[w] for w in own], local.reshape(len(b), WINDOW), mask[chosen[b]], label[b], weight[b], 0.02 * 0.7**r if e else 0.01)
         gates = np.concatenate([net.project(net.inputs(distinct[a : a + 20_000])[0]) for a in range(0, len(distinct), 20_000)], 1)
         score = np.concatenate([net.forward(gates, rows[a : a + 4096], mask[a : a + 4096]) for a in range(0, len(rows), 4096)])
-    highest = np.full(len(y), -np.inf)
-    np.maximum.at(highest, text[:n_windows], score[:n_windows])
-    net.shift = threshold(np.append(highest[held], highest[~held]), np.append(y[held], y[~held])) - float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    x = features(score[:n_windows], text[:n_windows], len(y))
+    judge = held if (y[held] == 1).sum() >= 5 else np.ones(len(y), bool)
+    net.weights = fit(x[judge], y[judge])
+    z = np.where(x[:, 0] == 0, -np.inf, x @ net.weights)
+    net.weights[0] -= threshold(z[judge], y[judge]) - float(np.log(THRESHOLD / (1 - THRESHOLD)))
     net.moments = {}
     return net
 
