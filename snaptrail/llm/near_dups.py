@@ -7,9 +7,9 @@ probability equal to the weighted Jaccard similarity. Processes that can no long
 yield one point only.
 
 Signatures are cut to bands; texts that share a band are candidates, verified by exact bag overlap. Equal texts are one
-node from the start. In a band's bucket each node is compared with the smallest one (a star, not all pairs); verified
-links join nodes to components; buckets that still hold several components are compared again from other centres, and
-what is left in the end across components is compared pair by pair, so no link is lost to a star's centre.
+node from the start. In a band's bucket each node is compared with two centres (stars, not all pairs); verified links
+join nodes to components. Only where a bucket still holds several components are nodes compared across them, if they share
+at least ``SHARED_BANDS`` bands, so no link is lost to a star's centre.
 
 Defined results: null text is the empty text; a text of one to four words is one run; texts without words are alike only
 if equal; equal similarity to the threshold counts; rows with one id and several texts belong to the class of each; an
@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaptrail.llm import hashes
@@ -32,6 +32,9 @@ from snaptrail.llm.common import cut, parts_of
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
+#: bands that a pair from different components must share; a pair at 0.8 shares fewer with probability 1e-5
+SHARED_BANDS = 3
+LINKS_A_PART = 500_000
 TEXT_BYTES = 2 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,57 +160,57 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that links lead to. Labels fall along links and jump to their label's label."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    # nodes without links are their own root; only the others take part
-    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
+    """(node, root): the smallest node that links lead to. Labels fall along links and jump to their label's label.
+
+    Only linked nodes take part; tables are kept in as few partitions as their rows need.
+    """
+    parts = 1 + links.count() // LINKS_A_PART
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().coalesce(parts))
+    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node").coalesce(parts))
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = label.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = cut(lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
+        after = cut(lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")).coalesce(parts))
         label = after.select("node", "root")
         if after.filter("old <> root").isEmpty():
             break
-    return nodes.select("node").join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return cut(nodes.select("node").join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
 
+def across(placed: DataFrame, least: int) -> DataFrame:
+    """(a, b): nodes of different components that share ``least`` bands, from (key, node, root); each pair once."""
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    rows = placed.join(mixed, "key").withColumn("keys", F.collect_list("key").over(Window.partitionBy("node"))).filter(F.size("keys") >= least)
+    rows = cut(rows)
+    other = rows.select(F.col("key").alias("other_key"), F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("keys").alias("other_keys"))
+    both = F.array_intersect("keys", "other_keys")
+    # a pair comes from the smallest of its shared bands only
+    pairs = rows.join(other, (F.col("key") == F.col("other_key")) & (F.col("root") < F.col("other_root")) & (F.size(both) >= least) & (F.array_min(both) == F.col("key")))
+    return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, star_rounds: int = 2) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id, class_size: every row's class of near duplicates."""
     sigs = cut(banded(docs))
-    # equal texts are one node
+    # equal texts are one node; node numbers are in no order of the texts
     classes = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = cut(classes).withColumn("node", F.monotonically_increasing_id())
     member = nodes.select("node", F.explode("bands").alias("key"))
-    # only buckets of several nodes matter from here on
-    shared = member.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    member = cut(member.join(shared, "key").select("key", "node", "centre"))
+    # only buckets of several nodes matter from here on; their smallest and largest nodes are the centres
+    shared = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    member = cut(member.join(shared, "key").select("key", "node", "lo", "hi"))
     wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "t1", "t2", "first_id")
     source = docs.select(F.col("doc_id").cast("long").alias("first_id"), *text_keys(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    texts = cut(source.join(wanted, (source.t1 == wanted.t1) & (source.t2 == wanted.t2) & source.first_id.eqNullSafe(wanted.first_id)).select("node", "text").dropDuplicates(["node"]))
-    pairs = member.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = cut(verified(pairs, texts, similar))
-    tried, root = pairs, cut(components(nodes, links))
-    for r in range(star_rounds + 1):
-        # buckets that hold several components, one node of each component and bucket as its centre
-        placed = member.select("key", "node").join(root, "node")
-        mixed = cut(placed.join(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"), "key", "left_semi"))
-        if mixed.isEmpty():
-            break
-        if r < star_rounds:
-            order = F.struct(F.xxhash64("node", F.lit(r)), "node")
-            centre = mixed.groupBy("key", "root").agg(F.min(order)["node"].alias("centre"))
-            main = centre.groupBy("key").agg(F.max_by(F.struct("centre", "root"), F.xxhash64("root", F.lit(r))).alias("main")).select("key", F.col("main.centre").alias("centre"), F.col("main.root").alias("main"))
-            new = mixed.join(main, "key").filter("root <> main").select("node", "centre")
-        else:
-            other = mixed.select("key", F.col("node").alias("centre"), F.col("root").alias("main"))
-            new = mixed.join(other, "key").filter("root < main").select("node", "centre")
-        new = new.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        new = cut(new.join(tried, ["a", "b"], "left_anti"))
-        found = cut(verified(new, texts, similar))
-        tried, links = tried.unionByName(new), links.unionByName(found)
-        if not found.isEmpty():
-            root = cut(components(nodes, links))
+    texts = source.join(wanted, (source.t1 == wanted.t1) & (source.t2 == wanted.t2) & source.first_id.eqNullSafe(wanted.first_id)).select("node", "text")
+    # a repeated row gives its node's text twice
+    texts = cut(texts.dropDuplicates(["node"]))
+    star = member.select("node", F.explode(F.array("lo", "hi")).alias("centre")).filter("node <> centre")
+    links = cut(verified(star.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct(), texts, similar))
+    root = components(nodes, links)
+    more = cut(verified(across(member.select("key", "node").join(root, "node"), SHARED_BANDS), texts, similar))
+    if not more.isEmpty():
+        root = components(nodes, links.unionByName(more))
     placed = nodes.select("node", "t1", "t2", "first_id", "copies").join(root, "node")
     ids = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_text = placed.join(ids, "root").select("t1", "t2", "class_id", "class_size")
