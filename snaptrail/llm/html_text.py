@@ -36,8 +36,10 @@ SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 CLUTTER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
     r"comments?|respond|disqus|replies|reply|sidebar|side-bar|aside|widget|related|recommended|recommendations|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|social|share|sharing|footer|masthead|site-header|"
-    r"page-header|topbar|skip-link|legal|disclaimer|tags|tag-list|trending|popular|outbrain|taboola)(?:$|[\s_-])", re.I
+    r"page-header|topbar|skip-link|legal|disclaimer|tags|tag-list|trending|popular|discussion|feedback|outbrain|taboola)s?(?:$|[\s_-])", re.I
 )
+# "has-sidebar" or "ad-free" says what is around a node, not what it is
+NEGATED = re.compile(r"\b(?:has|with|without|no|non|is)[_-][a-z]+(?:[_-][a-z]+)*|\b[a-z]+[_-]free\b", re.I)
 CLUTTER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -65,7 +67,7 @@ def is_clutter(tag: str, raw: str) -> bool:
     if not raw or raw.isspace() or tag in ("body", "html", "main", "article"):
         return False
     a = attributes(raw)
-    return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role", "").lower() in CLUTTER_ROLES or any(CLUTTER.search(a[k]) for k in ("class", "id") if a.get(k))
+    return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role", "").lower() in CLUTTER_ROLES or any(CLUTTER.search(NEGATED.sub(" ", a[k])) for k in ("class", "id") if a.get(k))
 
 
 def parse(page: str) -> Node:

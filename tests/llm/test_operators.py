@@ -72,6 +72,7 @@ def test_media_columns(spark):
         (None, ""), ("", ""), ("<html></html>", ""), ("plain &amp; simple", "plain & simple"), ("<p>one<p>two<br>three", "one\ntwo three"),
         ("<body><nav><a>x</a></nav><article><h1>T</h1><p><b>Bold<br><p>next  line</p></article><footer>f</footer>", "T\nBold\nnext line"),
         ("<body><div class='sidebar'>side</div><div><p>A long enough text of the article itself.</p><p>More text, also long enough.</p></div><div id='comments'><p>A reader's comment that is long as well.</p></div><form>q</form></body>", "A long enough text of the article itself.\nMore text, also long enough."),
+        ("<body><div class='layout has-sidebar ad-free'><p>Kept text of some length.</p><div class='notices'>We use cookies.</div><section class='reader-comments'><p>Nice.</p></section></div></body>", "Kept text of some length."),
         ("<body><script>if (a<b) x()</script><style>p{}</style><!-- c --><p>text&nbsp;here</p>", "text here"),
     ],
 )
