@@ -2,7 +2,9 @@
 
 A line that many sites carry is boilerplate. Every site's lines feed a HyperLogLog sketch per line hash; sketches merge by
 aggregation. Lines whose estimate is clearly at or above ``min_sites`` are boilerplate; lines near the threshold get an
-exact distinct count. Then boilerplate lines are cut out of every text. DataFrame functions only.
+exact distinct count. Then boilerplate lines are cut out of every text. Lists of lines
+that are few (they are counted) are sent to the executors, so the corpus's lines are shuffled as sketches only. DataFrame
+functions only.
 
 Lines are split at line feeds and compared trimmed of spaces, tabs and carriage returns; lines of fewer than ``min_chars``
 code points are never boilerplate. Defined results: null text stays null, with no lines; a null site counts as no site;
@@ -17,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptrail.llm.common import cut
+from snaptrail.llm.common import cut, few
 
 MIN_SITES = 10
 LG_K = 12
@@ -40,7 +42,7 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
     candidates = cut(spread(lines, min_sites, lg_k))
     sure = candidates.filter(F.col("estimate") > math.ceil(min_sites * (1 + error)))
     near = candidates.filter(F.col("estimate") <= math.ceil(min_sites * (1 + error)))
-    counted = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
+    counted = lines.join(few(near.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
     return cut(sure.select("h1", "h2").unionByName(counted.select("h1", "h2")))
 
 
@@ -53,7 +55,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     lines = exploded.filter(F.length("line") >= max(1, min_chars)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
     gone = boilerplate(lines.select("h1", "h2", "site"), min_sites, lg_k)
     # what to cut, by text: equal texts lose equal lines
-    flagged = lines.select("t1", "t2", "line", "h1", "h2").join(gone, ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("line").alias("__cut"))
+    flagged = lines.select("t1", "t2", "line", "h1", "h2").join(few(gone), ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("line").alias("__cut"))
     flagged = flagged.withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*kept, F.xxhash64("text").alias("__t1"), F.xxhash64("text", F.lit(1)).alias("__t2")).join(flagged, ["__t1", "__t2"], "left")
