@@ -29,10 +29,16 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates."""
-    found = near_dups.near_duplicates(docs)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One document of each class of near duplicates, that with the smallest id; rows are told apart by id and text.
+
+    Of rows equal in both, the smallest in ``lang``, ``source``, ``n_chars`` stays.
+    """
+    stays = near_dups.representatives(docs).select("first_id", F.col("t1").alias("stays1"), F.col("t2").alias("stays2"))
+    keyed = docs.select(*COLUMNS, *near_dups.text_keys(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.col("t1") == F.col("stays1")) & (F.col("t2") == F.col("stays2"))
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = keyed.join(stays, same, "left_semi").groupBy("doc_id", "t1", "t2").agg(F.min(F.struct(*others, "text")).alias("row"))
+    return one.select("doc_id", "row.*").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,8 +190,8 @@ def across(placed: DataFrame, least: int) -> DataFrame:
     return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id, class_size: every row's class of near duplicates."""
+def classes_of_texts(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t1, t2) of every row, and t1, t2, first_id, copies, root of every distinct text."""
     sigs = cut(banded(docs))
     # equal texts are one node; node numbers are in no order of the texts
     classes = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -211,7 +211,22 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     more = cut(verified(across(member.select("key", "node").join(root, "node"), SHARED_BANDS), texts, similar))
     if not more.isEmpty():
         root = components(nodes, links.unionByName(more))
-    placed = nodes.select("node", "t1", "t2", "first_id", "copies").join(root, "node")
+    return sigs.select("doc_id", "t1", "t2"), nodes.select("node", "t1", "t2", "first_id", "copies").join(root, "node")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id, class_size: every row's class of near duplicates."""
+    rows, placed = classes_of_texts(docs, similar)
     ids = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_text = placed.join(ids, "root").select("t1", "t2", "class_id", "class_size")
-    return sigs.select("doc_id", "t1", "t2").join(by_text, ["t1", "t2"]).select("doc_id", "class_id", "class_size")
+    return rows.join(by_text, ["t1", "t2"]).select("doc_id", "class_id", "class_size")
+
+
+def representatives(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """first_id, t1, t2 (as from ``text_keys``): the text that stays of each class, that of the smallest doc_id.
+
+    An id that is null comes after all others; of several texts under that id the one with the smallest hashes stays.
+    """
+    _, placed = classes_of_texts(docs, similar)
+    least = F.min(F.struct(F.col("first_id").isNull(), "first_id", "t1", "t2"))
+    return placed.groupBy("root").agg(least.alias("r")).select("r.first_id", "r.t1", "r.t2")

@@ -55,3 +55,18 @@ def test_an_empty_corpus_passes(spark, tmp_path):
     table(spark, tmp_path, "labels", [], "doc_id long, quality int, toxic int")
     table(spark, tmp_path, "benchmark", [], "item_id long, text string")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_tells_rows_apart_by_id_and_text(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    a, b, c, d, e = (" ".join(rng.choice(words, 60)) for _ in range(5))
+    near = b + " more"
+    rows = [(None, a), (None, c), (None, c), (7, d), (7, near), (7, d), (3, b), (None, b), (9, e), (9, e)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for parts in (1, 3):
+        docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], schema).repartition(parts)
+        left = corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path))
+        assert left.columns == corpus_pipeline.COLUMNS
+        assert {(r["doc_id"], r["text"], r["source"]) for r in left.collect()} == {(None, a, "s0"), (None, c, "s1"), (7, d, "s3"), (3, b, "s6"), (9, e, "s8")}
+        assert left.count() == 5
