@@ -42,9 +42,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = contamination.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no benchmark item; rows are told apart by id and text."""
+    found = contamination.found_texts(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id"), "t").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("text") == F.col("t"))
+    return docs.join(found, same, "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

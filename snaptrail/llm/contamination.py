@@ -8,8 +8,9 @@ sketches only; candidates, those with as many hits as the bound demands, are ver
 nothing is lost, and long documents need no sketch of their own. DataFrame functions only.
 
 Defined results: null text has no words; items of fewer than five words have no shingles and can't be found; repeated
-rows of an id count once, the best text of the id counts; tied items are all reported; empty tables give an empty
-result; extra columns are ignored. Sketches are sent to the executors only if they are few (counted first), else
+rows of an id count once; of an id with several texts each text is searched, or looked for, by itself and the best pair
+counts; documents without an id are searched like others, under one null id; items without an id are looked for but name
+no pair; tied items are all reported; empty tables give an empty result; extra columns are ignored. Sketches are sent to the executors only if they are few (counted first), else
 joined by shuffling.
 """
 
@@ -36,8 +37,9 @@ def with_shingles(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, shingles, n_item, size_class, least (hits a match must have), sketch."""
-    known = cut(with_shingles(items.filter("item_id IS NOT NULL"), "item_id")).select("item_id", F.array_sort(F.array_distinct("shingles")).alias("shingles")).filter(F.size("shingles") > 0)
+    """item (hash of the text), shingles, n_item, size_class, least (hits a match must have), sketch of every distinct text."""
+    texts = items.filter("text IS NOT NULL").select(F.xxhash64("text").alias("item"), "text").dropDuplicates(["item"])
+    known = cut(with_shingles(texts, "item")).select("item", F.array_sort(F.array_distinct("shingles")).alias("shingles")).filter(F.size("shingles") > 0)
     n = F.size("shingles")
     sized = known.withColumns({"n_item": n.cast("long"), "size_class": F.floor(F.log2(n)).cast("int")})
     largest = F.least(F.pow(F.lit(2), F.col("size_class") + 1).cast("int") - 1, F.lit(1 << 30))
@@ -46,18 +48,27 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sized.withColumn("sketch", F.slice("shingles", 1, k)).withColumn("least", F.size("sketch") - missing)
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment of every pair at or above the threshold."""
+def found_texts(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, t, item (hashes of the two texts), n_shared, n_item of every pair of texts at or above the threshold."""
     items = cut(sketches(items, threshold))
-    probes = few(items.select("item_id", "least", F.explode("sketch").alias("h")))
-    docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    probes = few(items.select("item", "least", F.explode("sketch").alias("h")))
+    keyed = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), "text")
     probed = with_shingles(keyed, "doc_id", "t").select("doc_id", "t", F.explode_outer("shingles").alias("h")).filter("h IS NOT NULL")
-    hits = probed.join(probes, "h").groupBy("doc_id", "t", "item_id").agg(F.countDistinct("h").alias("hits"), F.first("least").alias("least"))
-    candidates = cut(hits.filter("hits >= least").select("doc_id", "t", "item_id"))
+    hits = probed.join(probes, "h").groupBy("doc_id", "t", "item").agg(F.countDistinct("h").alias("hits"), F.first("least").alias("least"))
+    candidates = cut(hits.filter("hits >= least").select("doc_id", "t", "item"))
     # only candidates are shingled again
-    wanted = candidates.groupBy("doc_id", "t").agg(F.collect_set("item_id").alias("items"))
-    again = with_shingles(keyed.join(wanted, ["doc_id", "t"]), "doc_id", "t", "items").select("doc_id", "t", "items", F.explode_outer(F.array_distinct("shingles")).alias("h")).filter("h IS NOT NULL")
-    exact = again.join(few(items.select("item_id", "n_item", F.explode("shingles").alias("h"))), "h").filter(F.array_contains("items", F.col("item_id")))
-    shared = exact.groupBy("doc_id", "t", "item_id").agg(F.countDistinct("h").alias("n_shared"), F.first("n_item").alias("n_item"))
-    return shared.filter(F.col("n_shared") >= F.col("n_item") * threshold - 1e-9).groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.first("n_item").alias("n_item")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    wanted = candidates.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("u")).agg(F.collect_set("item").alias("items"))
+    both = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")))
+    again = with_shingles(both, "doc_id", "t", "items").select("doc_id", "t", "items", F.explode_outer(F.array_distinct("shingles")).alias("h")).filter("h IS NOT NULL")
+    exact = again.join(few(items.select("item", "n_item", F.explode("shingles").alias("h"))), "h").filter(F.array_contains("items", F.col("item")))
+    shared = exact.groupBy("doc_id", "t", "item").agg(F.countDistinct("h").alias("n_shared"), F.first("n_item").alias("n_item"))
+    return shared.filter(F.col("n_shared") >= F.col("n_item") * threshold - 1e-9)
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment of every pair at or above the threshold."""
+    found = found_texts(docs, items, threshold)
+    ids = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.xxhash64("text").alias("item")).distinct()
+    share = F.col("n_shared") / F.col("n_item")
+    best = found.join(few(ids), "item").groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("containment"), "n_shared", "n_item")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_shared", "best.n_item", "best.containment")

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from snaptrail.llm import contamination
 
 
 def table(spark, tmp_path, name, rows, schema):
@@ -70,3 +71,16 @@ def test_near_dedup_tells_rows_apart_by_id_and_text(spark, tmp_path):
         assert left.columns == corpus_pipeline.COLUMNS
         assert {(r["doc_id"], r["text"], r["source"]) for r in left.collect()} == {(None, a, "s0"), (None, c, "s1"), (7, d, "s3"), (3, b, "s6"), (9, e, "s8")}
         assert left.count() == 5
+
+
+def test_decontamination_tells_rows_apart_by_id_and_text(spark, tmp_path):
+    item, other = "this benchmark item has exactly nine words here today", "a wholly different second text under the same item id"
+    table(spark, tmp_path, "benchmark", [(1, item), (1, other + " " + " ".join(f"x{i}" for i in range(60))), (None, other)], "item_id long, text string")
+    rows = [(None, f"before {item} after"), (None, "clean text without any id at all"), (5, f"five holds {item}"), (5, "five has a clean text as well"), (6, f"six {other}"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert left.columns == corpus_pipeline.COLUMNS
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {(None, rows[1][1]), (5, rows[3][1]), (7, None)}
+    bench = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    found = contamination.contained(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"], r["containment"]) for r in found} == {(None, 1, 5, 5, 1.0), (5, 1, 5, 5, 1.0)}
