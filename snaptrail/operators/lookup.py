@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,14 +37,39 @@ def rows(view: DataFrame, q: str | None = None, filters: dict[str, str] | None =
     return view.agg(F.count("*").alias("total")), page
 
 
-def search(tables: dict[str, DataFrame], q: str, limit: int = 5) -> DataFrame:
-    """table, total, rank, row (JSON): every table with a match, its total, and ``limit`` rows (a report).
+def ranked(found: DataFrame) -> DataFrame:
+    """found (table, row) with ``rank``: every row's place in its table. Rows are dealt by ranges of (table, row), so no table meets in one task.
 
-    One pass over the union of the tables; totals come from an aggregation, so no table's matches meet in one task.
+    Equal rows are counted before they are numbered.
+    """
+    sc = found.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    counted = found.groupBy("table", "row").agg(F.count("*").alias("copies"))
+    dealt = counted.repartitionByRange("table", "row").checkpoint().withColumn("part", F.spark_partition_id())
+    sums = dealt.groupBy("table", "part").agg(F.sum("copies").alias("inside"))
+    before = sums.select("table", "part", (F.sum("inside").over(Window.partitionBy("table").orderBy("part")) - F.col("inside")).alias("before"))
+    up_to = F.sum("copies").over(Window.partitionBy("table", "part").orderBy("row")) + F.col("before")
+    placed = dealt.join(F.broadcast(before), ["table", "part"]).withColumn("last", up_to)
+    return placed.select("table", "row", F.explode(F.sequence(F.col("last") - F.col("copies") + 1, F.col("last"))).alias("rank"))
+
+
+def search(tables: dict[str, DataFrame], q: str, limit: int | None = 5) -> DataFrame:
+    """table, total, rank, row (JSON): every table with a match, its total, and ``limit`` rows (a report), or all.
+
+    One pass over the union of the tables; totals come from an aggregation. Up to ``MOST_ROWS`` rows a table, each task
+    keeps its own first rows before they meet; beyond that all rows are ranked by ranges.
     """
     found = reduce(DataFrame.unionByName, [df.filter(matches(df, q)).select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns)).alias("row")) for name, df in tables.items()])
     totals = found.groupBy("table").agg(F.count("*").alias("total"))
-    top = found.withColumn("rank", F.row_number().over(Window.partitionBy("table").orderBy("row"))).filter(F.col("rank") <= limit)
+    if limit is None or limit > MOST_ROWS:
+        top = ranked(found)
+        top = top if limit is None else top.filter(F.col("rank") <= limit)
+    else:
+        top = found.withColumn("rank", F.row_number().over(Window.partitionBy("table").orderBy("row"))).filter(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long"))
     return top.join(F.broadcast(totals), "table").select("table", "total", "rank", "row")
 
 

@@ -162,7 +162,7 @@ def total_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"part": st.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "pages": st.table(spark, sf_dir, "pages").select("page_id", "url"), "documents": st.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "conversations": st.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")}
-    return lookup.search(tables, "ring", 1_000_000).groupBy("table", "total").agg(F.max("rank").cast("long").alias("shown"))
+    return lookup.search(tables, "ring", None).groupBy("table", "total").agg(F.max("rank").cast("long").alias("shown"))
 
 
 def one_domain(spark: SparkSession, sf_dir: str) -> DataFrame:

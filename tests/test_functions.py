@@ -177,3 +177,18 @@ def test_urls(spark):
 def test_fill_left(spark):
     df = spark.createDataFrame([(["a", "", None, "b", ""],)], "c array<string>")
     assert df.select(extract.fill_left(F.col("c")).alias("o")).head()["o"] == ["a", "a", "a", "b", "b"]
+
+
+def test_search_ranks_every_match_without_one_task(spark, monkeypatch):
+    from snaptrail.plans import log_queries
+
+    n = 1_000_020
+    many = spark.range(n).select(F.concat(F.lit("ring "), F.col("id") % 70_000).alias("text"), *[F.lit(c).alias(c) for c in ("p_partkey", "page_id", "doc_id", "lang", "conv_id", "turn")])
+    few = many.limit(0).select("*", F.col("text").alias("p_name"), F.col("text").alias("url"))
+    monkeypatch.setattr(log_queries.st, "table", lambda spark, sf_dir, name: many if name == "documents" else few)
+    assert [tuple(r) for r in log_queries.searched(spark, "").select("table", "total", "shown").collect()] == [("documents", n, n)]
+    tables = {"a": spark.createDataFrame([(f"ring {i % 7}",) for i in range(40)], "x string"), "b": spark.createDataFrame([("Ring",), ("no",)], "x string")}
+    rows = sorted(json.dumps({"x": f"ring {i % 7}"}, separators=(",", ":")) for i in range(40))
+    want = [("a", 40, k + 1, r) for k, r in enumerate(rows)] + [("b", 1, 1, '{"x":"Ring"}')]
+    for limit in (None, 3, 2000):
+        assert sorted(tuple(r) for r in lookup.search(tables, "ring", limit).collect()) == [w for w in want if limit is None or w[2] <= limit]
