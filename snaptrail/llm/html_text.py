@@ -7,6 +7,7 @@ subtree with the maximum density sum is the content. Its blocks are then read in
 
 Menus, headers, footers, asides, forms, scripts, styles, hidden nodes, and nodes whose class, id or role says advert,
 notice, comment, sidebar and the like are left out of the tree before densities are computed, as are head and title.
+A class or id alone doesn't drop what holds the page's text (``drop_flagged``); if nothing else is left, it drops nothing.
 
 Defined results: null, empty or textless html gives the empty text; repeated pages stay repeated; unclosed, stray and
 misnested tags are repaired (an open paragraph, list item, row, cell or option is closed by the next); ties in density
@@ -47,10 +48,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "parent", "score", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "flagged", "link_chars", "link_tags", "parent", "score", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, flagged: bool = False) -> None:
+        self.tag, self.parent, self.flagged = tag, parent, flagged
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
@@ -60,18 +61,54 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
 
 
-def is_clutter(tag: str, raw: str) -> bool:
-    """Whether a subtree can't be main text, by its tag or what its attributes say."""
+def is_clutter(tag: str, raw: str) -> tuple[bool, bool]:
+    """Whether a subtree can't be main text by its tag or attributes, and whether its class or id says that it isn't."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not raw or raw.isspace() or tag in ("body", "html", "main", "article"):
-        return False
+        return False, False
     a = attributes(raw)
-    return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role", "").lower() in CLUTTER_ROLES or any(CLUTTER.search(NEGATED.sub(" ", a[k])) for k in ("class", "id") if a.get(k))
+    if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role", "").lower() in CLUTTER_ROLES:
+        return True, False
+    return False, any(CLUTTER.search(NEGATED.sub(" ", a[k])) for k in ("class", "id") if a.get(k))
 
 
-def parse(page: str) -> Node:
-    """The tree of a page without clutter. Text nodes are strings with references decoded."""
+def drop_flagged(root: Node) -> None:
+    """Takes nodes with a clutter class or id from the tree, but not those that wrap the page's text.
+
+    Such a node stays if it holds a main; if it holds an article and the text outside all flagged nodes isn't most of the
+    page's; or if it holds most of the page's text and no article or main outside flagged nodes has a quarter of it. Text
+    is counted in characters outside links.
+    """
+    nodes = in_order(root)
+    if not any(n.flagged for n in nodes):
+        return
+    # characters outside links, those of them outside flagged nodes too, and the tags article and main, at or below a node
+    plain, bare, held = {}, {}, {}
+    for node in reversed(nodes):
+        below = [c for c in node.children if isinstance(c, Node)]
+        own = sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        plain[node] = 0 if node.tag == "a" else own + sum(plain[c] for c in below)
+        bare[node] = 0 if node.tag == "a" or node.flagged else own + sum(bare[c] for c in below)
+        held[node] = ({node.tag} & {"article", "main"}).union(*(held[c] for c in below))
+    total, known, stack = plain[root], 0, [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main"):
+            known += bare[node]
+        elif not node.flagged:
+            stack += [c for c in node.children if isinstance(c, Node)]
+
+    def stays(node: Node) -> bool:
+        return "main" in held[node] or ("article" in held[node] and bare[root] * 2 <= total) or (plain[node] * 2 > total and known * 4 < total)
+
+    gone = {n for n in nodes if n.flagged and not stays(n)}
+    for parent in {n.parent for n in gone}:
+        parent.children = [c for c in parent.children if c not in gone]
+
+
+def parse(page: str, by_name: bool = True) -> Node:
+    """The tree of a page without clutter (``by_name``: by class and id too). Text nodes are strings with references decoded."""
     root = Node("html", None)
     at, here = 0, root
     open_tags: list[tuple[str, Node, bool]] = []  # tag, the node it is in, whether it is inside clutter
@@ -115,9 +152,9 @@ def parse(page: str) -> Node:
             while len(open_tags) > i:
                 pop()
         if tag == "header" and not any(t[0] in ("article", "main", "section") for t in open_tags):
-            clutter = True
+            clutter, flagged = True, False
         else:
-            clutter = is_clutter(tag, m[3])
+            clutter, flagged = is_clutter(tag, m[3])
         if tag in VOID:
             if not hidden and tag in ("br", "hr", "wbr"):
                 here.children.append(Node(tag, here))
@@ -134,9 +171,11 @@ def parse(page: str) -> Node:
         open_tags.append((tag, parent, clutter))
         hidden += clutter
         if not hidden:
-            here = Node(tag, parent)
+            here = Node(tag, parent, flagged)
             parent.children.append(here)
     text(at, size)
+    if by_name:
+        drop_flagged(root)
     return root
 
 
@@ -255,9 +294,12 @@ def blocks(node: Node, out: list[str]) -> None:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    out: list[str] = []
-    for node in content(parse(page)):
-        blocks(node, out)
+    for by_name in (True, False):
+        out: list[str] = []
+        for node in content(parse(page, by_name)):
+            blocks(node, out)
+        if out:
+            break
     return "\n".join(out)
 
 

@@ -80,6 +80,26 @@ def test_html_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["layout sidebar-right", "post comments-open", "entry share-enabled", "popular-science", "legal-news"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>", "<div class='entry share-enabled'>{}</div>"])
+@pytest.mark.parametrize("outer", ["{}", "<main>{}</main>", "<article><div>{}</div></article>"])
+def test_html_wrappers_with_clutter_names(name, inner, outer):
+    text = "<p>The first paragraph of the text itself, of some length.</p><p>A second one, which is long enough as well.</p>"
+    side = "<div class='sidebar'>Side text.</div>"
+    page = f"<body><nav>menu</nav>{outer.format(f'<div class={name!r}>{inner.format(text)}{side}</div>')}<div id='comments'>Nice.</div></body>"
+    assert html_text.main_text(page) == "The first paragraph of the text itself, of some length.\nA second one, which is long enough as well."
+
+
+def test_html_clutter_names_still_drop_clutter():
+    text = "<p>The text itself, with a length that is not small.</p>"
+    card = "<article><p>Another story in short.</p></article>"
+    assert html_text.main_text(f"<body><div>{text}</div><div class='related'>{card}</div></body>") == "The text itself, with a length that is not small."
+    thread = "<div id='comments'>" + "<p>A comment that goes on for a while.</p>" * 4 + "</div>"
+    assert html_text.main_text(f"<body><article>{text}</article>{thread}</body>") == "The text itself, with a length that is not small."
+    # nothing but flagged nodes
+    assert html_text.main_text("<body><div class='popular'><p>one</p></div><div class='legal'><p>two</p></div></body>") != ""
+
+
 def test_html_densities_are_sums():
     nodes = html_text.densities(html_text.parse("<body><div><p>some words here</p><p>and more words</p></div><div><a>link</a></div></body>"))
     for node in nodes:
