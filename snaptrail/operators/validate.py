@@ -27,11 +27,11 @@ def check_parts(parts: DataFrame) -> DataFrame:
     return parts.withColumn("problem", problem).withColumn("transient", F.coalesce(F.col("problem").startswith("HTML_BODY") | F.col("problem").startswith("CONTENT_TYPE") | (F.col("problem") == "EMPTY"), F.lit(False)))
 
 
-def check_tables(rows: DataFrame, spec: TableSpec, by: list[str], baselines: DataFrame | None = None, tolerance: float = 0.10, accept: bool = False, most_values: int = 50) -> DataFrame:
+def check_tables(rows: DataFrame, spec: TableSpec, by: list[str], baselines: DataFrame | None = None, tolerance: float = 0.10, accept: bool = False, most_values: int = 101) -> DataFrame:
     """by..., n, problems, warnings of every run's table, from one aggregation.
 
     baselines: by..., baseline (row count of the last passed version). Unknown values are kept as the first
-    ``most_values`` in order, enough for the 200 characters that the message shows.
+    ``most_values`` in order: 101 values of one character and what is between them fill the 200 characters that the message shows.
     """
     required = [c.name for c in spec.columns if c.required]
     empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")

@@ -192,3 +192,11 @@ def test_search_ranks_every_match_without_one_task(spark, monkeypatch):
     want = [("a", 40, k + 1, r) for k, r in enumerate(rows)] + [("b", 1, 1, '{"x":"Ring"}')]
     for limit in (None, 3, 2000):
         assert sorted(tuple(r) for r in lookup.search(tables, "ring", limit).collect()) == [w for w in want if limit is None or w[2] <= limit]
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_unknown_values_fill_the_message(spark, width):
+    values = [chr(0x4E00 + i) * width for i in range(120)]
+    spec = sp.TableSpec("t", (sp.Column("c", "text"),), known_values={"c": ("ok",)})
+    out = validate.check_tables(spark.createDataFrame([(1, v) for v in values], "run long, c string"), spec, ["run"]).head()
+    assert out["warnings"] == ["UNKNOWN_VALUE:c:" + "|".join(values)[:200]]
