@@ -260,6 +260,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [out[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_one_shared_band_is_enough_across_components(spark):
+    # nodes 1 and 2 share band 7 only; 3's bag is too small to be like 1 or 2, 4 is in 1's component
+    rows = [(7, 1, 1, 100), (8, 1, 1, 100), (7, 2, 2, 80), (9, 2, 2, 80), (7, 3, 3, 63), (7, 4, 1, 100), (9, 4, 1, 100)]
+    placed = spark.createDataFrame(rows, "key long, node long, root long, size long")
+    assert sorted(map(tuple, near_dups.across(placed, 0.8).collect())) == [(2, 1), (4, 2)]
+    sizes = {r["doc_id"]: r["size"] for r in near_dups.banded(docs_of(spark, EDGE)).collect()}
+    assert [sizes[i] for i in range(6)] == [0, 0, 0, 1, 1, 2996]
+
+
 def test_near_duplicates_empty(spark):
     assert near_dups.near_duplicates(docs_of(spark, [])).count() == 0
 
