@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +24,43 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptrail.llm.common import cut, parts_of
+from snaptrail.llm.common import cut, freed, parts_of
 
 CAPACITY = 2048
 END_ID = 0
 PIECES_TYPE = "doc_id long, piece int, start long, length long, ids binary"
-CACHE_WORDS = 800_000
-TEXT_BYTES = 4 << 20
+#: bounds of a worker's table of words
+CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
+TEXT_BYTES = 2 << 20
 GROUP = 50_000
 
 
+def _gather(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of ``flat`` one after another, each by its begin and length."""
+    some = n > 0
+    begin, n = begin[some], n[some]
+    if not len(n):
+        return flat[:0]
+    # begins of the runs, then steps of one: a running sum gives every place
+    ends = np.cumsum(n)
+    index = np.ones(int(ends[-1]), np.int64)
+    index[0] = begin[0]
+    index[ends[:-1]] = begin[1:] - (begin[:-1] + n[:-1] - 1)
+    return flat[np.cumsum(index)]
+
+
 class WordTokenizer:
     """Ids of many texts by a vocabulary file whose tokens never span a space or a line break.
 
-    Splitting at spaces and line breaks and joining the ids of the words gives the ids of the whole text, so each
-    distinct word is tokenised once while it stays in the bounded cache. Words of Latin letters and end marks, which
-    lower-casing alone normalises, go to the vocabulary's model directly; all others take the tokenizer's whole path.
+    Splitting at spaces and line breaks and joining the ids of the words gives the ids of the whole text. A word of Latin
+    letters and then ASCII marks, which lower-casing alone normalises, is a stem and an end, each of which the vocabulary's
+    model reads alone; all other words take the tokenizer's whole path. Stems, ends and other words are read once while
+    they stay in a table that is bounded in rows and bytes.
     """
 
-    plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+    # no apostrophe (it may begin a contraction) and no sign of the special tokens
+    simple = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*[!-&(-/:;=?@\\[\\\\\\]^_`{}~]*$"
+    stem, end = "^[a-z\u00df-\u00f6\u00f8-\u00ff]*", "[^a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -55,67 +72,60 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def core(self, piece: str) -> list[int]:
-        """Ids of a run of lower-case letters, or of a run of end marks."""
-        ids = self.cores.get(piece)
-        if ids is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
-            self.cores[piece] = ids
-        return ids
-
-    def learn(self, words: list[str]) -> None:
-        plain, others, ids = self.plain.fullmatch, [], []
-        for w in words:
-            m = plain(w)
-            if m is None:
-                others.append(w)
-            else:
-                ids.append((w, self.core(m[1].lower()) + self.core(m[2]) if m[2] else self.core(m[1].lower())))
-        ids += zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True)
-        at = len(self.number)
-        counts = np.fromiter((len(i) for _, i in ids), np.int64, len(ids))
-        flat = np.fromiter((x for _, i in ids for x in i), np.uint32, int(counts.sum()))
-        while at + len(ids) > len(self.begin):
-            self.begin, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.count))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.count[at : at + len(ids)] = counts
-        self.begin[at : at + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.used += len(flat)
-        self.number.update((w, at + i) for i, (w, _) in enumerate(ids))
+        """Only the empty word is known, as row 0."""
+        self.known = pa.array([""], pa.string())
+        self.flat, self.begin, self.count = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, words: pa.Array, ids: list[list[int]]) -> None:
+        counts = np.fromiter((len(i) for i in ids), np.int64, len(ids))
+        begin = len(self.flat) + np.cumsum(counts) - counts
+        self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(counts.sum()))])
+        self.begin, self.count = np.append(self.begin, begin), np.append(self.count, counts)
+        self.known = pa.concat_arrays([self.known, words])
+
+    def rows_of(self, simple: pa.Array, others: pa.Array) -> np.ndarray:
+        """Rows of the table, of stems and ends first, then of the words that need the tokenizer's whole path."""
+        words = pa.concat_arrays([simple, others])
+        row = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy().astype(np.int64)
+        if (missing := np.flatnonzero(row < 0)).size:
+            row[missing] = len(self.known) + np.arange(len(missing))
+            new = words.take(pa.array(missing))
+            texts, n = new.to_pylist(), int((missing < len(simple)).sum())
+            read = self.tokenizer.model.tokenize
+            ids = [[t.id for t in read(w if w.isascii() else w.translate(self.letters))] for w in texts[:n]]
+            self.learn(new, ids + [e.ids for e in self.tokenizer.encode_batch_fast(texts[n:], add_special_tokens=False)])
+        return row
+
+    def word_rows(self, words: pa.Array) -> np.ndarray:
+        """(words, 2) rows of the stem and the end of distinct words."""
+        if len(self.known) > CACHE_WORDS or self.known.nbytes > CACHE_BYTES:
+            self.reset()
+        simple = pc.match_substring_regex(words, self.simple)
+        own = simple.to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(words.filter(simple))
+        stems = pc.replace_substring_regex(low, self.end, "").dictionary_encode()
+        ends = pc.replace_substring_regex(low, self.stem, "").dictionary_encode()
+        row = self.rows_of(pa.concat_arrays([stems.dictionary, ends.dictionary]), words.filter(pc.invert(simple)))
+        n, m = len(stems.dictionary), len(ends.dictionary)
+        rows = np.zeros((len(words), 2), np.int64)
+        rows[own, 0], rows[own, 1] = row[:n][stems.indices.to_numpy()], row[n : n + m][ends.indices.to_numpy()]
+        rows[~own, 0] = row[n + m :]
+        return rows
 
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.number) > CACHE_WORDS:
-            self.reset()
-        get = self.number.get
-        row = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        if (missing := np.flatnonzero(row < 0)).size:
-            new = [words[i] for i in missing]
-            self.learn(new)
-            row[missing] = np.fromiter((self.number[w] for w in new), np.int64, len(new))
-        at = row[coded.indices.to_numpy()]
-        n = self.count[at]
-        sizes = np.add.reduceat(n, split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()) if len(texts) else np.zeros(0, np.int64)
-        some = n > 0
-        begin, n = self.begin[at[some]], n[some]
-        if not len(n):
-            return np.zeros(0, np.uint32), sizes
-        # begins of the words, then steps of one: a running sum gives every id's place
-        ends = np.cumsum(n)
-        index = np.ones(int(ends[-1]), np.int64)
-        index[0] = begin[0]
-        index[ends[:-1]] = begin[1:] - (begin[:-1] + n[:-1] - 1)
-        return self.flat[np.cumsum(index)], sizes
+        rows = self.word_rows(coded.dictionary)
+        # the ids of each distinct word, then those of the words in their order
+        parts = rows.ravel()
+        flat, n = _gather(self.flat, self.begin[parts], self.count[parts]), self.count[rows].sum(1)
+        at = coded.indices.to_numpy()
+        begin, n = (np.cumsum(n) - n)[at], n[at]
+        sizes = np.add.reduceat(n, split.offsets.to_numpy()[:-1] - split.offsets[0].as_py())
+        return _gather(flat, begin, n), sizes
 
 
 @functools.cache
@@ -147,7 +157,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                 data = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), data], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES_TYPE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freed(run), PIECES_TYPE)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
