@@ -4,13 +4,16 @@ A text is the bag of its runs of five words. Each distinct run with weight w sta
 for every dyadic interval of levels that begins below w; points above w are thinned out by their level. So texts that
 share a run share its points up to the lower weight, and the earliest point in each signature place agrees with
 probability equal to the weighted Jaccard similarity. Processes that can no longer beat the signature stop, so most runs
-yield one point only.
+yield one point only. (The intervals are a fixed hierarchy, the halves of which are not split again while points are
+drawn: weights are counts of runs, and a count of w takes log2(w) processes.)
 
 Signatures are cut to bands; texts that share a band are candidates, verified by exact bag overlap. Equal texts are one
-node from the start. In a band's bucket each node is compared with two centres (stars, not all pairs); verified links
-join nodes to components. Only where a bucket still holds several components are nodes compared across them; a pair is
-left out only if its bags' sizes rule the similarity out. So no link is lost to a star's centre, and a link is lost only if
-the pair shares no band (5e-8 at 0.8) and nothing else joins it.
+node from the start. In a band's bucket every node is compared with one centre, the node whose bands are shared most (a
+star, not all pairs); verified links join nodes to components. Only where a bucket still holds several components are
+nodes compared across them, and only pairs that no exact bound rules out: the sizes of the bags, and for nodes with many
+such partners the runs that no other such node has, then an overlap of the bags in 16-bit cells, which is never too small.
+So no link is lost to a centre or a bound, and a link is lost only if the pair shares no band (5e-8 at 0.8) and nothing
+else joins it.
 
 Defined results: null text is the empty text; a text of one to four words is one run; texts without words are alike only
 if equal; equal similarity to the threshold counts; rows with one id and several texts belong to the class of each; an
@@ -29,12 +32,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaptrail.llm import hashes
-from snaptrail.llm.common import cut, parts_of
+from snaptrail.llm.common import cut, few, freed, parts_of
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
 LINKS_A_PART = 500_000
 TEXT_BYTES = 2 << 20
+#: partners in other components up to which a node's pairs are formed by size alone
+FEW_PARTNERS = 64
+#: pairs of one node that are compared in one place
+PAIRS_A_COPY = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,26 +144,83 @@ def banded(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, t1 long, t2 long, bands array<long>, size long")
 
 
+def bags_of(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted hashes, counts) of each text."""
+    of, h, count = bags(text)
+    at = np.searchsorted(of, np.arange(len(text) + 1))
+    return [(h[i:j], count[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """a, b, value of a, value of b of distinct pairs. values: node, value.
+
+    A node that is ``b`` of many pairs has its value copied once for so many pairs, so that no task gets them all.
+    """
+    many = few(pairs.groupBy("b").agg(F.floor(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).filter("copies > 0"))
+    dealt = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(0)) + 1).alias("copy"))
+    right = values.withColumnRenamed("node", "b").join(many, "b", "left").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(0)).cast("long"))).alias("copy"), F.col(value).alias(f"{value}_b"))
+    left = values.select(F.col("node").alias("a"), F.col(value).alias(f"{value}_a"))
+    return dealt.join(right, ["b", "copy"]).join(left, "a").select("a", "b", f"{value}_a", f"{value}_b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough. texts: node, text."""
+    """The pairs (a, b) whose bags overlap enough. pairs: distinct. texts: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bag(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-            of, h, count = bags(text)
-            at = np.searchsorted(of, np.arange(len(text) + 1))
-            return [(h[i:j], count[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-
         for batch in batches:
             for part in parts_of(batch, 2, TEXT_BYTES):
                 # a centre's text comes many times in a row
                 centres = part.column(3).dictionary_encode()
-                index, right = centres.indices.to_numpy(), bag(centres.dictionary)
-                keep = [overlap(x, right[index[i]]) >= similar - 1e-12 for i, x in enumerate(bag(part.column(2)))]
+                index, right = centres.indices.to_numpy(), bags_of(centres.dictionary)
+                keep = [overlap(x, right[index[i]]) >= similar - 1e-12 for i, x in enumerate(bags_of(part.column(2)))]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_both(pairs, texts, "text").mapInArrow(freed(run), "a long, b long")
+
+
+def cells_of(texts: DataFrame) -> DataFrame:
+    """node, cells: each text's bag as its runs' hashes cut to 16 bits, sorted, as often as they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts_of(batch, 1, TEXT_BYTES):
+                cells = [np.sort(np.repeat((h >> np.uint64(48)).astype("<u2"), count)).tobytes() for h, count in bags_of(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], ["node", "cells"])
+
+    return texts.select("node", "text").mapInArrow(freed(run), "node long, cells binary")
+
+
+def numbered(cells: np.ndarray) -> np.ndarray:
+    """Sorted cells made distinct: the second of equal ones meets only another second."""
+    first = np.searchsorted(cells, cells)
+    return (np.arange(len(cells)) - first) << 16 | cells.astype(np.int64)
+
+
+def may_overlap(pairs: DataFrame, cells: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose cells overlap enough: all that ``verified`` would keep, and hardly any more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [[numbered(np.frombuffer(x, "<u2")) for x in side.to_pylist()] for side in batch.columns[2:]]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*cells, strict=True)]
+            keep = [n >= (len(x) + len(y) - n) * (similar - 1e-12) for n, x, y in zip(both, *cells, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    return with_both(pairs, cells, "cells").mapInArrow(freed(run), "a long, b long")
+
+
+def unshared(texts: DataFrame) -> DataFrame:
+    """node, alone: how many runs of a text (with repeats) no other of the texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts_of(batch, 1, TEXT_BYTES):
+                of, h, count = bags(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(h.view(np.int64)), pa.array(count.astype(np.int32))], ["node", "h", "n"])
+
+    runs = texts.select("node", "text").mapInArrow(freed(run), "node long, h long, n int")
+    single = runs.groupBy("h").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.min("n").alias("n")).filter("nodes = 1")
+    return single.groupBy("node").agg(F.sum("n").alias("alone"))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -178,19 +242,36 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.select("node").join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
-def across(placed: DataFrame, similar: float) -> DataFrame:
-    """(a, b): nodes of different components that share a band, from (key, node, root, size); each pair once.
+def across(placed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(a, b): nodes of different components that share a band and may be alike, from (key, node, root, size); each pair once.
 
-    Two bags are no more similar than the smaller is large against the larger, so other pairs are left out.
+    Two bags are no more similar than the smaller is large against the larger. Of a node with many partners the runs that
+    no other such node has are counted too: they lie outside every overlap of two such nodes.
     """
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rows = cut(placed.join(mixed, "key").withColumn("keys", F.collect_list("key").over(Window.partitionBy("node"))))
-    other = rows.select(F.col("key").alias("other_key"), F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"), F.col("keys").alias("other_keys"))
+    of_root = placed.groupBy("key", "root").agg(F.count("*").alias("own"))
+    of_key = of_root.groupBy("key").agg(F.sum("own").alias("all"), F.count("*").alias("roots")).filter("roots > 1").select("key", "all")
+    mixed = cut(placed.join(of_root.join(of_key, "key"), ["key", "root"]))
+    nodes = mixed.groupBy("node").agg(F.sum(F.col("all") - F.col("own")).alias("partners"), F.collect_list("key").alias("keys"))
+    nodes = cut(nodes.withColumn("busy", F.col("partners") > FEW_PARTNERS).drop("partners"))
+    busy = texts.join(few(nodes.filter("busy").select("node")), "node", "left_semi")
+    nodes = nodes.join(few(cut(unshared(busy))), "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    rows = cut(mixed.select("key", "node", "root", "size").join(nodes, "node"))
+    other = rows.select(*[F.col(c).alias(f"other_{c}") for c in rows.columns])
     alike = F.least("size", "other_size") >= F.greatest("size", "other_size") * (similar - 1e-12)
+    both = F.least(F.col("size") - F.col("alone"), F.col("other_size") - F.col("other_alone"))
+    busy_alike = ~(F.col("busy") & F.col("other_busy")) | (both >= (F.col("size") + F.col("other_size") - both) * (similar - 1e-12))
     # a pair comes from the smallest of its shared bands only
     first = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
-    pairs = rows.join(other, (F.col("key") == F.col("other_key")) & (F.col("root") < F.col("other_root")) & alike & first)
-    return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+    pairs = rows.join(other, (F.col("key") == F.col("other_key")) & (F.col("root") < F.col("other_root")) & alike & busy_alike & first)
+    pairs = cut(pairs.select(F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"), (F.col("busy") & F.col("other_busy")).alias("rough")))
+    return pairs.filter("NOT rough").select("a", "b").unionByName(may_overlap(pairs.filter("rough").select("a", "b"), cells_of(busy), similar))
+
+
+def centres(member: DataFrame) -> DataFrame:
+    """key, centre: of every bucket of several nodes the node whose buckets are the largest, from (key, node)."""
+    shared = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    known = member.join(shared, "key").groupBy("node").agg(F.sum("n").alias("n"), F.collect_list("key").alias("keys"))
+    return known.select(F.struct("n", "node").alias("rank"), F.explode("keys").alias("key")).groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.node").alias("centre"))
 
 
 def classes_of_texts(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
@@ -200,18 +281,18 @@ def classes_of_texts(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFr
     classes = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     nodes = cut(classes).withColumn("node", F.monotonically_increasing_id())
     member = nodes.select("node", F.explode("bands").alias("key"))
-    # only buckets of several nodes matter from here on; their smallest and largest nodes are the centres
-    shared = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    member = cut(member.join(shared, "key").select("key", "node", "lo", "hi"))
+    # only buckets of several nodes matter from here on
+    member = cut(member.join(centres(member), "key").select("key", "node", "centre"))
     wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "t1", "t2", "first_id")
     source = docs.select(F.col("doc_id").cast("long").alias("first_id"), *text_keys(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     texts = source.join(wanted, (source.t1 == wanted.t1) & (source.t2 == wanted.t2) & source.first_id.eqNullSafe(wanted.first_id)).select("node", "text")
     # a repeated row gives its node's text twice
     texts = cut(texts.dropDuplicates(["node"]))
-    star = member.select("node", F.explode(F.array("lo", "hi")).alias("centre")).filter("node <> centre")
-    links = cut(verified(star.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct(), texts, similar))
+    star = cut(member.select(F.col("node").alias("a"), F.col("centre").alias("b")).filter("a <> b").distinct())
+    links = cut(verified(star, texts, similar))
     root = components(nodes, links)
-    more = cut(verified(across(member.select("key", "node").join(root.join(nodes.select("node", "size"), "node"), "node"), similar), texts, similar))
+    more = across(member.select("key", "node").join(root.join(nodes.select("node", "size"), "node"), "node"), texts, similar)
+    more = cut(verified(cut(more), texts, similar))
     if not more.isEmpty():
         root = components(nodes, links.unionByName(more))
     return sigs.select("doc_id", "t1", "t2"), nodes.select("node", "t1", "t2", "first_id", "copies").join(root, "node")

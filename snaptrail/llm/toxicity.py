@@ -27,15 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptrail.llm.common import parts_of
+from snaptrail.llm.common import freed, parts_of
 
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_SIZE, CHAR_SIZE = 8, 8, 16
 TRIGRAMS = PREFIXES = 1 << 12
 PREFIX_SIZES = (4, 5, 6)  # with the mark of the word's start
 UPDATES = 150
-KNOWN_ROWS = 400_000
-TEXT_BYTES = 12 << 20
+KNOWN_ROWS = 200_000
+TEXT_BYTES = 4 << 20
 THRESHOLD = 0.7
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -435,4 +435,4 @@ def score(docs: DataFrame, network: Network | None, keep: list[str]) -> DataFram
                 values = scorer.scores(part.column(at)) if scorer is not None else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(values, pa.float64())], [*keep, "score"])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(freed(run), schema)

@@ -264,11 +264,37 @@ def test_one_shared_band_is_enough_across_components(spark):
     # nodes 1 and 2 share band 7 only; 3's bag is too small to be like 1 or 2, 4 is in 1's component
     rows = [(7, 1, 1, 100), (8, 1, 1, 100), (7, 2, 2, 80), (9, 2, 2, 80), (7, 3, 3, 63), (7, 4, 1, 100), (9, 4, 1, 100)]
     placed = spark.createDataFrame(rows, "key long, node long, root long, size long")
-    assert sorted(map(tuple, near_dups.across(placed, 0.8).collect())) == [(2, 1), (4, 2)]
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(1, 5)], "node long, text string")
+    assert sorted(map(tuple, near_dups.across(placed, texts, 0.8).collect())) == [(2, 1), (4, 2)]
     sizes = {r["doc_id"]: r["size"] for r in near_dups.banded(docs_of(spark, EDGE)).collect()}
     assert [sizes[i] for i in range(6)] == [0, 0, 0, 1, 1, 2996]
 
 
+def test_bounds_lose_no_pair_of_busy_nodes(spark):
+    # one bucket of many components: the bounds keep exactly the pairs that are alike (no cells collide here)
+    rng = np.random.default_rng(17)
+    base, texts = [f"b{i}" for i in range(60)], []
+    for k in range(90):
+        own = list(base)
+        for at in rng.integers(0, 60, k % 5):
+            own[at] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(own))
+    bags = near_dups.bags_of(pa.array(texts))
+    want = {(a, b) for a in range(90) for b in range(a) if near_dups.overlap(bags[a], bags[b]) >= 0.8 - 1e-12}
+    placed = spark.createDataFrame([(k, i, i, 56) for i in range(90) for k in (7, 8)], "key long, node long, root long, size long")
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = [tuple(r) for r in near_dups.across(placed, nodes, 0.8).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and len(got) <= 1.1 * len(want)
+    assert {tuple(r) for r in near_dups.verified(spark.createDataFrame(got, "a long, b long"), nodes, 0.8).collect()} == want
+
+
+def test_hot_sides_of_pairs_are_dealt(spark):
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 1200)], "a long, b long")
+    values = spark.createDataFrame([(i, f"v{i}") for i in range(1200)], "node long, v string")
+    got = sorted(map(tuple, near_dups.with_both(pairs, values, "v").collect()))
+    assert got == [(i, 0, f"v{i}", "v0") for i in range(1, 1200)]
+
+
 def test_near_duplicates_empty(spark):
     assert near_dups.near_duplicates(docs_of(spark, [])).count() == 0
 
