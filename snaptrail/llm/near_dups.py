@@ -42,6 +42,8 @@ TEXT_BYTES = 2 << 20
 FEW_PARTNERS = 64
 #: pairs of one node that are compared in one place
 PAIRS_A_COPY = 512
+#: runs of a bag up to which its cells are compared before its text is fetched
+CELLS = 1 << 13
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,35 +180,25 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return with_both(pairs, texts, "text").mapInArrow(freed(run), "a long, b long")
 
 
-def cells_of(texts: DataFrame) -> DataFrame:
-    """node, cells: each text's bag as its runs' hashes cut to 16 bits, sorted, as often as they occur."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts_of(batch, 1, TEXT_BYTES):
-                cells = [np.sort(np.repeat((h >> np.uint64(48)).astype("<u2"), count)).tobytes() for h, count in bags_of(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], ["node", "cells"])
-
-    return texts.select("node", "text").mapInArrow(freed(run), "node long, cells binary")
-
-
 def numbered(cells: np.ndarray) -> np.ndarray:
     """Sorted cells made distinct: the second of equal ones meets only another second."""
     first = np.searchsorted(cells, cells)
     return (np.arange(len(cells)) - first) << 16 | cells.astype(np.int64)
 
 
-def may_overlap(pairs: DataFrame, cells: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose cells overlap enough: all that ``verified`` would keep, and hardly any more."""
+def cells_of(texts: DataFrame, most: int = CELLS) -> DataFrame:
+    """node, cells: each bag's run hashes cut to 16 bits, numbered where they repeat; null for bags of more than ``most`` runs.
+
+    Two bags have at least as many cells in common as runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [[numbered(np.frombuffer(x, "<u2")) for x in side.to_pylist()] for side in batch.columns[2:]]
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*cells, strict=True)]
-            keep = [n >= (len(x) + len(y) - n) * (similar - 1e-12) for n, x, y in zip(both, *cells, strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            for part in parts_of(batch, 1, TEXT_BYTES):
+                cells = [numbered(np.sort(np.repeat((h >> np.uint64(48)).astype(np.uint16), count))) if count.sum() <= most else None for h, count in bags_of(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.list_(pa.int32()))], ["node", "cells"])
 
-    return with_both(pairs, cells, "cells").mapInArrow(freed(run), "a long, b long")
+    return texts.select("node", "text").mapInArrow(freed(run), "node long, cells array<int>")
 
 
 def unshared(texts: DataFrame) -> DataFrame:
@@ -245,26 +237,36 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def across(placed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """(a, b): nodes of different components that share a band and may be alike, from (key, node, root, size); each pair once.
 
-    Two bags are no more similar than the smaller is large against the larger. Of a node with many partners the runs that
-    no other such node has are counted too: they lie outside every overlap of two such nodes.
+    In a bucket the nodes outside its largest component meet the others. Two bags are no more similar than the smaller is
+    large against the larger. Of nodes with many partners more is known: the runs that no other such node has lie outside
+    every overlap of two of them, which drops most of them before they meet anyone; and their bags' cells are compared.
     """
-    of_root = placed.groupBy("key", "root").agg(F.count("*").alias("own"))
-    of_key = of_root.groupBy("key").agg(F.sum("own").alias("all"), F.count("*").alias("roots")).filter("roots > 1").select("key", "all")
-    mixed = cut(placed.join(of_root.join(of_key, "key"), ["key", "root"]))
+    of_root = placed.groupBy("key", "root").agg(F.count("*").alias("own"), F.min("size").alias("least"))
+    largest = F.max(F.struct("own", "root"))
+    of_key = of_root.groupBy("key").agg(F.sum("own").alias("all"), F.min("least").alias("least"), largest.alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    of_key = of_key.select("key", "all", "least", F.col("main.root").alias("main"), (F.col("all") - F.col("main.own")).alias("outside"))
+    mixed = cut(placed.join(of_root.drop("least").join(of_key, "key"), ["key", "root"]))
     nodes = mixed.groupBy("node").agg(F.sum(F.col("all") - F.col("own")).alias("partners"), F.collect_list("key").alias("keys"))
     nodes = cut(nodes.withColumn("busy", F.col("partners") > FEW_PARTNERS).drop("partners"))
     busy = texts.join(few(nodes.filter("busy").select("node")), "node", "left_semi")
-    nodes = nodes.join(few(cut(unshared(busy))), "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    rows = cut(mixed.select("key", "node", "root", "size").join(nodes, "node"))
+    known = cut(cells_of(busy).join(unshared(busy), "node", "left"))
+    nodes = nodes.join(known, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    rows = mixed.select("key", "node", "root", "size", "main", "least", "outside").join(nodes, "node")
+    # where many nodes are outside the largest component all nodes have many partners, the smallest of which is ``least``
+    lonely = (F.col("outside") > FEW_PARTNERS) & ((F.col("size") - F.col("alone")) * (1 + similar) < (F.col("size") + F.col("least")) * (similar - 1e-12))
+    rows = cut(rows.filter(~lonely).drop("least", "outside"))
     other = rows.select(*[F.col(c).alias(f"other_{c}") for c in rows.columns])
+    once = (F.col("root") != F.col("other_root")) & ((F.col("other_root") == F.col("main")) | (F.col("root") < F.col("other_root")))
     alike = F.least("size", "other_size") >= F.greatest("size", "other_size") * (similar - 1e-12)
+    enough = (F.col("size") + F.col("other_size")) * (similar - 1e-12)
     both = F.least(F.col("size") - F.col("alone"), F.col("other_size") - F.col("other_alone"))
-    busy_alike = ~(F.col("busy") & F.col("other_busy")) | (both >= (F.col("size") + F.col("other_size") - both) * (similar - 1e-12))
+    bound = ~(F.col("busy") & F.col("other_busy")) | (both * (1 + similar) >= enough)
     # a pair comes from the smallest of its shared bands only
     first = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
-    pairs = rows.join(other, (F.col("key") == F.col("other_key")) & (F.col("root") < F.col("other_root")) & alike & busy_alike & first)
-    pairs = cut(pairs.select(F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"), (F.col("busy") & F.col("other_busy")).alias("rough")))
-    return pairs.filter("NOT rough").select("a", "b").unionByName(may_overlap(pairs.filter("rough").select("a", "b"), cells_of(busy), similar))
+    cells = F.col("cells").isNull() | F.col("other_cells").isNull() | (F.size(F.array_intersect("cells", "other_cells")) * (1 + similar) >= enough)
+    met = (F.col("key") == F.col("other_key")) & once & alike & bound & first & cells
+    pairs = rows.filter("root <> main").join(other, met)
+    return pairs.select(F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"))
 
 
 def centres(member: DataFrame) -> DataFrame:
