@@ -31,6 +31,8 @@ def _crc_table(poly: int, bits: int) -> np.ndarray:
 
 
 _CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+_WORD = np.arange(1 << 16).astype(np.uint16)
+_CRC16_WORD = _CRC16[(_CRC16[_WORD >> 8] >> 8) ^ (_WORD & 0xFF)] ^ (_CRC16[_WORD >> 8] << 8)
 _TOP_ZEROS = np.full(1 << 16, 16, np.int64)
 for _bit in range(16):
     _TOP_ZEROS[1 << _bit : 2 << _bit] = 15 - _bit
@@ -46,19 +48,43 @@ def checksum(buf: np.ndarray, start: np.ndarray, length: np.ndarray, wide: bool)
     at, left = start[order], length[order]
     crc = np.zeros(len(at), np.uint16)
     # rows that still have a j-th byte are a prefix, as they are sorted by length
-    counts = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")
-    for j, n in enumerate(counts):
-        byte = buf[at[:n] + j]
-        crc[:n] = _CRC16[(crc[:n] >> 8) ^ byte] ^ (crc[:n] << 8) if wide else _CRC8[crc[:n] ^ byte]
+    most = int(left[0]) if len(left) else 0
+    counts = np.searchsorted(-left, -np.arange(most + 1), side="left")
+    if wide:  # two bytes at a time
+        words = np.ndarray((max(0, len(buf) - 1),), ">u2", np.ascontiguousarray(buf), strides=(1,))
+        for j in range(0, most, 2):
+            n, odd = counts[j + 1], counts[j]
+            crc[:n] = _CRC16_WORD[crc[:n] ^ words[at[:n] + j]]
+            if odd > n:
+                crc[n:odd] = _CRC16[(crc[n:odd] >> 8) ^ buf[at[n:odd] + j]] ^ (crc[n:odd] << 8)
+    else:
+        for j, n in enumerate(counts[:most]):
+            crc[:n] = _CRC8[crc[:n] ^ buf[at[:n] + j]]
     out = np.empty_like(crc)
     out[order] = crc
     return out
 
 
-def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray | int, n: int) -> None:
-    value = np.asarray(value, np.int64)
-    for j in range(n):
-        bits[at + j] = (value >> (n - 1 - j)) & 1
+class _Writer:
+    """Collects numbers of up to 32 bits at bit positions of their own, and writes them all at once."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def put(self, at: np.ndarray, value: np.ndarray | int, n: np.ndarray | int) -> None:
+        value = np.broadcast_to(np.asarray(value, np.int64), at.shape).ravel()
+        self.parts.append((at.ravel(), value, np.broadcast_to(np.asarray(n, np.int64), at.shape).ravel()))
+
+    def to_bytes(self, size: int) -> np.ndarray:
+        at, value, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        last = at + n - 1
+        shifted = value << (31 - (last & 31))
+        word, low, high = last >> 5, shifted & 0xFFFFFFFF, shifted >> 32
+        # numbers never share a bit, so sums are unions; they stay exact below 2^53
+        total = np.bincount(word, low, size // 4 + 2)
+        over = np.flatnonzero(high)
+        total += np.bincount(word[over] - 1, high[over], len(total))
+        return total.astype(">u4").view(np.uint8)[:size].copy()
 
 
 def _number_bytes(number: np.ndarray) -> np.ndarray:
@@ -120,78 +146,65 @@ def encode_frames(x: np.ndarray, number: np.ndarray, bps: int, order: int = 4, p
     verbatim, constant = best >= n * bps, (x == x[:, :1]).all(1)
     kind = np.where(constant, 8, np.where(verbatim, 9, kind))
 
-    parts, plen = 1 << partition_order, n >> partition_order
-    u = np.zeros((rows, n), np.int32)
-    warm = np.zeros(rows, np.int64)
-    for i, (w, _, _) in enumerate(kinds):
-        own = kind == i
-        u[own], warm[own] = us[i][own], w
-    coded = kind < 8
-    k = np.stack([_rice_parameter(u[:, p * plen : (p + 1) * plen], plen) for p in range(parts)], 1)
-    kk = np.repeat(k, plen, 1)
-    live = (np.arange(n)[None, :] >= warm[:, None]) & coded[:, None]
-    lengths = ((u >> kk) + kk + 1) * live
-    lengths[:, ::plen] += np.where(coded, 4, 0)[:, None]  # each partition begins with its parameter
-
     nb = _number_bytes(number)
     head = 4 + nb + np.where(n == BLOCK, 0, 2) + 1
-    before = 8 * head + 8
-    lead = np.select([kind == 8, kind == 9, kind == 2], [bps, n * bps, warm * bps + 9 + order * precision + 6], warm * bps + 6)
-    total = (before + lead + lengths.sum(1) + 7) // 8 + 2
+    parts, plen = 1 << partition_order, n >> partition_order
+    n_bits = np.where(kind == 8, bps, n * bps)
+    groups = []
+    for i, (warm, _, lead) in enumerate(kinds):
+        rows_i = np.flatnonzero(kind == i)
+        if not len(rows_i):
+            continue
+        u = us[i][rows_i]
+        k = np.stack([_rice_parameter(u[:, p * plen : (p + 1) * plen], plen) for p in range(parts)], 1)
+        u, kk = u[:, warm:], k if parts == 1 else np.repeat(k, plen, 1)[:, warm:]
+        lengths = (u >> kk) + kk + 1
+        first = [max(0, p * plen - warm) for p in range(parts)]  # each partition begins with its parameter
+        lengths[:, first] += 4
+        ends = np.cumsum(lengths, 1, dtype=np.int64)
+        n_bits[rows_i] = warm * bps + lead + 6 + ends[:, -1]
+        groups.append((rows_i, warm, lead, u, k, kk, first, lengths, ends))
+    total = (8 * head + 8 + n_bits + 7) // 8 + 2
     start = np.concatenate([[0], np.cumsum(total)])
-    bits = np.zeros(int(start[-1]) * 8, np.uint8)
-    at = start[:-1] * 8
-    _put(bits, at, 0xFFF8, 16)
-    _put(bits, at + 16, 1 if n == BLOCK else 7, 4)
-    _put(bits, at + 20, 4, 4)
-    _put(bits, at + 28, 1 if bps == 8 else 4, 3)
+    bits, at = _Writer(), start[:-1] * 8
+    bits.put(at, 0xFFF8, 16)
+    bits.put(at + 16, 1 if n == BLOCK else 7, 4)
+    bits.put(at + 20, 4, 4)
+    bits.put(at + 28, 1 if bps == 8 else 4, 3)
     for size in np.unique(nb):
         own = nb == size
         a, num = at[own] + 32, number[own]
         if size == 1:
-            _put(bits, a, num, 8)
+            bits.put(a, num, 8)
         else:
-            _put(bits, a, ((0xFF00 >> size) & 0xFF) | (num >> (6 * (size - 1))), 8)
+            bits.put(a, ((0xFF00 >> size) & 0xFF) | (num >> (6 * (size - 1))), 8)
             for j in range(1, size):
-                _put(bits, a + 8 * j, 0x80 | ((num >> (6 * (size - 1 - j))) & 0x3F), 8)
+                bits.put(a + 8 * j, 0x80 | ((num >> (6 * (size - 1 - j))) & 0x3F), 8)
     if n != BLOCK:
-        _put(bits, at + 32 + 8 * nb, n - 1, 16)
-    sub = at + 8 * head
-    _put(bits, sub, np.select([kind == 8, kind == 9, kind == 2], [0, 1 << 1, (0x20 | max(0, order - 1)) << 1], (8 + warm) << 1), 8)
+        bits.put(at + 32 + 8 * nb, n - 1, 16)
+    sub, mask = at + 8 * head, (1 << bps) - 1
+    bits.put(sub, np.select([kind == 8, kind == 9, kind == 2, kind == 1], [0, 1 << 1, (0x20 | max(0, order - 1)) << 1, 9 << 1], 8 << 1), 8)
     sub = sub + 8
     own = kind == 8
-    _put(bits, sub[own], x[own, 0], bps)
+    bits.put(sub[own], x[own, 0] & mask, bps)
     own = kind == 9
-    if own.any():
-        _put(bits, (sub[own][:, None] + bps * np.arange(n)).ravel(), x[own].ravel(), bps)
-    for w in range(int(warm.max(initial=0))):
-        own = coded & (warm > w)
-        _put(bits, sub[own] + w * bps, x[own, w], bps)
-    rice = sub + warm * bps
-    own = kind == 2
-    if own.any():
-        _put(bits, rice[own], precision - 1, 4)
-        _put(bits, rice[own] + 4, shift, 5)
-        for j in range(order):
-            _put(bits, rice[own] + 9 + j * precision, coefficients[own, j], precision)
-        rice[own] += 9 + order * precision
-    _put(bits, rice[coded] + 2, partition_order, 4)
-    rice = rice + 6
-    begin = (rice[:, None] + np.cumsum(lengths, 1) - lengths).astype(np.int32)
-    for p in range(parts):
-        _put(bits, begin[coded, p * plen], k[coded, p], 4)
-        begin[coded, p * plen] += 4
-    b, v, kf = begin[live], u[live], kk[live]
-    stop = b + (v >> kf)
-    bits[stop] = 1
-    low = v & ((1 << kf) - 1)
-    for j in range(int(kf.max(initial=0))):  # from the lowest bit up
-        if kf.min(initial=99) > j:
-            bits[stop + (kf - j)] = (low >> j) & 1
-        else:
-            own = kf > j
-            bits[stop[own] + (kf[own] - j)] = (low[own] >> j) & 1
-    out = np.packbits(bits)
+    bits.put(sub[own][:, None] + bps * np.arange(n), x[own] & mask, bps)
+    for rows_i, warm, lead, u, k, kk, first, lengths, ends in groups:
+        rice = sub[rows_i]
+        bits.put(rice[:, None] + bps * np.arange(warm), x[rows_i, :warm] & mask, bps)
+        rice = rice + warm * bps
+        if lead:
+            bits.put(rice, precision - 1, 4)
+            bits.put(rice + 4, shift, 5)
+            bits.put(rice[:, None] + 9 + precision * np.arange(order), coefficients[rows_i] & ((1 << precision) - 1), precision)
+            rice = rice + lead
+        bits.put(rice + 2, partition_order, 4)
+        begin = rice[:, None] + 6 + ends - lengths
+        bits.put(begin[:, first], k, 4)
+        begin[:, first] += 4
+        # zeros, a one, and the low bits
+        bits.put(begin + (u >> kk), (1 << kk) | (u & ((1 << kk) - 1)), kk + 1)
+    out = bits.to_bytes(int(start[-1]))
     crc8 = checksum(out, start[:-1], head - 1, wide=False)
     out[start[:-1] + head - 1] = crc8
     crc16 = checksum(out, start[:-1], total - 2, wide=True)
@@ -199,7 +212,7 @@ def encode_frames(x: np.ndarray, number: np.ndarray, bps: int, order: int = 4, p
     return out, total
 
 
-def encode(payloads: Sequence[bytes], bps: int = 8, chunk_frames: int = 1024, **how: int) -> list[bytes]:
+def encode(payloads: Sequence[bytes], bps: int = 8, chunk_frames: int = 512, **how: int) -> list[bytes]:
     """FLAC files of mono sounds given as PCM bytes (8 bits: unsigned as in WAV; 16 bits: signed little-endian)."""
     width = bps // 8
     sounds = [np.frombuffer(p, np.uint8).astype(np.int32) - 128 if bps == 8 else np.frombuffer(p, "<i2").astype(np.int32) for p in payloads]
@@ -258,7 +271,7 @@ class _Bits:
         else:
             rest = w << (q + 1).astype(np.uint64)
             self.at[own] += q + 1 + k
-        low = np.where(k > 0, (rest >> (64 - np.maximum(k, 1)).astype(np.uint64)).astype(np.int64), 0)
+        low = (rest >> np.uint64(1) >> (63 - k).astype(np.uint64)).view(np.int64)
         u = (q << k) | low
         return (u >> 1) ^ -(u & 1)
 
