@@ -1,9 +1,11 @@
 """Main text of web pages by composite text density.
 
 Every DOM node gets its characters, link characters, tags and link tags. Its composite density is the characters per
-tag, weighed down by the share of linked text; its density sum adds those of its children. Walking from the body to the
-node of maximum density sum gives the threshold (the least density on that path); among the nodes that reach it, the
-subtree with the maximum density sum is the content. Its blocks are then read in page order.
+tag, weighed down by the share of linked text. The density sum of a block adds the densities of what it is made of: the
+blocks right below it, and the runs of text and inline tags between them. The block of maximum density sum is content;
+the least density on the path from it up to the body is the threshold. Any other block that reaches the threshold, and
+isn't mostly links, gives its own subtree of maximum density sum as further content. Headings right before content belong
+to it; lists of links inside it that stay below the threshold don't. All is read in page order.
 
 Menus, headers, footers, asides, forms, scripts, styles, hidden nodes, and nodes whose class, id or role says advert,
 notice, comment, sidebar and the like are left out of the tree before densities are computed, as are head and title.
@@ -11,7 +13,7 @@ A class or id alone doesn't drop what holds the page's text (``drop_flagged``);
 
 Defined results: null, empty or textless html gives the empty text; repeated pages stay repeated; unclosed, stray and
 misnested tags are repaired (an open paragraph, list item, row, cell or option is closed by the next); ties in density
-sum go to the node that comes first. Whole pages are read; nothing is cut. No shuffle.
+sum go to the node that comes first. Whole pages are read in time linear in their length; nothing is cut. No shuffle.
 """
 
 from __future__ import annotations
@@ -37,24 +39,114 @@ SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 CLUTTER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
     r"comments?|respond|disqus|replies|reply|sidebar|side-bar|aside|widget|related|recommended|recommendations|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|social|share|sharing|footer|masthead|site-header|"
-    r"page-header|topbar|skip-link|legal|disclaimer|tags|tag-list|trending|popular|discussion|feedback|outbrain|taboola)s?(?:$|[\s_-])", re.I
+    r"page-header|topbar|skip-link|disclaimer|tag-list|outbrain|taboola)s?(?:$|[\s_-])", re.I
 )
 # "has-sidebar" or "ad-free" says what is around a node, not what it is
 NEGATED = re.compile(r"\b(?:has|with|without|no|non|is)[_-][a-z]+(?:[_-][a-z]+)*|\b[a-z]+[_-]free\b", re.I)
 CLUTTER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: links in a block from which on it can be a list of links
+RAIL_LINKS = 3
+_OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)(?:([^<>\"']*)>)?|!--|[!?])")
+_TAG_STEP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "flagged", "link_chars", "link_tags", "parent", "score", "tag", "tags")
+    __slots__ = ("block", "chars", "children", "density", "flagged", "link_chars", "link_tags", "parent", "score", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, flagged: bool = False) -> None:
         self.tag, self.parent, self.flagged = tag, parent, flagged
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
+        self.block = tag in BLOCK
+
+
+class OpenTags:
+    """The stack of open tags, which finds the last one of a name without walking."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, Node, bool]] = []  # tag, the node it is in, whether it is inside clutter
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, parent: Node, clutter: bool) -> None:
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, parent, clutter))
+
+    def pop(self) -> tuple[Node, bool]:
+        tag, parent, clutter = self.stack.pop()
+        self.places[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+        return parent, clutter
+
+    def last(self, *tags: str) -> int:
+        """Place of the last open one of the tags; -1 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def ended_by_end(self, tag: str) -> int:
+        """Place down to which an end tag closes; an inline tag's end doesn't close blocks around it."""
+        at = self.last(tag)
+        return -1 if tag not in BLOCK and self.blocks and self.blocks[-1] > at else at
+
+    def ended_by_start(self, wanted: set[str], scope: set[str]) -> int:
+        """Place down to which an opening tag closes tags of ``wanted`` inside the nearest of ``scope``."""
+        at = self.last(*wanted)
+        if at <= self.last(*scope):
+            return -1
+        # the outermost of a run (a cell inside the row that ends)
+        while at and self.stack[at - 1][0] in wanted:
+            at -= 1
+        return at
+
+
+class Tokens:
+    """(start, end, is an end tag, name, attributes) of each tag, comment or declaration; the name is empty for the latter two.
+
+    Each place is looked at once: what has no end further on is remembered.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.unclosed = page, set()
+
+    def find(self, what: str, pos: int) -> int:
+        if what in self.unclosed:
+            return -1
+        at = self.page.find(what, pos)
+        if at < 0:
+            self.unclosed.add(what)
+        return at
+
+    def next(self, pos: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while m := _OPENING.search(page, pos):
+            pos = m.end()
+            if m[3] is not None:
+                return m.start(), pos, m[1] == "/", m[2].lower(), m[3]
+            if m[2] is None:
+                if m[0] == "<!--":
+                    end = self.find("-->", pos)
+                    return m.start(), len(page) if end < 0 else end + 3, False, "", ""
+                if (end := self.find(">", pos)) >= 0:
+                    return m.start(), end + 1, False, "", ""
+                continue
+            at = pos
+            while ">" not in self.unclosed:
+                step = _TAG_STEP.search(page, at)
+                if step is None:
+                    self.unclosed.add(">")
+                elif step[1] is None:
+                    return m.start(), step.end(), bool(m[1]), m[2].lower(), page[pos : step.start()]
+                else:
+                    # a quote without an end is a letter
+                    end = self.find(step[1], step.end())
+                    at = step.end() if end < 0 else end + 1
+        return None
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -111,87 +203,62 @@ def parse(page: str, by_name: bool = True) -> Node:
     """The tree of a page without clutter (``by_name``: by class and id too). Text nodes are strings with references decoded."""
     root = Node("html", None)
     at, here = 0, root
-    open_tags: list[tuple[str, Node, bool]] = []  # tag, the node it is in, whether it is inside clutter
+    tags, tokens = OpenTags(), Tokens(page)
     hidden = 0
-    size = len(page)
 
     def text(a: int, b: int) -> None:
         if a < b and not hidden:
             here.children.append(html.unescape(page[a:b]))
 
-    def pop() -> None:
+    def close(down_to: int) -> None:
         nonlocal here, hidden
-        _, here, clutter = open_tags.pop()
-        hidden -= clutter
-
-    pos = 0
-    while m := _TOKEN.search(page, pos):
-        text(at, m.start())
-        at = pos = m.end()
-        tag = m[2]
-        if tag is None:
+        while 0 <= down_to < len(tags.stack):
+            here, clutter = tags.pop()
+            hidden -= clutter
+
+    while token := tokens.next(at):
+        start, end, closing, tag, raw = token
+        text(at, start)
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
-            for i in range(len(open_tags) - 1, -1, -1):
-                name = open_tags[i][0]
-                if name == tag:
-                    while len(open_tags) > i:
-                        pop()
-                    break
-                # an inline tag's end doesn't close blocks around it
-                if tag not in BLOCK and name in BLOCK:
-                    break
+        if closing:
+            close(tags.ended_by_end(tag))
             continue
-        if tag in ("html", "body") and any(t[0] == tag for t in open_tags):
+        if tag in ("html", "body") and tags.last(tag) >= 0:
             continue
-        if tag in BLOCK and (i := last_open(open_tags, {"p"}, {"table", "td", "th", "button", "object"})) is not None:
-            while len(open_tags) > i:
-                pop()
-        if tag in CLOSES and (i := last_open(open_tags, CLOSES[tag], SCOPE.get(tag, {"table"}))) is not None:
-            while len(open_tags) > i:
-                pop()
-        if tag == "header" and not any(t[0] in ("article", "main", "section") for t in open_tags):
+        if tag in BLOCK:
+            close(tags.ended_by_start({"p"}, {"table", "td", "th", "button", "object"}))
+        if tag in CLOSES:
+            close(tags.ended_by_start(CLOSES[tag], SCOPE.get(tag, {"table"})))
+        if tag == "header" and tags.last("article", "main", "section") < 0:
             clutter, flagged = True, False
         else:
-            clutter, flagged = is_clutter(tag, m[3])
+            clutter, flagged = is_clutter(tag, raw)
         if tag in VOID:
             if not hidden and tag in ("br", "hr", "wbr"):
                 here.children.append(Node(tag, here))
             continue
-        if m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+        if raw.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, pos)
+            ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             if not hidden and not clutter:
-                here.children.append(html.unescape(page[pos : end.start()]))
-            at = pos = end.end()
+                here.children.append(html.unescape(page[at : ended.start()]))
+            at = ended.end()
             continue
         parent = here
-        open_tags.append((tag, parent, clutter))
+        tags.push(tag, parent, clutter)
         hidden += clutter
         if not hidden:
             here = Node(tag, parent, flagged)
             parent.children.append(here)
-    text(at, size)
+    text(at, len(page))
     if by_name:
         drop_flagged(root)
     return root
 
 
-def last_open(open_tags: list, wanted: set[str], scope: set[str]) -> int | None:
-    for i in range(len(open_tags) - 1, -1, -1):
-        if open_tags[i][0] in wanted:
-            found = i
-            # the outermost of a run (a cell inside the row that ends)
-            while found and open_tags[found - 1][0] in wanted:
-                found -= 1
-            return found
-        if open_tags[i][0] in scope:
-            return None
-    return None
-
-
 def in_order(root: Node) -> list[Node]:
     """All nodes, parents first."""
     out, stack = [], [root]
@@ -202,11 +269,19 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, linked: float) -> float:
+    """Characters per tag, weighed down by links; ``linked`` is the share of linked text in the page."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + linked * chars + math.e)
+    weight = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+    return chars / max(1, tags) * max(0.0, math.log(max(1.0, weight)) / math.log(max(math.e, base)))
+
+
 def densities(root: Node) -> list[Node]:
     """Fills counts, composite densities and density sums; returns the nodes, parents first."""
     nodes = in_order(root)
     for node in reversed(nodes):
-        link = node.tag == "a"
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(_SPACE.sub(" ", c).strip())
@@ -215,58 +290,82 @@ def densities(root: Node) -> list[Node]:
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
-        if link:
+                node.block |= c.block
+        if node.tag == "a":
             node.link_chars = node.chars
-    whole = root
-    ratio = whole.link_chars / whole.chars if whole.chars else 0.0
+    linked = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
-        if not node.chars:
-            continue
-        plain, linked = max(1, node.chars - node.link_chars), node.link_chars
-        base = math.log(node.chars / plain * linked + ratio * node.chars + math.e)
-        weight = node.chars / max(1, linked) * max(1, node.tags) / max(1, node.link_tags)
-        node.density = node.chars / max(1, node.tags) * max(0.0, math.log(max(1.0, weight)) / math.log(max(math.e, base)))
+        node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, linked)
     for node in nodes:
-        node.score = sum(c.density for c in node.children if isinstance(c, Node))
+        if not node.block:
+            continue
+        run = [0, 0, 0, 0]  # of text and inline tags since the last block
+        for c in [*node.children, None]:
+            if c is None or (isinstance(c, Node) and c.block):
+                node.score += c.density if c else 0.0
+                if run[0]:
+                    node.score += composite(*run, linked)
+                    run = [0, 0, 0, 0]
+            elif isinstance(c, str):
+                run[0] += len(_SPACE.sub(" ", c).strip())
+            else:
+                run = [a + b for a, b in zip(run, (c.chars, c.tags + 1, c.link_chars, c.link_tags + (c.tag == "a")), strict=True)]
     return nodes
 
 
-def content(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order."""
+def content(root: Node) -> tuple[list[Node], float]:
+    """The subtrees that hold the main text, in page order, and the threshold."""
     nodes = densities(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     if not body.chars:
-        return []
-    best = max(nodes, key=lambda n: n.score)
-    if not best.score:
-        return [body]
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        if node is body:
-            break
-        node = node.parent
-    threshold = min((n.density for n in path), default=0.0)
-    # the densest subtree, widened while most of what its parent adds is dense too
-    chosen = best
-    while chosen is not body and chosen.parent is not None and chosen.parent.tag != "html":
-        parent = chosen.parent
-        added = [c for c in parent.children if isinstance(c, Node) and c is not chosen and c.chars]
-        loose = sum(len(c.strip()) for c in parent.children if isinstance(c, str))
-        if chosen.tag not in ("article", "main") and (loose or any(c.density >= threshold and c.link_chars * 2 <= c.chars for c in added)):
-            chosen = parent
+        return [], 0.0
+    # the first node of maximum density sum at or below each block
+    best: dict[Node, Node] = {}
+    for node in reversed(nodes):
+        if node.block:
+            below = best.get(node, node)
+            best[node] = node if node.score >= below.score else below
+            others = best.get(node.parent)
+            if others is None or best[node].score >= others.score:
+                best[node.parent] = best[node]
+    path = [best[body]]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    # where the best is itself mostly links, no list of links is left out
+    threshold = 0.0 if path[0].link_chars * 2 > path[0].chars else min(n.density for n in path)
+    on_path, found, stack = set(path), [], [body]
+    while stack:
+        node = stack.pop()
+        if node is path[0] or (node not in on_path and node.density >= threshold and node.link_chars * 2 <= node.chars):
+            found.append(best[node])
         else:
-            break
-    while chosen.tag not in BLOCK and chosen.parent is not None:
-        chosen = chosen.parent
-    holder = chosen
-    while holder is not None and holder.tag not in ("article", "main"):
-        holder = holder.parent
-    return [holder or chosen]
+            stack += [c for c in reversed(node.children) if isinstance(c, Node) and c.block and c.chars]
+    out = []
+    for node in found:
+        out += [*headings_before(node), node]
+    return list(dict.fromkeys(out)), threshold
+
+
+def headings_before(node: Node) -> list[Node]:
+    """Headings that stand right before a block, or before a block that it begins."""
+    out: list[Node] = []
+    while node.parent is not None and node.tag != "body":
+        for c in reversed(node.parent.children[: node.parent.children.index(node)]):
+            if isinstance(c, str) and not c.strip():
+                continue
+            if isinstance(c, str) or c.tag not in HEADINGS:
+                return out[::-1]
+            out.append(c)
+        node = node.parent
+    return out[::-1]
+
 
+def is_rail(node: Node, threshold: float) -> bool:
+    return node.block and node.link_tags >= RAIL_LINKS and node.link_chars * 2 > node.chars and node.density < threshold
 
-def blocks(node: Node, out: list[str]) -> None:
-    """Texts of the blocks below a node, white space folded."""
+
+def blocks(node: Node, out: list[str], threshold: float = 0.0) -> None:
+    """Texts of the blocks below a node without lists of links, white space folded."""
     pieces: list[str] = []
 
     def flush() -> None:
@@ -283,8 +382,8 @@ def blocks(node: Node, out: list[str]) -> None:
             pieces.append(item)
         elif item.tag in ("br", "wbr"):
             pieces.append(" " if item.tag == "br" else "")
-        else:
-            if item.tag in BLOCK:
+        elif item is node or not is_rail(item, threshold):
+            if item.block:
                 flush()
                 stack.append(flush)
             stack += reversed(item.children)
@@ -296,8 +395,9 @@ def main_text(page: str | None) -> str:
         return ""
     for by_name in (True, False):
         out: list[str] = []
-        for node in content(parse(page, by_name)):
-            blocks(node, out)
+        chosen, threshold = content(parse(page, by_name))
+        for node in chosen:
+            blocks(node, out, threshold)
         if out:
             break
     return "\n".join(out)

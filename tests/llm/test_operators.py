@@ -1,6 +1,8 @@
 """The training-data operators against brute force, round trips and held-out labels, on small inputs and edge cases."""
 
 import hashlib
+import math
+import time
 import zlib
 
 import numpy as np
@@ -100,10 +102,88 @@ def test_html_clutter_names_still_drop_clutter():
     assert html_text.main_text("<body><div class='popular'><p>one</p></div><div class='legal'><p>two</p></div></body>") != ""
 
 
-def test_html_densities_are_sums():
-    nodes = html_text.densities(html_text.parse("<body><div><p>some words here</p><p>and more words</p></div><div><a>link</a></div></body>"))
-    for node in nodes:
-        assert node.score == pytest.approx(sum(c.density for c in node.children if isinstance(c, html_text.Node)))
+def brute_best(node, linked):
+    """The block of maximum density sum, each count taken anew from the subtree."""
+
+    def count(parts):
+        chars = tags = link_chars = link_tags = 0
+        for c in parts:
+            if isinstance(c, str):
+                chars += len(" ".join(c.split()))
+            else:
+                inner = count(c.children)
+                chars, tags, link_tags = chars + inner[0], tags + inner[1] + 1, link_tags + inner[3] + (c.tag == "a")
+                link_chars += inner[0] if c.tag == "a" else inner[2]
+        return chars, tags, link_chars, link_tags
+
+    def is_block(c):
+        return not isinstance(c, str) and (c.tag in html_text.BLOCK or any(is_block(x) for x in c.children))
+
+    def density(parts):
+        c, t, lc, lt = count(parts)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + linked * c + math.e)
+        return c / max(1, t) * max(0.0, math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(max(math.e, base)))
+
+    def score(n):
+        total, run = 0.0, []
+        for c in n.children:
+            if is_block(c):
+                total, run = total + density(run) + density(c.children), []
+            else:
+                run.append(c)
+        return total + density(run)
+
+    return [(n, score(n)) for n in html_text.in_order(node) if is_block(n)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<a href=x>", "</a>", "<ul><li>", "</ul>", "<span>", "</span>", "some words of text ", "a much longer piece of text, which goes on for a while. ", "x"]), max_size=40))
+def test_html_densities_equal_brute_force(pieces):
+    page = "<body>" + "".join(pieces) + "</body>"
+    root = html_text.parse(page)
+    nodes = html_text.densities(root)
+    linked = root.link_chars / root.chars if root.chars else 0.0
+    want = brute_best(root, linked)
+    assert [n for n in nodes if n.block] == [n for n, _ in want]
+    assert [n.score for n, _ in want] == pytest.approx([s for _, s in want])
+    body = next(n for n in nodes if n.tag == "body")
+    top = max(want[1:], key=lambda x: x[1])[1] if body.chars else 0
+    chosen, threshold = html_text.content(html_text.parse(page))
+    assert not body.chars or (max(n.score for n in chosen) == pytest.approx(top) and threshold <= body.density)
+
+
+TEXT = "<p>The first paragraph of the text itself, which has some length.</p><p>A second one, which is long enough as well.</p>"
+RAIL = "<div class='rail'><ul>" + "".join(f"<li><a href='/{i}'>Link title {i}</a></li>" for i in range(40)) + "</ul></div>"
+PLAIN = "The first paragraph of the text itself, which has some length.\nA second one, which is long enough as well."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<main><div>{t}</div>{r}</main>", PLAIN), ("<div>{t}</div>{r}", PLAIN), ("<div>{t}{r}</div>", PLAIN), ("<main><h1>Title</h1><div>{t}</div>{r}</main>", "Title\n" + PLAIN),
+        ("<div class='popular science'>{t}</div>{r}", PLAIN), ("<div class='popular science'><article>{t}</article></div>", PLAIN), ("<div><h2>A</h2>{t}</div><div><h2>B</h2>{t}</div>", f"A\n{PLAIN}\nB\n{PLAIN}"),
+        ("<div>One line of loose text, with <i>marks</i>.<br>Another line of it.</div>{r}", "One line of loose text, with marks. Another line of it."), ("{r}", "\n".join(f"Link title {i}" for i in range(40))),
+        # the same twice: the first of equal sums, and what reaches the threshold
+        ("<div>{t}</div><div>{t}</div>", f"{PLAIN}\n{PLAIN}"),
+    ],
+)
+def test_html_density_decides(page, text):
+    assert html_text.main_text("<body>" + page.format(t=TEXT, r=RAIL) + "</body>") == text
+
+
+@pytest.mark.parametrize("piece", ["<div>", '<a "', '<a x="', "<!x", "<object><div>", "<table><tr><td>", "<p><b>", "<", "<header>", "</b><div>"])
+def test_html_long_hostile_pages(piece):
+    began = time.process_time()
+    html_text.main_text(piece * (250_000 // len(piece)))
+    assert time.process_time() - began < 10
+
+
+def test_html_empty_and_long(spark):
+    df = spark.createDataFrame([(1, "<p>" + "word " * 200_000 + "</p>"), (2, "<p>b</p>"), (2, "<p>b</p>")], "page_id long, html string")
+    assert sorted((r["page_id"], r["n_chars"]) for r in html_text.extract_text(df).collect()) == [(1, 999_999), (2, 1), (2, 1)]
+    assert html_text.extract_text(df.filter("false")).count() == 0
 
 
 def test_html_query(spark):
