@@ -331,8 +331,7 @@ def content(root: Node) -> tuple[list[Node], float]:
     path = [best[body]]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    # where the best is itself mostly links, no list of links is left out
-    threshold = 0.0 if path[0].link_chars * 2 > path[0].chars else min(n.density for n in path)
+    threshold = min(n.density for n in path)
     on_path, found, stack = set(path), [], [body]
     while stack:
         node = stack.pop()
@@ -393,14 +392,16 @@ def blocks(node: Node, out: list[str], threshold: float = 0.0) -> None:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
+    out: list[str] = []
     for by_name in (True, False):
-        out: list[str] = []
         chosen, threshold = content(parse(page, by_name))
-        for node in chosen:
-            blocks(node, out, threshold)
-        if out:
-            break
-    return "\n".join(out)
+        # a page of nothing but lists of links keeps them
+        for least in (threshold, 0.0):
+            for node in chosen:
+                blocks(node, out, least)
+            if out:
+                return "\n".join(out)
+    return ""
 
 
 def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
