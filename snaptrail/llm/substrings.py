@@ -3,11 +3,12 @@
 A window is ``WINDOW`` consecutive words. Counting all windows exactly would shuffle one row a word, so a count-min sketch
 comes first. It counts anchors: of the runs of ``GRAM`` words in a window, the one with the smallest hash, once for each
 place where it stands. Windows with equal words have equal anchors, so an anchor's count is at least that of each of its
-windows, and far fewer anchors than windows exist. Partitions sketch their own anchors; sketches merge by summing cells
-block by block; cells saturate at two. A second pass takes every window whose anchor is estimated to repeat, and only
-those are grouped exactly (by 95 bits of hash): all but the earliest of a group are repeats. The sketch never
-underestimates, so no repeated window is lost. Its size follows the input up to a fixed bound; past the bound more windows
-pass to the exact step and the result stays the same.
+windows, and far fewer anchors than windows exist. The sketch is cut into blocks of two rows of 2^16 cells, as many blocks
+as the input needs (one for about a million characters), so it filters alike at every size. Parts of a partition send their
+anchors' cells to the blocks, where they merge by adding up; each block answers with the places whose two cells were both
+counted twice or more. Nothing of it passes the driver or is sent to all executors. A second pass takes every window whose
+anchor is estimated to repeat, and only those are grouped exactly (by 95 bits of hash): all but the earliest of a group are
+repeats. The sketch never underestimates, so no repeated window is lost.
 
 Texts equal to the text of a smaller id hold nothing new: they go whole, and their windows are neither sketched nor
 grouped. Copies of a window inside one batch are reduced to the earliest before the shuffle, so a window that fills a third of the
@@ -26,15 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaptrail.llm import hashes
-from snaptrail.llm.common import cut, few, parts_of
+from snaptrail.llm.common import cut, few, freed, parts_of
 
 WINDOW, GRAM = 20, 8
-MAX_CELLS = 1 << 27
-BLOCK_CELLS = 1 << 16
+#: characters of text for which the sketch gets one block
+BLOCK_CHARS = 1 << 20
+_NO_PLACE = np.uint32(0xFFFFFFFF)
 TEXT_BYTES = 2 << 20
 SEPARATORS = re.compile("[ \t\n\v\f\r]+")
 
@@ -56,73 +59,108 @@ def anchors(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> tuple[np
     return h, sizes, start, (key[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def cells_of(gram_hash: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each of the sketch's two rows."""
-    again = hashes.mix(gram_hash ^ hashes.SECOND)
-    return (gram_hash & np.uint64(cells - 1)).astype(np.int64), (again & np.uint64(cells - 1)).astype(np.int64) + cells
+def blocks_for(docs: DataFrame) -> int:
+    """A power of two of blocks, about one for ``BLOCK_CHARS`` characters."""
+    chars = docs.agg(F.sum(F.length("text"))).head()[0] or 0
+    return 1 << int(chars // BLOCK_CHARS).bit_length()
 
 
-def cells_for(docs: DataFrame, most: int = MAX_CELLS) -> int:
-    """A power of two of about one cell for eight characters, within bounds."""
-    chars = docs.agg(F.sum(F.length("text"))).head()[0] or 0
-    return min(most, max(BLOCK_CELLS, 1 << int(chars // 8).bit_length()))
+def cells_of(gram_hash: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block, and the cells of its two rows in one number of 32 bits."""
+    return (gram_hash & np.uint64(blocks - 1)).astype(np.int64), (hashes.mix(gram_hash ^ hashes.SECOND) >> np.uint64(32)).astype(np.uint32)
+
+
+def counted_twice(cells: np.ndarray) -> np.ndarray:
+    """Which entries of one block have both cells counted at least twice."""
+    low, high = (cells & np.uint32(0xFFFF)).astype(np.int64), (cells >> np.uint32(16)).astype(np.int64)
+    return (np.bincount(low, minlength=1 << 16)[low] > 1) & (np.bincount(high, minlength=1 << 16)[high] > 1)
 
 
-def repeated_cells(docs: DataFrame, cells: int, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Bits of the sketch's cells that were counted at least twice (both rows); at most ``2 * MAX_CELLS`` bits."""
+def _binaries(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Runs of an array, each from a place of ``first`` on, as binary values."""
+    offsets = np.append(first, len(values)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def repeated_anchors(docs: DataFrame, blocks: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, variant, text) -> doc_id, variant, ordinals (of the text's anchors that are estimated to repeat; 32-bit numbers)."""
+    columns = ["block", "part", "cells", "places", "docs", "variants", "counts", "known"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a part's cells, sorted, in blocks; those met twice in the part come after those met once
+        part = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in parts_of(batch, 0, 4 * TEXT_BYTES):
-                h, _, _, place = anchors(part.column(0), window, gram)
+            for piece in parts_of(batch, 2, 4 * TEXT_BYTES):
+                h, sizes, _, place = anchors(piece.column(2), window, gram)
                 if not len(place):
                     continue
-                grams = hashes.runs(h, gram)[np.unique(place)]
-                cell, n = np.unique(np.concatenate(cells_of(grams, cells)), return_counts=True)
-                cell = np.concatenate([cell[n == 1], cell[n > 1]])
-                block = cell // BLOCK_CELLS * 2 + np.repeat([0, 1], [(n == 1).sum(), (n > 1).sum()])
-                at = np.flatnonzero(np.diff(block, prepend=-1))
-                low = (cell % BLOCK_CELLS).astype("<u2").tobytes()
-                offsets = np.append(at, len(cell)).astype(np.int32) * 2
-                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(low)])
-                yield pa.RecordBatch.from_arrays([pa.array(block[at] // 2), pa.array(block[at] % 2 == 1), data], ["block", "twice", "cells"])
+                part += 1
+                at = np.unique(place)
+                _, first, group, n = np.unique(hashes.runs(h, gram)[at], return_index=True, return_inverse=True, return_counts=True)
+                # an anchor met again in this part is known to repeat: it counts twice and asks for no answer
+                known = np.flatnonzero(n[group] > 1).astype("<u4")
+                block, cells = cells_of(hashes.runs(h, gram)[at[first]], blocks)
+                times = np.minimum(n, 2)
+                block, cells, ask = np.repeat(block, times), np.repeat(cells, times), np.repeat(np.where(n > 1, _NO_PLACE, first.astype(np.uint32)), times)
+                order = np.argsort(block, kind="stable")
+                block, cells, ask = block[order], cells[order].astype("<u4"), ask[order].astype("<u4")
+                begin = np.flatnonzero(np.diff(block, prepend=-1))
+                rows = len(begin)
+                none = pa.nulls(rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(block[begin]), pa.array(np.full(rows, part)), _binaries(cells, begin), _binaries(ask, begin), none, none, none, none], columns)
+                counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[at], minlength=len(sizes)).astype("<u4")
+                ids = [piece.column(c).to_numpy(zero_copy_only=False).astype("<i8") for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([part]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *[pa.array([x.tobytes()], pa.binary()) for x in (*ids, counts, known)]], columns)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by block, so one block's cells are held at a time
-        current, count = None, np.zeros(BLOCK_CELLS, np.uint8)
+        # rows come sorted by block, so one block's rows are held at a time
+        current, rows = None, []
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], ["block", "bits"])
+        def answers() -> Iterator[pa.RecordBatch]:
+            cells, places = (np.frombuffer(b"".join(r[i] for r in rows), "<u4") for i in (1, 2))
+            found = np.flatnonzero(counted_twice(cells) & (places != _NO_PLACE))
+            part = np.repeat([r[0] for r in rows], [len(r[1]) // 4 for r in rows])[found]
+            begin = np.flatnonzero(np.diff(part, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int64()), _binaries(places[found], begin)], ["part", "places"])
 
         for batch in batches:
-            for block, twice, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if block != current:
-                    if current is not None:
-                        yield row()
-                    current, count = block, np.zeros(BLOCK_CELLS, np.uint8)
-                cell = np.frombuffer(data, "<u2")
-                count[cell] = np.minimum(2, count[cell] + (2 if twice else 1))
-        if current is not None:
-            yield row()
-
-    sketched = docs.select("text").mapInArrow(sketch, "block long, twice boolean, cells binary")
-    merged = sketched.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, bits binary")
-    bits = np.zeros(2 * cells // 8, np.uint8)
-    for row in merged.toLocalIterator(prefetchPartitions=True):
-        at = row["block"] * BLOCK_CELLS // 8
-        bits[at : at + BLOCK_CELLS // 8] = np.frombuffer(row["bits"], np.uint8)
-    return bits
-
-
-def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = MAX_CELLS) -> DataFrame:
-    """(doc_id, variant, text) -> doc_id, variant, starts of windows that also start earlier."""
-    cells = cells_for(docs, max_cells)
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, cells, window, gram))  # of bounded size
+            for block, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if block != current and rows:
+                    yield from answers()
+                    rows = []
+                current = block
+                rows.append(row)
+        if rows:
+            yield from answers()
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, variants, counts, known, lists in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                place = np.sort(np.frombuffer(b"".join([known, *(lists or [])]), "<u4")).astype(np.int64)
+                ends = np.cumsum(np.frombuffer(counts, "<u4").astype(np.int64))
+                doc = np.searchsorted(ends, place, side="right")
+                begin = np.flatnonzero(np.diff(doc, prepend=-1))
+                ordinal = (place - (ends - np.frombuffer(counts, "<u4"))[doc]).astype("<u4") if len(doc) else place.astype("<u4")
+                ids = [pa.array(np.frombuffer(x, "<i8")[doc[begin]], pa.int64()) for x in (docs, variants)]
+                yield pa.RecordBatch.from_arrays([*ids, _binaries(ordinal, begin)], ["doc_id", "variant", "ordinals"])
+
+    schema = "block long, part long, cells binary, places binary, docs binary, variants binary, counts binary, known binary"
+    # parts are numbered as they come, so what they send and what they keep must come from one run
+    sketched = cut(docs.select("doc_id", "variant", "text").mapInArrow(freed(sketch), schema))
+    sent = sketched.filter("block >= 0").select("block", "part", "cells", "places")
+    answered = sent.repartition("block").sortWithinPartitions("block").mapInArrow(freed(merge), "part long, places binary")
+    lists = answered.groupBy("part").agg(F.collect_list("places").alias("lists"))
+    kept = sketched.filter("block < 0").select("part", "docs", "variants", "counts", "known").join(lists, "part", "left")
+    resolved = kept.select("docs", "variants", "counts", "known", "lists").mapInArrow(resolve, "doc_id long, variant long, ordinals binary")
+    # a repeated row has its text's anchors twice
+    return resolved.groupBy("doc_id", "variant").agg(F.max("ordinals").alias("ordinals"))
+
+
+def repeats(docs: DataFrame, all_docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blocks: int | None = None) -> DataFrame:
+    """(doc_id, variant, text) -> doc_id, variant, starts of windows that also start earlier.
+
+    ``all_docs`` holds ``docs``; its texts are shuffled as the caller joins them, so both use one exchange.
+    """
+    marked = repeated_anchors(docs, blocks or blocks_for(docs), window, gram)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,9 +168,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells:
                 h, sizes, start, place = anchors(part.column(2), window, gram)
                 if not len(start):
                     continue
-                one, two = cells_of(hashes.runs(h, gram)[place], cells)
-                maybe = _set(bits.value, one) & _set(bits.value, two)
-                start = start[maybe]
+                # the anchors' ordinals count on from text to text
+                at = np.unique(place)
+                n_anchors = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[at], minlength=len(sizes))
+                first = np.cumsum(n_anchors) - n_anchors
+                own = [np.frombuffer(x, "<u4").astype(np.int64) + f for x, f in zip(part.column(3).to_pylist(), first, strict=True)]
+                maybe = np.zeros(len(at), bool)
+                maybe[np.concatenate(own)] = True
+                start = start[maybe[np.searchsorted(at, place)]]
                 if not len(start):
                     continue
                 k = hashes.runs(h, window)[start].view(np.int64)
@@ -157,7 +200,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells:
                     ["k1", "k2", "known", "doc_id", "variant", "at"],
                 )
 
-    found = docs.select("doc_id", "variant", "text").mapInArrow(candidates, "k1 long, k2 int, known boolean, doc_id long, variant long, at int")
+    chosen = all_docs.select("doc_id", "variant", "text").join(marked, ["doc_id", "variant"]).select("doc_id", "variant", "text", "ordinals")
+    found = chosen.mapInArrow(freed(candidates), "k1 long, k2 int, known boolean, doc_id long, variant long, at int")
     # equal windows meet, at most one a part; rank 1 is the earliest (and the same place of a repeated row)
     order = Window.partitionBy("k1", "k2", "known").orderBy("doc_id", "at")
     later = found.withColumn("rank", F.rank().over(order)).filter(F.col("known") | (F.col("rank") > 1))
@@ -171,7 +215,7 @@ def later_copies(keyed: DataFrame) -> DataFrame:
     return cut(hashed.join(firsts, ["t1", "t2"]).filter("doc_id > first_id").select("doc_id", "variant").distinct())
 
 
-def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = MAX_CELLS) -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blocks: int | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_removed, kept (words left, joined by one space)."""
     none = -(1 << 63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text")
@@ -179,7 +223,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cel
     twins = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     keyed = docs.select("doc_id", (F.xxhash64("text") if twins else F.lit(0).cast("long")).alias("variant"), "text")
     later = later_copies(keyed)
-    found = repeats(keyed.join(few(later), ["doc_id", "variant"], "left_anti"), window, gram, max_cells).withColumn("whole", F.lit(False))
+    found = repeats(keyed.join(few(later), ["doc_id", "variant"], "left_anti"), keyed, window, gram, blocks).withColumn("whole", F.lit(False))
     found = found.unionByName(later.select("*", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,5 +246,6 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cel
                     kept.append(" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    done = keyed.join(found, ["doc_id", "variant"], "left").select("doc_id", "text", "starts", "whole").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    texts = keyed.select("doc_id", "variant", "text")
+    done = texts.join(found, ["doc_id", "variant"], "left").select("doc_id", "text", "starts", "whole").mapInArrow(freed(run), "doc_id long, n_words long, n_removed long, kept string")
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(none)))

@@ -485,8 +485,8 @@ def brute_cut(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("cells", [substrings.MAX_CELLS, 1 << 16])
-def test_substrings_equal_brute_force(spark, cells):
+@pytest.mark.parametrize("blocks", [None, 1, 64])
+def test_substrings_equal_brute_force(spark, blocks):
     rng = np.random.default_rng(8)
     words = [f"u{i}" for i in range(200)]
     passages = [" ".join(rng.choice(words, n)) for n in (19, 20, 21, 45)]
@@ -495,10 +495,33 @@ def test_substrings_equal_brute_force(spark, cells):
         parts = [" ".join(rng.choice(words, rng.integers(0, 30))), passages[k % 4], " ".join(rng.choice(words, 10))]
         texts.append((" ", "\t", "\n ")[k % 3].join(parts))
     texts.append(texts[-1])
-    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.cut_repeats(docs_of(spark, texts), max_cells=cells).collect()}
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.cut_repeats(docs_of(spark, texts), blocks=blocks).collect()}
     assert out == brute_cut(list(enumerate(texts)))
 
 
+def test_sketch_filters_alike_at_every_size():
+    # the load that one block for BLOCK_CHARS characters has (an anchor for about 38 characters), with one in ten repeated
+    rng = np.random.default_rng(6)
+    for blocks in (1, 16):
+        once = rng.integers(0, 1 << 63, 25_000 * blocks, dtype=np.uint64)
+        twice = rng.integers(0, 1 << 63, 1_250 * blocks, dtype=np.uint64)
+        block, cells = substrings.cells_of(np.concatenate([once, twice, twice]), blocks)
+        passed = np.zeros(len(cells), bool)
+        for b in range(blocks):
+            passed[block == b] = substrings.counted_twice(cells[block == b])
+        assert passed[len(once) :].all() and passed[: len(once)].mean() < 0.15
+
+
+def test_sketch_marks_every_repeated_anchor(spark):
+    rng = np.random.default_rng(9)
+    words = [f"y{i}" for i in range(5000)]
+    passage = " ".join(rng.choice(words, 40))
+    texts = [" ".join(rng.choice(words, 200)) + (" " + passage if i % 9 == 0 else "") for i in range(60)]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, variant long, text string").repartition(7)
+    got = {r["doc_id"]: len(r["ordinals"]) // 4 for r in substrings.repeated_anchors(df, 4).collect()}
+    assert set(got) >= set(range(0, 60, 9)) and len(got) < 20 and all(got[i] >= 2 for i in range(0, 60, 9))
+
+
 def test_substrings_repeated_ids(spark):
     text = " ".join(f"k{i}" for i in range(25))
     df = spark.createDataFrame([(1, text), (1, text), (1, "other " + text), (None, text)], "doc_id long, text string")
