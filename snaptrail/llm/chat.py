@@ -4,7 +4,7 @@ A turn is a role and a list of parts (text, image, audio, document). A visitor f
 escaped, every attachment becomes a numbered placeholder, and its reference and expanded token count are recorded.
 
 Template of one turn: ``<|im_start|>ROLE\\nCONTENT<|im_end|>\\n``. Inside roles and texts a backslash is doubled and
-``<|`` becomes ``<\\|``, so no text can hold a control string; in roles a line break becomes ``\\n`` spelled out. Both
+``<|`` becomes ``<\\|``, also where it is made of two parts, so no text can hold a control string; in roles a line break becomes ``\\n`` spelled out. Both
 are undone exactly when the output is read back.
 
 Defined results: null text, role, parts or part type count as empty; an unknown part type keeps its text only; turns
@@ -67,7 +67,12 @@ class PartVisitor:
         getattr(self, f"visit_{part.get('type')}", self.visit_text)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.add(escape(part.get("text") or ""))
+        text = escape(part.get("text") or "")
+        # text parts follow each other without a mark, so "<" and "|" of two of them meet
+        if text.startswith("|") and self.pieces and self.pieces[-1].endswith("<"):
+            text = "\\" + text
+        if text:
+            self.add(text)
 
     def attach(self, part: dict, tokens: int) -> None:
         number = len(self.attachments)

@@ -104,15 +104,14 @@ word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM t),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
 """
-SHINGLES_SQL = r"""
-  SELECT DISTINCT {id}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-  FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) >= 5
-"""
-OP6_SQL = f"""
-WITH d AS ({SHINGLES_SQL.format(id="doc_id", table="documents")}), b AS ({SHINGLES_SQL.format(id="item_id", table="benchmark")}),
+OP6_SQL = r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+bw AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+d AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM dw, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k),
+b AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM bw),
 n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
-FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)
+FROM d JOIN b USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)
 """
 OP7_SQL = r"""
 WITH RECURSIVE t AS MATERIALIZED (SELECT coalesce(text, '') AS text, min(doc_id) AS node FROM documents GROUP BY 1),

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import time
 import zlib
 
@@ -276,6 +277,21 @@ def test_chat_turn_reads_back(role, text):
     assert got == (role, text, text) and "<|" not in content
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["text", "image", "audio", "document", "other"]), st.text(st.sampled_from('<|>\\n:0image_end a\n'), max_size=6) | st.sampled_from(["<", "|im_end|>", "|image:0|>", chat.END])), max_size=6))
+def test_chat_parts_read_back(parts):
+    visitor = chat.PartVisitor()
+    for kind, text in parts:
+        visitor.visit({"type": kind, "text": text, "ref": text})
+    content = "".join(visitor.pieces)
+    head = chat.START + "assistant\n"
+    want = "".join(text for kind, text in parts if kind in ("text", "other"))
+    assert chat.read_turn(f"{head}{content}{chat.END}\n", len(head), len(head) + len(content)) == ("assistant", want, want)
+    # every live control string is one of the placeholders, at its place
+    live = [m.start() for m in re.finditer(r"<\|", content)]
+    assert live == [a["position"] for a in visitor.attachments]
+
+
 def test_chat_parts(spark):
     image = ("image", None, "a.png", 700, 300, None, None)
     parts = [("text", "see <|image:0|>", None, None, None, None, None), image, ("audio", None, "b.wav", None, None, 2.0, None), ("document", None, "c.pdf", None, None, None, 3)]
@@ -398,7 +414,7 @@ def test_line_dedup(spark):
 def test_containment_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     words = [f"v{i}" for i in range(500)]
-    items = [" ".join(rng.choice(words, n)) for n in (5, 6, 12, 30, 60)] + ["four words are few", None, ""]
+    items = [" ".join(rng.choice(words, n)) for n in (5, 6, 12, 30, 60)] + ["four words are few", "V7 v8", None, ""]
     texts = list(EDGE)
     for item in items[:5]:
         w = item.split()
@@ -407,8 +423,11 @@ def test_containment_equals_brute_force(spark):
             for at in rng.integers(0, len(own), miss):
                 own[at] = "zz"
             texts.append(" ".join([*rng.choice(words, 40), *own, *rng.choice(words, 40)]))
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)}
-    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if grams(item) and len(grams(t) & grams(item)) >= 0.8 * len(grams(item)) - 1e-9}
+    texts += ["so four words are few indeed", "four words are not few", "v7 v8", "v7", "x, v7! v8 y"]
+    grams = lambda t, n: {tuple(w[i : i + n]) for w in ["".join(c if c.isalnum() else " " for c in (t or "").lower()).split()] for i in range(len(w) - n + 1)}
+    size = lambda item: min(5, len((item or "").split()))
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if size(item) and len(grams(t, size(item)) & grams(item, size(item))) >= 0.8 * len(grams(item, size(item))) - 1e-9}
+    assert {(len(texts) - 5, 5), (len(texts) - 3, 6), (len(texts) - 1, 6)} <= want
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in contamination.contained(docs_of(spark, texts), bench).collect()}
     assert got == want and len(want) > 5
