@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,11 @@ DATE_FORMS = (
 )
 
 
+def evaluated_once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.transform(F.array(c), use)[0]
+
+
 @F.pandas_udf(StringType())
 def _composed(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
@@ -44,9 +51,16 @@ def clean(c: Column) -> Column:
 
 def to_date(c: Column) -> Column:
     """The first form that fits; what fits none is null, never an error."""
-    s = F.regexp_replace(strip(c), r"\s+0:00:00$", "")
-    found = [F.try_to_date(F.nullif(F.regexp_extract(F.initcap(s) if "MMM" in form else s, pattern, 1), F.lit("")), form) for pattern, form in DATE_FORMS]
-    return F.coalesce(*found)
+
+    def read(s: Column) -> Column:
+        # a text has the form of at most one pattern, but for the last one, which is the third with anything behind it
+        found = None
+        for pattern, form in DATE_FORMS:
+            date = F.try_to_date(F.regexp_extract(F.initcap(s) if "MMM" in form else s, pattern, 1), form)
+            found = F.when(s.rlike(pattern), date) if found is None else found.when(s.rlike(pattern), date)
+        return found
+
+    return evaluated_once(F.regexp_replace(strip(c), r"\s+0:00:00$", ""), read)
 
 
 def host(c: Column) -> Column:
@@ -54,7 +68,8 @@ def host(c: Column) -> Column:
     s = F.lower(F.regexp_replace(strip(c), r"[\t\r\n]", ""))
     place = F.regexp_extract(s, r"^(?:[a-z][a-z0-9+.-]*://)?([^/?#]*)", 1)
     name = F.regexp_extract(F.regexp_replace(place, r"^.*@", ""), r"^([^:]*)", 1)
-    return F.when(F.contains(name, F.lit(".")) & ~F.contains(name, F.lit(" ")) & ~name.rlike(r"[\[\]]"), F.nullif(F.regexp_replace(name, r"\.+$", ""), F.lit("")))
+    named = lambda n: F.when(F.contains(n, F.lit(".")) & ~F.contains(n, F.lit(" ")) & ~n.rlike(r"[\[\]]"), F.nullif(F.regexp_replace(n, r"\.+$", ""), F.lit("")))
+    return evaluated_once(name, named)
 
 
 def is_domain(c: Column) -> Column:

@@ -23,12 +23,21 @@ def diff_snapshots(prev: DataFrame, cur: DataFrame, key: str = "row_hash") -> Da
     return p.join(c, key, "full_outer").select(key, side.alias("side"))
 
 
-def apply_snapshot(history: DataFrame, incoming: DataFrame, snapshot_id: Column, at: Column) -> DataFrame:
+def newest_applied(history: DataFrame) -> int | None:
+    """The newest snapshot that opened, kept or closed a version."""
+    return history.agg(F.max(F.greatest("last_seen_snapshot_id", "removed_snapshot_id"))).head()[0]
+
+
+def apply_snapshot(history: DataFrame, incoming: DataFrame, snapshot_id: Column, at: Column, newest: Column | None = None) -> DataFrame:
     """The history after one more snapshot (rows with ``row_hash``); applying it again changes nothing.
 
     A snapshot not newer than the last applied one is refused by leaving the history as it is.
+    ``newest`` is the last applied one, as a caller's log knows it; without it the history is asked (one number).
     """
     own = [c for c in history.columns if c not in MARKS and c != "row_hash"]
+    if newest is None:
+        newest = F.lit(newest_applied(history)).cast("long")
+    incoming = incoming.filter(newest.isNull() | (newest < snapshot_id))
     closed = history.filter(F.col("removed_snapshot_id").isNotNull())
     current = history.filter(F.col("removed_snapshot_id").isNull()).alias("h")
     joined = current.join(incoming.select("row_hash", *own).alias("i"), F.col("h.row_hash") == F.col("i.row_hash"), "full_outer")
@@ -54,18 +63,17 @@ def build_history(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
     """The whole history from all complete snapshots at once; equals applying them one by one.
 
     observations: snapshot_id, row_hash and own columns. snapshots: snapshot_id, at (complete ones, also those without
-    rows). Versions are runs of consecutive snapshots; row hashes are even, so the window has no hot key.
+    rows). A row's snapshots are gathered as one sorted set of small numbers, in one shuffle with partial aggregation; its
+    versions are the runs of consecutive numbers.
     """
     own = [c for c in observations.columns if c not in ("snapshot_id", "row_hash")]
     # one row a snapshot: small, whatever the rows are
     ordinal = snapshots.select("snapshot_id", "at", F.dense_rank().over(Window.orderBy("snapshot_id")).alias("ordinal"))
     seen = observations.join(F.broadcast(ordinal), "snapshot_id")
-    island = F.col("ordinal") - F.row_number().over(Window.partitionBy("row_hash").orderBy("ordinal"))
-    spans = (
-        seen.withColumn("island", island)
-        .groupBy("row_hash", "island")
-        .agg(*[F.first(c).alias(c) for c in own], F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))
-    )
+    rows = seen.groupBy("row_hash").agg(F.any_value(F.struct(*own) if own else F.lit(None)).alias("own"), F.array_sort(F.collect_set("ordinal")).alias("at"))
+    begins = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
+    ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1))
+    spans = rows.select("row_hash", "own", F.inline(F.arrays_zip(begins.alias("lo"), ends.alias("hi")))).select("row_hash", *[f"own.{c}" for c in own], "lo", "hi")
 
     def at(prefix: str) -> DataFrame:
         return F.broadcast(ordinal.select(F.col("ordinal").alias(f"{prefix}_o"), F.col("snapshot_id").alias(f"{prefix}_snapshot_id"), F.col("at").alias(f"{prefix}_at")))
@@ -95,7 +103,7 @@ def changes_since(history: DataFrame, baselines: DataFrame, since: Column, limit
 
     ``baselines``: (by, baseline_id), the first complete snapshot; its rows are never reported as added.
     """
-    known = history.join(F.broadcast(baselines), by)
+    known = history.join(F.broadcast(baselines), by)  # one row a declared table
     added = known.filter((F.col("first_seen_at") >= since) & (F.col("first_seen_snapshot_id") != F.col("baseline_id"))).withColumns({"kind": F.lit("added"), "changed_at": F.col("first_seen_at"), "changed_in": F.col("first_seen_snapshot_id")})
     removed = known.filter(F.col("removed_at") >= since).withColumns({"kind": F.lit("removed"), "changed_at": F.col("removed_at"), "changed_in": F.col("removed_snapshot_id")})
     newest = Window.partitionBy(by, "kind").orderBy(F.col("changed_at").desc(), "row_hash")

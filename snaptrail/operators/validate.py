@@ -27,15 +27,21 @@ def check_parts(parts: DataFrame) -> DataFrame:
     return parts.withColumn("problem", problem).withColumn("transient", F.coalesce(F.col("problem").startswith("HTML_BODY") | F.col("problem").startswith("CONTENT_TYPE") | (F.col("problem") == "EMPTY"), F.lit(False)))
 
 
-def check_tables(rows: DataFrame, spec: TableSpec, by: list[str], baselines: DataFrame | None = None, tolerance: float = 0.10, accept: bool = False, most_values: int = 101) -> DataFrame:
+def check_tables(rows: DataFrame, spec: TableSpec, by: list[str], baselines: DataFrame | None = None, tolerance: float = 0.10, accept: bool = False, most_values: int = 101, runs: DataFrame | None = None) -> DataFrame:
     """by..., n, problems, warnings of every run's table, from one aggregation.
 
+    runs: by... of every run and table that must be judged; one without rows is counted as 0 rows. Without it only runs
+    that have rows are judged.
+
     baselines: by..., baseline (row count of the last passed version). Unknown values are kept as the first
     ``most_values`` in order: 101 values of one character and what is between them fill the 200 characters that the message shows.
     """
     required = [c.name for c in spec.columns if c.required]
     empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
     counted = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(empty(c)).alias(f"__missing_{c}") for c in required])
+    if runs is not None:
+        grid = runs.select(*by).distinct().join(counted, by, "left")
+        counted = grid.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in counted.columns if c not in by])
     for c, known in sorted(spec.known_values.items()):
         value = F.col(c).cast("string")
         odd = rows.filter(~empty(c) & ~value.isin(*sorted(known))).groupBy(*by, value.alias("v")).count()
@@ -69,22 +75,24 @@ def next_baseline(n: int | None, baseline: int | None, tolerance: float, accept:
 GATE_TYPE = "register string, table string, run_id long, n long, baseline long, held boolean"
 
 
-def count_delta_gate(counts: DataFrame, tolerance: float = 0.10) -> DataFrame:
+def count_delta_gate(counts: DataFrame, tolerance: float = 0.10, look_back: int = LOOK_BACK) -> DataFrame:
     """Replays counts (register, table, run_id, n, clean, accept) in run order; a held move stays held until accepted.
 
-    ``clean``: no other problem of the table. The state is one number a table; rows are counts, one a run, streamed in
-    order, so a table with many runs is never held in memory.
+    ``clean``: no other problem of the table. The baseline is the count of the newest passed run among the ``look_back``
+    runs before; if none of them passed there is none. The state is one number and its age a table; rows are counts, one
+    a run, streamed in order, so a table with many runs is never held in memory.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, baseline = None, None
+        key, baseline, age = None, None, 0
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 if (r.register, r.table) != key:
-                    key, baseline = (r.register, r.table), None
-                before, n = baseline, None if pd.isna(r.n) else int(r.n)
-                baseline, held = next_baseline(n, baseline, tolerance, bool(r.accept), bool(r.clean))
+                    key, baseline, age = (r.register, r.table), None, 0
+                before, n = baseline if age < look_back else None, None if pd.isna(r.n) else int(r.n)
+                baseline, held = next_baseline(n, before, tolerance, bool(r.accept), bool(r.clean))
+                age = 0 if n is not None and bool(r.clean) and not held else age + 1
                 out.append((r.register, r.table, r.run_id, n, before, held))
             yield pd.DataFrame(out, columns=["register", "table", "run_id", "n", "baseline", "held"]).astype({"n": "Int64", "baseline": "Int64"})
 
@@ -92,8 +100,16 @@ def count_delta_gate(counts: DataFrame, tolerance: float = 0.10) -> DataFrame:
     return ordered.repartition("register", "table").sortWithinPartitions("register", "table", "run_id").mapInPandas(run, GATE_TYPE)
 
 
-def run_verdict(parts: DataFrame, tables: DataFrame) -> DataFrame:
-    """run_id, complete, reason, record_count. parts: run_id, part, ordinal, expected, problem. tables: run_id, table, n, problems."""
+def run_verdict(parts: DataFrame, tables: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """run_id, complete, reason, record_count. parts: run_id, part, ordinal, expected, problem. tables: run_id, table, n, problems.
+
+    declared: run_id, table of every table that a run must have; one that was not judged is a problem of its run.
+    """
+    if declared is not None:
+        found = tables.select("run_id", "table", "n", "problems", F.lit(True).alias("__judged"))
+        absent = F.col("__judged").isNull()
+        tables = declared.select("run_id", "table").distinct().join(found, ["run_id", "table"], "full_outer")
+        tables = tables.select("run_id", "table", F.when(absent, 0).otherwise(F.col("n")).cast("long").alias("n"), F.when(absent, F.array(F.lit("NO_TABLE"))).otherwise(F.col("problems")).alias("problems"))
     bad = F.col("expected") & F.col("problem").isNotNull()
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(bad, F.struct("ordinal", F.concat_ws(":", "part", "problem").alias("m"))))), lambda x: x["m"]), " ")
     p = parts.groupBy("run_id").agg(F.count_if("expected").alias("wanted"), F.count_if(F.col("expected") & F.col("problem").isNull()).alias("good"), listed.alias("bad_parts"))

@@ -64,6 +64,27 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_text_lines(spark, path).select("line")
 
 
+def blob_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    s = st.table(spark, sf_dir, "supplier")
+    for k in range(5):  # the layout's folders, one a register
+        s.filter(F.col("s_nationkey") % 5 == k).select("s_name").write.option("maxRecordsPerFile", 1).text(f"{root}/r{k}/2024-01-0{k + 1}/run{k}")
+    return readers.read_blobs(spark, root).select("slug", "run_date", "run_id", "kind", F.decode("content", "UTF-8").alias("body"), "digest").filter("body <> ''")
+
+
+def manifest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    c = st.table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    problems = F.when(F.col("n") % 2 == 0, F.array(F.lit("EMPTY"))).otherwise(F.array().cast("array<string>"))
+    part = F.struct(F.lit("main").alias("name"), F.lit("csv").alias("kind"), F.lit(True).alias("expected"), problems.alias("problems"), F.sha2("c_mktsegment", 256).alias("digest"))
+    tables = F.create_map(F.lower("c_mktsegment"), F.struct(F.col("n").alias("rows"), problems.alias("problems")))
+    m = F.struct(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("run_id"), F.concat(F.lit("r"), "c_nationkey").alias("slug"), (F.col("n") % 2 == 1).alias("complete"), F.array(part).alias("parts"), tables.alias("tables"))
+    c.select(F.to_json(m).alias("value")).write.option("maxRecordsPerFile", 1).text(root)
+    runs, parts, judged = readers.read_manifests(spark, root, "part-*")
+    found = runs.join(parts.select("run_id", "ordinal", F.array_join("problems", ",").alias("problems"), "digest"), "run_id")
+    return found.join(judged.select("run_id", "table", "rows"), "run_id")
+
+
 def published_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark)
     readers.write_history(hq.history(spark, sf_dir), f"{root}/history", 1)
@@ -205,8 +226,7 @@ def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = hq.hashed(spark, sf_dir).join(F.broadcast(st.snapshots(spark)), "snapshot_id")
     root = scratch(spark)
     streams.stream_history(stream_of(spark, obs), root, f"{root}/state").awaitTermination()
-    log = streams.published(spark, root)
-    return spark.read.parquet(f"{root}/history/version={log['version']}").select("row_hash", *st.VALUES, *hist.MARKS)
+    return streams.streamed_rows(spark, root).select("row_hash", *st.VALUES, *hist.MARKS)
 
 
 def streamed_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +249,9 @@ QUERIES = {
     "json_rows": (json_rows, "SELECT c_custkey, c_name FROM customer"),
     "xml_rows": (xml_rows, "SELECT CAST(s_suppkey AS VARCHAR) AS entry_no, s_name AS name FROM supplier"),
     "text_lines": (text_lines, "SELECT url AS line FROM pages WHERE page_id % 4 > 1"),
+    "blob_parts": (blob_parts, "SELECT 'r' || s_nationkey % 5 AS slug, CAST('2024-01-01' AS DATE) + CAST(s_nationkey % 5 AS INT) AS run_date, 'run' || s_nationkey % 5 AS run_id, 'txt' AS kind, s_name || chr(10) AS body, sha256(s_name || chr(10)) AS digest FROM supplier"),
+    "manifest_tables": (manifest_tables, """WITH m AS (SELECT c_nationkey AS k, c_mktsegment AS s, count(*) AS n FROM customer GROUP BY ALL)
+      SELECT k || '-' || s AS run_id, 'r' || k AS slug, n % 2 = 1 AS complete, CAST(0 AS INT) AS ordinal, CASE WHEN n % 2 = 0 THEN 'EMPTY' ELSE '' END AS problems, sha256(s) AS digest, lower(s) AS "table", n AS rows FROM m"""),
     "published_history": (published_history, hq.H + "SELECT * FROM history"),
     "exported": (exported, "SELECT p_partkey || ',' || CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '' END || ',' || replace(p_name, ' ', ';') AS line FROM part"),
     "page_links": (page_links, f"WITH {LINKS} SELECT page_id, pos, url FROM links"),

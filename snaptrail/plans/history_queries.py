@@ -97,13 +97,13 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The history by applying one snapshot after another."""
+    """The history by applying one snapshot after another; the second one comes late once more, with rows of the first, and changes nothing."""
     h, snaps = hashed(spark, sf_dir), [(i, f"2024-01-0{i}") for i in range(1, 5)]
     own = ["row_hash", *st.VALUES]
     out = h.filter("false").select(*own, *[F.lit(None).cast("long" if m.endswith("_id") else "timestamp_ntz").alias(m) for m in hist.MARKS])
     for i, day in snaps:
-        out = hist.apply_snapshot(out, h.filter(F.col("snapshot_id") == i).select(*own), F.lit(i).cast("long"), F.lit(day).cast("timestamp_ntz"))
-    return out
+        out = hist.apply_snapshot(out, h.filter(F.col("snapshot_id") == i).select(*own), F.lit(i).cast("long"), F.lit(day).cast("timestamp_ntz"), newest=F.lit(i - 1))
+    return hist.apply_snapshot(out, h.filter("snapshot_id = 1").select(*own), F.lit(2).cast("long"), F.expr("timestamp_ntz'2024-01-02'"))
 
 
 def current_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,9 @@ def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blanked(spark, sf_dir)
     counts = rows.groupBy("snapshot_id").count()
+    runs = spark.range(1, 6).select(F.col("id").alias("snapshot_id"))  # the fifth run brought no rows
     base = counts.select((F.col("snapshot_id") + 1).alias("snapshot_id"), (F.col("count") * F.when(F.col("snapshot_id") == 2, 2).otherwise(1)).alias("baseline"))
-    out = validate.check_tables(rows, CHECKED, ["snapshot_id"], base)
+    out = validate.check_tables(rows, CHECKED, ["snapshot_id"], base, runs=runs)
     return out.select("snapshot_id", "n", F.array_join("problems", " ").alias("problems"), F.array_join("warnings", " ").alias("warnings"))
 
 
@@ -53,9 +54,10 @@ def count_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GATE_SQL = f"""WITH RECURSIVE {st.RUNS_SQL}, c AS MATERIALIZED (SELECT 'r' || source % 7 AS register, 't' || source AS "table", id AS run_id, CAST(record_count AS BIGINT) AS n, event_type <> 'view' AS clean, id % 11 = 0 AS accept, row_number() OVER (PARTITION BY source ORDER BY id) AS i FROM runs WHERE record_count IS NOT NULL OR id % 2 = 0),
-g AS (SELECT register, "table", run_id, n, CAST(NULL AS BIGINT) AS baseline, false AS held, i, CASE WHEN n IS NOT NULL AND clean THEN n END AS nxt FROM c WHERE i = 1
-  UNION ALL SELECT c.register, c."table", c.run_id, c.n, g.nxt, coalesce(c.n IS NOT NULL AND g.nxt > 0 AND c.n <> g.nxt AND abs(c.n - g.nxt) / g.nxt > 0.1 AND NOT c.accept, false), c.i,
-    CASE WHEN c.n IS NOT NULL AND c.clean AND NOT coalesce(g.nxt > 0 AND c.n <> g.nxt AND abs(c.n - g.nxt) / g.nxt > 0.1 AND NOT c.accept, false) THEN c.n ELSE g.nxt END FROM g JOIN c ON c."table" = g."table" AND c.i = g.i + 1)
+g AS (SELECT register, "table", run_id, n, CAST(NULL AS BIGINT) AS baseline, false AS held, i, CASE WHEN n IS NOT NULL AND clean THEN n END AS nxt, CASE WHEN n IS NOT NULL AND clean THEN 0 ELSE 1 END AS age FROM c WHERE i = 1
+  UNION ALL SELECT register, "table", run_id, n, base, held, i, CASE WHEN n IS NOT NULL AND clean AND NOT held THEN n ELSE base END, CASE WHEN n IS NOT NULL AND clean AND NOT held THEN 0 ELSE age + 1 END FROM (
+    SELECT *, coalesce(n IS NOT NULL AND base > 0 AND n <> base AND abs(n - base) / base > 0.1 AND NOT accept, false) AS held FROM (
+      SELECT c.*, CASE WHEN g.age < 14 THEN g.nxt END AS base, g.age FROM g JOIN c ON c."table" = g."table" AND c.i = g.i + 1)))
 SELECT register, "table", run_id, n, baseline, held FROM g"""
 
 
@@ -67,7 +69,11 @@ def verdict_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.run_verdict(*verdict_inputs(spark, sf_dir))
+    parts, tables = verdict_inputs(spark, sf_dir)
+    # runs with numbers divisible by 3 must have the table N, those with numbers that end in 3 a table Z, which never comes
+    runs = parts.select("run_id").distinct()
+    declared = runs.filter("run_id % 3 = 0").select("run_id", F.lit("N").alias("table")).unionByName(runs.filter("run_id % 10 = 3").select("run_id", F.lit("Z").alias("table")))
+    return validate.run_verdict(parts, tables, declared)
 
 
 def carried(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,14 +202,18 @@ QUERIES = {
     "part_checks": (part_checks, """WITH p AS (SELECT event_id, event_id % 3 = 0 AS html, event_id % 5 AS c, event_id % 4 AS t FROM events),
       q AS (SELECT event_id, CASE WHEN c = 0 THEN 'EMPTY' WHEN NOT html AND (c = 1 OR (c = 3 AND t = 0)) THEN 'HTML_BODY' WHEN html AND t IN (1, 2) THEN CASE t WHEN 1 THEN 'CONTENT_TYPE:application/json' ELSE 'CONTENT_TYPE:text/csv' END END AS problem FROM p)
       SELECT event_id, problem, problem IS NOT NULL AS transient FROM q"""),
-    "table_checks": (table_checks, f"""WITH {st.OBS_SQL}, b AS (SELECT *, CASE WHEN snapshot_id = 2 AND account % 10 = 0 THEN '' ELSE status END AS s FROM obs), c AS (SELECT snapshot_id, count(*) AS n, count(*) FILTER (s = '') AS m, string_agg(DISTINCT s, '|' ORDER BY s) FILTER (s NOT IN ('', 'O', 'Revoked')) AS odd FROM b GROUP BY 1),
+    "table_checks": (table_checks, f"""WITH {st.OBS_SQL}, b AS (SELECT *, CASE WHEN snapshot_id = 2 AND account % 10 = 0 THEN '' ELSE status END AS s FROM obs), c0 AS (SELECT snapshot_id, count(*) AS n, count(*) FILTER (s = '') AS m, string_agg(DISTINCT s, '|' ORDER BY s) FILTER (s NOT IN ('', 'O', 'Revoked')) AS odd FROM b GROUP BY 1),
+      c AS (SELECT snapshot_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, odd FROM (SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS snapshot_id) LEFT JOIN c0 USING (snapshot_id)),
       d AS (SELECT c.*, p.n * CASE WHEN p.snapshot_id = 2 THEN 2 ELSE 1 END AS base FROM c LEFT JOIN c p ON p.snapshot_id + 1 = c.snapshot_id)
-      SELECT snapshot_id, n, concat_ws(' ', CASE WHEN m / n > 0.02 THEN 'MISSING:status:' || m || '/' || n END, CASE WHEN base > 0 AND abs(n - base) / base > 0.1 THEN 'COUNT_DELTA:' || base || '->' || n END) AS problems,
-        concat_ws(' ', CASE WHEN m > 0 AND m / n <= 0.02 THEN 'MISSING:status:' || m || '/' || n END, CASE WHEN odd IS NOT NULL THEN 'UNKNOWN_VALUE:status:' || odd END) AS warnings FROM d"""),
+      SELECT snapshot_id, n, CASE WHEN n < 10 THEN 'NO_ROWS:' || n || '<10' ELSE concat_ws(' ', CASE WHEN m / n > 0.02 THEN 'MISSING:status:' || m || '/' || n END, CASE WHEN base > 0 AND abs(n - base) / base > 0.1 THEN 'COUNT_DELTA:' || base || '->' || n END) END AS problems,
+        CASE WHEN n < 10 THEN '' ELSE concat_ws(' ', CASE WHEN m > 0 AND m / n <= 0.02 THEN 'MISSING:status:' || m || '/' || n END, CASE WHEN odd IS NOT NULL THEN 'UNKNOWN_VALUE:status:' || odd END) END AS warnings FROM d"""),
     "count_gate": (count_gate, GATE_SQL),
     "verdicts": (verdicts, """WITH p AS (SELECT l_orderkey AS run_id, 'p' || l_partkey AS part, l_partkey AS ordinal, l_linenumber < 7 AS expected, CASE WHEN l_quantity < 4 THEN 'EMPTY' END AS problem FROM lineitem),
       a AS (SELECT run_id, count(*) FILTER (expected) AS wanted, count(*) FILTER (expected AND problem IS NULL) AS good, coalesce(string_agg(part || ':' || problem, ' ' ORDER BY ordinal, part) FILTER (expected AND problem IS NOT NULL), '') AS bad FROM p GROUP BY 1),
-      t AS (SELECT l_orderkey AS run_id, l_returnflag AS tb, count(*) AS n FROM lineitem WHERE l_orderkey % 9 <> 0 GROUP BY ALL), b AS (SELECT run_id, count(*) AS k, CAST(sum(n) AS BIGINT) AS n, coalesce(string_agg(tb || ':TOO_MANY,X', ' ' ORDER BY tb) FILTER (n > 3), '') AS bad FROM t GROUP BY 1),
+      t0 AS (SELECT l_orderkey AS run_id, l_returnflag AS tb, count(*) AS n FROM lineitem WHERE l_orderkey % 9 <> 0 GROUP BY ALL),
+      q AS (SELECT DISTINCT l_orderkey AS run_id, 'N' AS tb FROM lineitem WHERE l_orderkey % 3 = 0 UNION ALL SELECT DISTINCT l_orderkey, 'Z' FROM lineitem WHERE l_orderkey % 10 = 3),
+      t AS (SELECT run_id, tb, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'NO_TABLE' WHEN n > 3 THEN 'TOO_MANY,X' END AS pr FROM q FULL JOIN t0 USING (run_id, tb)),
+      b AS (SELECT run_id, count(*) AS k, CAST(sum(n) AS BIGINT) AS n, coalesce(string_agg(tb || ':' || pr, ' ' ORDER BY tb) FILTER (pr IS NOT NULL), '') AS bad FROM t GROUP BY 1),
       j AS (SELECT a.*, b.n, coalesce(b.bad, '') AS bt, wanted > 0 AND good = wanted AND coalesce(k, 0) > 0 AND coalesce(b.bad, '') = '' AS complete FROM a LEFT JOIN b USING (run_id))
       SELECT run_id, complete, substring(CASE WHEN wanted = 0 THEN 'NO_PARTS' WHEN good < wanted THEN 'PAGE_GAP:' || good || '/' || wanted || ' ' || bad WHEN NOT complete THEN 'INVALID ' || bt END, 1, 500) AS reason, CASE WHEN complete THEN n END AS record_count FROM j"""),
     "carried": (carried, CARRY_SQL),

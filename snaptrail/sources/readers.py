@@ -82,9 +82,9 @@ MANIFEST = (
 )
 
 
-def read_manifests(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(runs, run_parts, run_tables) of the manifests below a folder."""
-    m = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").json(root, schema=MANIFEST, multiLine=True)
+def read_manifests(spark: SparkSession, root: str, name: str = "manifest.json") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, run_parts, run_tables) of the manifests below a folder; ``name``: their file name or a glob."""
+    m = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(root, schema=MANIFEST, multiLine=True)
     parts = m.select("run_id", F.posexplode("parts").alias("ordinal", "p")).select("run_id", "ordinal", "p.*")
     tables = m.select("run_id", F.explode("tables").alias("table", "t")).select("run_id", "table", "t.*")
     return m.select("run_id", "slug", "complete"), parts, tables

@@ -200,3 +200,37 @@ def test_unknown_values_fill_the_message(spark, width):
     spec = sp.TableSpec("t", (sp.Column("c", "text"),), known_values={"c": ("ok",)})
     out = validate.check_tables(spark.createDataFrame([(1, v) for v in values], "run long, c string"), spec, ["run"]).head()
     assert out["warnings"] == ["UNKNOWN_VALUE:c:" + "|".join(values)[:200]]
+
+
+def test_runs_without_rows_and_absent_tables_are_judged(spark):
+    spec = sp.TableSpec("t", (sp.Column("c", "text", True),), min_rows=1)
+    rows = spark.createDataFrame([(1, "a")], "run_id long, c string")
+    runs = spark.createDataFrame([(1,), (2,)], "run_id long")
+    out = {r["run_id"]: r for r in validate.check_tables(rows, spec, ["run_id"], runs=runs).collect()}
+    assert out[1]["problems"] == [] and (out[2]["n"], out[2]["problems"]) == (0, ["NO_ROWS:0<1"])
+    parts = spark.createDataFrame([(i, "p", 0, True, None) for i in (1, 2, 3)], "run_id long, part string, ordinal int, expected boolean, problem string")
+    tables = validate.check_tables(rows, spec, ["run_id"], runs=runs).select("run_id", F.lit("t").alias("table"), "n", "problems")
+    declared = spark.createDataFrame([(i, "t") for i in (1, 2, 3)], "run_id long, table string")
+    verdicts = {r["run_id"]: (r["complete"], r["reason"], r["record_count"]) for r in validate.run_verdict(parts, tables, declared).collect()}
+    assert verdicts == {1: (True, None, 1), 2: (False, "INVALID t:NO_ROWS:0<1", None), 3: (False, "INVALID t:NO_TABLE", None)}
+
+
+def test_gate_looks_back_a_bounded_number_of_runs(spark):
+    rows = [("r", "t", 1, 100, True, False)] + [("r", "t", 1 + i, None, False, False) for i in range(1, 15)] + [("r", "t", 16, 10, True, False)]
+    counts = spark.createDataFrame(rows, "register string, table string, run_id long, n long, clean boolean, accept boolean")
+    last = lambda k: validate.count_delta_gate(counts, look_back=k).filter("run_id = 16").head()
+    assert (last(14)["baseline"], last(14)["held"]) == (None, False) and (last(15)["baseline"], last(15)["held"]) == (100, True)
+
+
+def test_late_snapshot_changes_nothing(spark):
+    marks = {m: None for m in hist.MARKS}
+    empty = spark.createDataFrame([], "row_hash string, v int, " + ", ".join(f"{m} {'long' if m.endswith('_id') else 'timestamp_ntz'}" for m in marks))
+    at = lambda s: F.lit(dt.datetime(2024, 1, s)).cast("timestamp_ntz")
+    rows = lambda *h: spark.createDataFrame([(x, 1) for x in h], "row_hash string, v int")
+    one = hist.apply_snapshot(empty, rows("a", "b"), F.lit(1).cast("long"), at(1))
+    three = hist.apply_snapshot(one, rows("a"), F.lit(3).cast("long"), at(3))
+    late = hist.apply_snapshot(three, rows("a", "c"), F.lit(2).cast("long"), at(2))
+    assert sorted(map(str, late.collect())) == sorted(map(str, three.collect())) and late.count() == 2
+    # an empty snapshot counts as applied too
+    four = hist.apply_snapshot(three, rows("a").filter("false"), F.lit(4).cast("long"), at(4))
+    assert hist.apply_snapshot(four, rows("d"), F.lit(4).cast("long"), at(4)).filter("removed_snapshot_id IS NULL").count() == 0
