@@ -212,7 +212,7 @@ def encode_frames(x: np.ndarray, number: np.ndarray, bps: int, order: int = 4, p
     return out, total
 
 
-def encode(payloads: Sequence[bytes], bps: int = 8, chunk_frames: int = 512, **how: int) -> list[bytes]:
+def encode(payloads: Sequence[bytes], bps: int = 8, chunk_frames: int = 256, **how: int) -> list[bytes]:
     """FLAC files of mono sounds given as PCM bytes (8 bits: unsigned as in WAV; 16 bits: signed little-endian)."""
     width = bps // 8
     sounds = [np.frombuffer(p, np.uint8).astype(np.int32) - 128 if bps == 8 else np.frombuffer(p, "<i2").astype(np.int32) for p in payloads]
@@ -299,7 +299,8 @@ def decode_frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray, head: np
     order = np.select([(kind >= 8) & (kind <= 12), kind >= 32], [kind - 8, kind - 31], 0)
     if not np.isin(kind, [0, 1, *range(8, 13), *range(32, 64)]).all() or (order > n).any():
         raise BadFlac("unknown subframe")
-    s = np.zeros((n, rows), np.int64)
+    sample_type = np.int32 if bps == 8 else np.int64  # predictions of 8-bit samples fit 32 bits
+    s = np.zeros((n, rows), sample_type)
     own = kind == 0
     if own.any():
         s[:, own] = bits.take(bps, own, signed=True)
@@ -316,11 +317,11 @@ def decode_frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray, head: np
 
 def _predicted(bits: _Bits, coded: np.ndarray, kind: np.ndarray, order: np.ndarray, n: int, bps: int) -> np.ndarray:
     most = int(order.max())
-    out = np.zeros((n, len(coded)), np.int64)
+    out = np.zeros((n, len(coded)), np.int32 if bps == 8 else np.int64)
     for i in range(most):
         own = order > i
         out[i, own] = bits.take(bps, coded[own], signed=True)
-    shift, coef = np.zeros(len(coded), np.int64), np.zeros((most, len(coded)), np.int64)
+    shift, coef = np.zeros(len(coded), out.dtype), np.zeros((most, len(coded)), out.dtype)
     for o in range(1, 5):
         if (own := kind == 8 + o).any():
             coef[:o, own] = np.array(_FIXED[o])[:, None]
@@ -344,7 +345,7 @@ def _predicted(bits: _Bits, coded: np.ndarray, kind: np.ndarray, order: np.ndarr
     for i in range(n):
         live = order <= i
         if most and live.any():
-            pred = np.zeros(len(coded), np.int64)
+            pred = np.zeros(len(coded), out.dtype)
             for j in range(min(most, i)):
                 pred += coef[j] * out[i - 1 - j]
             out[i] += np.where(live, pred >> shift, 0)
@@ -423,7 +424,7 @@ def metadata(data: bytes) -> dict:
     return out | {"first": at}
 
 
-def decode(files: Sequence[bytes], chunk_frames: int = 4096) -> list[np.ndarray]:
+def decode(files: Sequence[bytes], chunk_frames: int = 8192) -> list[np.ndarray]:
     """Samples of each file (signed). Every frame's CRC-8 and CRC-16 and every file's length and MD5 are verified."""
     metas = [metadata(f) for f in files]
     buf = np.frombuffer(b"".join(files) + bytes(16), np.uint8)
