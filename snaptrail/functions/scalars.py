@@ -106,6 +106,11 @@ def local_date_prefix(c: Column) -> Column:
     return F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
 
 
+def parsed(raw: DataFrame, spec: TableSpec) -> DataFrame:
+    """The declared rows of raw parts: what the table's own ``parse`` reads (raw itself without one), coerced."""
+    return coerce(spec.parse(raw) if spec.parse else raw, spec)
+
+
 def coerce(df: DataFrame, spec: TableSpec) -> DataFrame:
     """The declared columns in order and type; missing ones are null, undeclared ones an error."""
     extra = sorted(set(df.columns) - set(spec.names))

@@ -24,7 +24,10 @@ def matches(df: DataFrame, q: str) -> Column:
 
 
 def rows(view: DataFrame, q: str | None = None, filters: dict[str, str] | None = None, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(total, page): rows whose columns equal the filters' values and that match q, ordered by the first two columns."""
+    """(total, page): rows whose columns equal the filters' values and that match q, ordered by the first two columns.
+
+    Ties are settled by ``row_hash``, or by all other columns where there is none, so pages neither repeat nor miss a row.
+    """
     unknown = sorted(set(filters or {}) - set(view.columns))
     if unknown:
         raise ValueError(f"unknown columns: {unknown}")
@@ -33,7 +36,9 @@ def rows(view: DataFrame, q: str | None = None, filters: dict[str, str] | None =
         view = view.filter(F.array_contains(c, v) if kinds[c] == "array<string>" else F.col(c).cast("string") == v)
     if q:
         view = view.filter(matches(view, q))
-    page = view.orderBy(*[F.col(c).asc_nulls_last() for c in view.columns[:2]]).offset(offset).limit(min(limit, MOST_ROWS))
+    first, rest = view.columns[:2], view.columns[2:]
+    ties = ["row_hash"] if "row_hash" in rest else [c for c in rest if not kinds[c].startswith(("map", "variant"))]
+    page = view.orderBy(*[F.col(c).asc_nulls_last() for c in first + ties]).offset(offset).limit(min(limit, MOST_ROWS))
     return view.agg(F.count("*").alias("total")), page
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaptrail import spec as sp
+from snaptrail.functions import scalars
 from snaptrail.operators import lookup, runlog, validate
 from snaptrail.plans import standins as st
 
@@ -190,9 +191,46 @@ def catalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog of one register a nation, joined with its rows: columns and rows a jurisdiction."""
     nations = st.table(spark, sf_dir, "nation")
     registers = [sp.RegisterSpec(f"{k}_register", "", k, (sp.TableSpec("domains", (sp.Column("host", "text", True), sp.Column("page_id", "bigint"))),)) for k in ("licensees", "blocklist")]
-    columns = sp.catalog(spark, registers).groupBy("kind").agg(F.count("*").alias("columns"))
+    kinds = [sp.resolve(registers, f"{r.slug}.domains")[0].kind for r in registers]
+    columns = sp.catalog(spark, registers).groupBy("kind").agg(F.count("*").alias("columns"))  # one row a kind
     rows = st.domain_index(spark, sf_dir).groupBy("jurisdiction", "kind").agg(F.count("*").alias("rows"))
-    return nations.select(F.col("n_name").alias("jurisdiction")).crossJoin(F.broadcast(columns)).join(rows, ["jurisdiction", "kind"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    wanted = nations.select(F.col("n_name").alias("jurisdiction"), F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    return wanted.join(F.broadcast(columns), "kind").join(rows, ["jurisdiction", "kind"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+HOLDERS = (sp.Column("account", "bigint", True), sp.Column("holder", "text", True), sp.Column("nation", "int"), sp.Column("segment", "text"))
+
+
+def read_lines(parts: DataFrame) -> DataFrame:
+    """Licences published as lines: number, holder and nation between semicolons."""
+    cells = F.split("body", ";")
+    return parts.select(cells[0].alias("account"), cells[1].alias("holder"), cells[2].alias("nation"))
+
+
+def read_records(parts: DataFrame) -> DataFrame:
+    """Blocked holders published as JSON records with a nested place."""
+    r = F.from_json("body", "id string, name string, place struct<nation: string, segment: string>")
+    return parts.select(r["id"].alias("account"), r["name"].alias("holder"), r["place"]["nation"].alias("nation"), r["place"]["segment"].alias("segment"))
+
+
+REGISTERS = [
+    sp.RegisterSpec("lines", "AA", "licensees", (sp.TableSpec("holders", HOLDERS, parse=read_lines),)),
+    sp.RegisterSpec("records", "BB", "blocklist", (sp.TableSpec("holders", HOLDERS, parse=read_records),)),
+]
+
+
+def parsed_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two registers that publish the same kind of table in two forms, each read by its own table's ``parse``."""
+    raw = {
+        "lines": st.table(spark, sf_dir, "supplier").select(F.concat_ws(";", "s_suppkey", F.concat(F.lit(" "), "s_name", F.lit("  ")), "s_nationkey").alias("body")),
+        "records": st.table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).alias("place"))).alias("body")),
+    }
+
+    def one(slug: str) -> DataFrame:
+        register, declared = sp.resolve(REGISTERS, f"{slug}.holders")
+        return scalars.parsed(raw[slug], declared).select(F.lit(register.slug).alias("slug"), F.lit(register.kind).alias("kind"), *declared.names)
+
+    return one("lines").unionByName(one("records"))
 
 
 D = f"WITH {st.DOMAINS_SQL}, bare AS (SELECT regexp_replace(host, '^www\\.', '') AS host, kind, jurisdiction FROM domains) "
@@ -239,4 +277,6 @@ QUERIES = {
     "many_domains": (many_domains, D + f", {st.WATCH_SQL}, w AS (SELECT DISTINCT regexp_replace(domain, '^www\\.', '') AS domain FROM watch) SELECT domain, {SETS}, count(*) FILTER (host = domain) AS n_exact, count(*) FILTER (host <> domain) AS n_subdomain FROM w JOIN bare ON host = domain OR ends_with(host, '.' || domain) GROUP BY domain"),
     "conflicts": (conflicts, D + f"SELECT host, {SETS} FROM bare GROUP BY host HAVING count(*) FILTER (kind = 'licensees') > 0 AND count(*) FILTER (kind = 'blocklist') > 0"),
     "catalogued": (catalogued, f"WITH {st.DOMAINS_SQL} SELECT n_name AS jurisdiction, k.kind, CAST(2 AS BIGINT) AS columns, count(d.host) AS rows FROM nation CROSS JOIN (SELECT unnest(['licensees', 'blocklist']) AS kind) k LEFT JOIN domains d ON d.jurisdiction = n_name AND d.kind = k.kind GROUP BY ALL"),
+    "parsed_registers": (parsed_registers, """SELECT 'lines' AS slug, 'licensees' AS kind, s_suppkey AS account, s_name AS holder, s_nationkey AS nation, CAST(NULL AS VARCHAR) AS segment FROM supplier
+      UNION ALL SELECT 'records', 'blocklist', c_custkey, c_name, c_nationkey, c_mktsegment FROM customer"""),
 }

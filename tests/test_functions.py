@@ -114,6 +114,8 @@ def test_rows_and_domains(spark):
     df = spark.createDataFrame([("b", 1, ["x"]), (None, 2, ["100%"]), ("a", 3, [])], "n string, k int, l array<string>")
     total, page = lookup.rows(df, q="%")
     assert total.head()["total"] == 1 and [r["k"] for r in lookup.rows(df)[1].collect()] == [3, 1, 2] and page.count() == 1
+    tied = spark.createDataFrame([("a", 1, i) for i in (3, 1, 2)], "a string, b int, c int").repartition(3)
+    assert [lookup.rows(tied, limit=1, offset=i)[1].head()["c"] for i in range(3)] == [1, 2, 3]
     with pytest.raises(ValueError):
         lookup.rows(df, filters={"nope": "1"})
     index = spark.createDataFrame([("nj.bet365.com", "licensees", "US-NJ"), ("www.bet365.com", "blocklist", "CH"), ("notbet365.com", "blocklist", "PL")], "host string, kind string, jurisdiction string")
