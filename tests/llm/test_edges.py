@@ -143,6 +143,10 @@ def test_line_edges(spark):
     out = lines.dedup_lines(docs_of(spark, rows), min_sites=10).collect()
     assert {r["text"] for r in out} == {f"own {i}" for i in range(11)} | {LONG} and all(r["n_removed"] == 1 for r in out)
     assert lines.dedup_lines(docs_of(spark, rows), min_sites=11).filter("n_removed > 0").count() == 0
+    # many lines, shared ones and own ones repeated: places are cut, order and repeats stay
+    long = "\n".join(["shared line", "own", "own", " shared line\t", ""] * 20_000)
+    row = lines.dedup_lines(docs_of(spark, [*rows, (21, long, "s1")]), min_sites=10).filter("doc_id = 21").head()
+    assert row["text"] == "\n".join(["own", "own", ""] * 20_000) and (row["n_lines"], row["n_removed"]) == (100_000, 40_000)
 
 
 def test_toxicity_edges(spark):
