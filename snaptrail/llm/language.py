@@ -6,7 +6,9 @@ product of their sizes. A few training texts are Nystroem landmarks; one-versus-
 on them, and texts are scored in batches: presence matrix times landmarks, times coefficients.
 
 Only a sample is learned from, of about ``per_language`` texts a language (a documented bound; drawn by a hash of the
-id, whole texts); executors turn it into bit sets, so the driver gets 2 KB a text. Every text is scored whole.
+id, whole texts); executors turn it into bit sets, so the driver gets 2 KB a text. ``most_texts`` bounds the sample over
+all languages and ``most_languages`` how many are learned (those with the most texts), so a column full of stray values
+can't fill the driver. Every text is scored whole.
 
 Defined results: null text or text without a letter is ``und`` with score 0; so is every text if nothing can be learned
 from; repeated rows stay repeated; a null id counts as the empty id when rows are held out; ties go to the language that
@@ -101,12 +103,14 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def learn(docs: DataFrame, may_learn: Column, per_language: int = 600) -> Model | None:
+def learn(docs: DataFrame, may_learn: Column, per_language: int = 600, most_languages: int = 256, most_texts: int = 24_000) -> Model | None:
     """A model from the rows that may be learned from; None if there are none."""
     rows = docs.select("doc_id", "text", "lang", may_learn.alias("may")).filter("may AND lang IS NOT NULL AND text IS NOT NULL").drop("may")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["count"] for r in frequent.collect()}
     if not counts:
         return None
+    per_language = min(per_language, most_texts // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
 
