@@ -2,7 +2,7 @@
 
 Frames are rows: every step of a decoder (one residual, one predicted sample, one checksum byte) is done for all frames
 of a chunk together. Sound is mono, 8 or 16 bits a sample; all subframe kinds (constant, verbatim, fixed and linear
-prediction), Rice partitions with 4- and 5-bit parameters and escaped partitions are read.
+prediction), wasted bits, Rice partitions with 4- and 5-bit parameters and escaped partitions are read.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ BLOCK = 192
 SEEK_FRAMES = 64
 RATE = 8000
 MARKER = b"fLaC"
+#: fourth header byte of one channel with samples as the file states, of 8 bits and of 16 bits
+_LAYOUTS = (0x00, 0x02, 0x08)
 _FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
 
@@ -225,10 +227,17 @@ def encode(payloads: Sequence[bytes], bps: int = 8, chunk_frames: int = 256, **h
         data, ends = data.tobytes(), np.cumsum(size)
         for (i, f), a, b in zip(part, ends - size, ends, strict=True):
             frames[i][f] = data[a:b]
+    rests: dict[int, list[int]] = {}
     for i, s in enumerate(sounds):
         if rest := len(s) % BLOCK:
-            data, _ = encode_frames(s[-rest:][None, :], np.array([len(s) // BLOCK], np.int64), bps, **how)
-            frames[i][-1] = data.tobytes()
+            rests.setdefault(rest, []).append(i)
+    for rest, ended in rests.items():
+        for a in range(0, len(ended), chunk_frames):
+            part = ended[a : a + chunk_frames]
+            data, size = encode_frames(np.stack([sounds[i][-rest:] for i in part]), np.array([len(sounds[i]) // BLOCK for i in part], np.int64), bps, **how)
+            data, ends = data.tobytes(), np.cumsum(size)
+            for i, a0, b0 in zip(part, ends - size, ends, strict=True):
+                frames[i][-1] = data[a0:b0]
     return [_file(s, f, p, bps, width) for s, f, p in zip(sounds, frames, payloads, strict=True)]
 
 
@@ -243,7 +252,7 @@ def _file(sound: np.ndarray, frames: list[bytes], payload: bytes, bps: int, widt
 
 
 class _Bits:
-    """Reads bits at a position of its own in every row."""
+    """Reads bits at a position of its own in every row; past the end, bits without a meaning."""
 
     def __init__(self, buf: np.ndarray, at: np.ndarray) -> None:
         self.view = np.ndarray((len(buf) - 7,), ">u8", buf.tobytes(), strides=(1,))
@@ -251,7 +260,7 @@ class _Bits:
 
     def window(self, own: np.ndarray | slice = slice(None)) -> np.ndarray:
         at = self.at[own]
-        return self.view[at >> 3].astype(np.uint64) << (at & 7).astype(np.uint64)
+        return self.view[np.minimum(at >> 3, len(self.view) - 1)].astype(np.uint64) << (at & 7).astype(np.uint64)
 
     def take(self, n: int, own: np.ndarray | slice = slice(None), signed: bool = False) -> np.ndarray:
         v = (self.window(own) >> np.uint64(64 - n)).astype(np.int64) if n else np.zeros(len(self.at[own]), np.int64)
@@ -264,7 +273,7 @@ class _Bits:
         if (q == 16).any():
             rows = np.arange(len(self.at))[own]
             far = q == 16
-            q[far] = [self._run(int(p)) for p in self.at[rows[far]]]
+            q[far] = [self.run(int(p)) for p in self.at[rows[far]]]
             self.at[own] += q + 1
             rest = self.window(own)
             self.at[own] += k
@@ -275,12 +284,12 @@ class _Bits:
         u = (q << k) | low
         return (u >> 1) ^ -(u & 1)
 
-    def _run(self, at: int) -> int:
-        """Zeros before the next one, for runs beyond the table."""
+    def run(self, at: int) -> int:
+        """Zeros before the next one, or before the end of the data."""
         n = 0
         while True:
             if (at >> 3) >= len(self.view):
-                raise BadFlac("the data end inside a residual")
+                return n
             w = (int(self.view[at >> 3]) << (at & 7)) & ((1 << 64) - 1)
             left = 64 - (at & 7)
             if w:
@@ -288,36 +297,49 @@ class _Bits:
             n, at = n + left, at + left
 
 
-def decode_frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray, head: np.ndarray, bps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Samples (rows of ``size``, all equal) and the end byte of frames whose subframe begins ``head`` bytes in."""
+#: what may be wrong with a frame, by its number in ``decode_frames``
+PROBLEMS = ("", "unknown subframe", "no bits left beside wasted bits", "reserved predictor precision", "negative predictor shift", "unknown residual coding", "uneven partitions", "the data end inside a frame")
+_UNKNOWN, _WASTED, _PRECISION, _SHIFT, _CODING, _UNEVEN, _ENDS = range(1, 8)
+
+
+def decode_frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray, head: np.ndarray, bps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Samples (rows of ``size``, all equal), the end byte and the problem (0: none) of frames whose subframe begins ``head`` bytes in.
+
+    Rows don't disturb each other: bytes that only look like a frame give a problem, or samples that nobody asks for.
+    """
     n, rows = int(size[0]), len(start)
     bits = _Bits(buf, (start + head) * 8)
     flag = bits.take(8)
-    kind, wasted = (flag >> 1) & 0x3F, flag & 1
-    if wasted.any():
-        raise BadFlac("wasted bits aren't supported")
+    kind, wasted = (flag >> 1) & 0x3F, np.zeros(rows, np.int64)
+    for i in np.flatnonzero(flag & 1):
+        wasted[i] = bits.run(int(bits.at[i])) + 1
+        bits.at[i] += wasted[i]
     order = np.select([(kind >= 8) & (kind <= 12), kind >= 32], [kind - 8, kind - 31], 0)
-    if not np.isin(kind, [0, 1, *range(8, 13), *range(32, 64)]).all() or (order > n).any():
-        raise BadFlac("unknown subframe")
-    sample_type = np.int32 if bps == 8 else np.int64  # predictions of 8-bit samples fit 32 bits
-    s = np.zeros((n, rows), sample_type)
-    own = kind == 0
-    if own.any():
-        s[:, own] = bits.take(bps, own, signed=True)
-    own = kind == 1
-    if own.any():
-        for i in range(n):
-            s[i, own] = bits.take(bps, own, signed=True)
-    coded = np.flatnonzero(kind >= 8)
-    if len(coded):
-        s[:, coded] = _predicted(bits, coded, kind[coded], order[coded], n, bps)
+    problem = np.zeros(rows, np.int8)
+    problem[(flag > 127) | ~np.isin(kind, [0, 1, *range(8, 13), *range(32, 64)]) | (order > n)] = _UNKNOWN
+    problem[(problem == 0) & (wasted >= bps)] = _WASTED
+    s = np.zeros((n, rows), np.int32 if bps == 8 else np.int64)  # predictions of 8-bit samples fit 32 bits
+    for w in np.unique(wasted[problem == 0]):
+        mine, width = (problem == 0) & (wasted == w), bps - int(w)
+        if (own := mine & (kind == 0)).any():
+            s[:, own] = bits.take(width, own, signed=True)
+        if (own := mine & (kind == 1)).any():
+            for i in range(n):
+                s[i, own] = bits.take(width, own, signed=True)
+        coded = np.flatnonzero(mine & (kind >= 8))
+        if len(coded):
+            _predicted(bits, coded, kind[coded], order[coded], width, s, problem)
+        if w:
+            s[:, mine] <<= w
     end = (bits.at + 7) >> 3
-    return s.T, end
+    problem[(problem == 0) & (end + 2 > len(buf))] = _ENDS
+    return s.T, end, problem
 
 
-def _predicted(bits: _Bits, coded: np.ndarray, kind: np.ndarray, order: np.ndarray, n: int, bps: int) -> np.ndarray:
-    most = int(order.max())
-    out = np.zeros((n, len(coded)), np.int32 if bps == 8 else np.int64)
+def _predicted(bits: _Bits, coded: np.ndarray, kind: np.ndarray, order: np.ndarray, bps: int, s: np.ndarray, problem: np.ndarray) -> None:
+    """Reads the predicted subframes of the rows ``coded`` into ``s``; rows that can't be read get a problem instead."""
+    most, n = int(order.max()), len(s)
+    out = np.zeros((n, len(coded)), s.dtype)
     for i in range(most):
         own = order > i
         out[i, own] = bits.take(bps, coded[own], signed=True)
@@ -329,16 +351,21 @@ def _predicted(bits: _Bits, coded: np.ndarray, kind: np.ndarray, order: np.ndarr
     if len(lpc):
         precision = bits.take(4, coded[lpc]) + 1
         shift[lpc] = bits.take(5, coded[lpc], signed=True)
-        if (shift < 0).any():
-            raise BadFlac("negative predictor shift")
+        problem[coded[lpc[shift[lpc] < 0]]] = _SHIFT
+        problem[coded[lpc[precision == 16]]] = _PRECISION
         for p in np.unique(precision):
             own = lpc[precision == p]
             for j in range(int(order[own].max())):
                 some = own[order[own] > j]
                 coef[j, some] = bits.take(int(p), coded[some], signed=True)
     method, partition_order = bits.take(2, coded), bits.take(4, coded)
-    if (method > 1).any():
-        raise BadFlac("unknown residual coding")
+    problem[coded[method > 1]] = _CODING
+    problem[coded[(n % (1 << partition_order) != 0) | ((partition_order > 0) & (n >> partition_order < order))]] = _UNEVEN
+    good = problem[coded] == 0
+    if not good.all():
+        coded, order, shift, method, partition_order = coded[good], order[good], shift[good], method[good], partition_order[good]
+        coef, out = coef[:, good], out[:, good]
+        most = int(order.max(initial=0))
     for m, po in set(zip(method.tolist(), partition_order.tolist(), strict=True)):
         own = np.flatnonzero((method == m) & (partition_order == po))
         _residuals(bits, coded[own], own, order, n, 4 + m, po, out)
@@ -349,12 +376,10 @@ def _predicted(bits: _Bits, coded: np.ndarray, kind: np.ndarray, order: np.ndarr
             for j in range(min(most, i)):
                 pred += coef[j] * out[i - 1 - j]
             out[i] += np.where(live, pred >> shift, 0)
-    return out
+    s[:, coded] = out
 
 
 def _residuals(bits: _Bits, at: np.ndarray, own: np.ndarray, order: np.ndarray, n: int, width: int, partition_order: int, out: np.ndarray) -> None:
-    if n % (1 << partition_order):
-        raise BadFlac("uneven partitions")
     plen, escape = n >> partition_order, (1 << width) - 1
     rank = order[own]
     inner = _Bits.__new__(_Bits)
@@ -383,14 +408,17 @@ def _residuals(bits: _Bits, at: np.ndarray, own: np.ndarray, order: np.ndarray,
 
 
 def find_frames(buf: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, coded number, block size and header bytes of the places that look like frames (their CRC-8 holds)."""
+    """Start, coded number, block size and header bytes of the places that look like frames of one channel (their CRC-8 holds).
+
+    Bytes inside a frame may look like one as well; only the chain from a file's first frame tells them apart.
+    """
     at = np.flatnonzero((buf[: max(0, end - 1)] == 0xFF) & (buf[1 : max(1, end)] == 0xF8))
     lead = buf[at + 4].astype(np.int64)
     nb = np.select([lead < 0x80, lead >> 5 == 6, lead >> 4 == 14, lead >> 3 == 30, lead >> 2 == 62, lead >> 1 == 126], [1, 2, 3, 4, 5, 6], 0)
     code = buf[at + 2] >> 4
     rate = buf[at + 2] & 15
     # of the codes for block size and rate, those that name a common size or read one or two more bytes
-    ok = (nb > 0) & (code > 0) & (rate < 15)
+    ok = (nb > 0) & (code > 0) & (rate < 15) & np.isin(buf[at + 3], _LAYOUTS)
     at, lead, nb, code, rate = at[ok], lead[ok], nb[ok], code[ok].astype(np.int64), rate[ok]
     number = np.where(nb == 1, lead, lead & ((1 << np.maximum(0, 6 - nb + 1)) - 1))
     for j in range(1, 6):
@@ -415,7 +443,7 @@ def metadata(data: bytes) -> dict:
         block = data[at + 4 : at + 4 + length]
         if kind == 0:
             packed = int.from_bytes(block[10:18], "big")
-            out |= {"rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bps": (packed >> 36 & 31) + 1, "samples": packed & ((1 << 36) - 1), "md5": block[18:34]}
+            out |= {"most": int.from_bytes(block[2:4], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bps": (packed >> 36 & 31) + 1, "samples": packed & ((1 << 36) - 1), "md5": block[18:34]}
         elif kind == 3:
             out["seek"] = [struct.unpack(">QQH", block[i : i + 18]) for i in range(0, len(block) - 17, 18)]
         at += 4 + length
@@ -426,45 +454,75 @@ def metadata(data: bytes) -> dict:
 
 def decode(files: Sequence[bytes], chunk_frames: int = 8192) -> list[np.ndarray]:
     """Samples of each file (signed). Every frame's CRC-8 and CRC-16 and every file's length and MD5 are verified."""
-    metas = [metadata(f) for f in files]
+    out = decode_each(files, chunk_frames)
+    for found in out:
+        if isinstance(found, BadFlac):
+            raise found
+    return out
+
+
+def decode_each(files: Sequence[bytes], chunk_frames: int = 8192) -> list[np.ndarray | BadFlac]:
+    """As ``decode``, but a damaged file gives its error in place of its samples, whatever files it is decoded with.
+
+    All places that look like frames are decoded together. A file's frames are those that follow each other without a
+    gap from its first byte on; no other place has a say.
+    """
+    out: list = [None] * len(files)
+    metas: list[dict] = []
+    for i, f in enumerate(files):
+        try:
+            metas.append(metadata(f))
+        except (BadFlac, IndexError, struct.error) as e:
+            out[i] = e if isinstance(e, BadFlac) else BadFlac("the data end inside the metadata")
+            metas.append({"first": len(f), "bps": 8, "samples": 0, "most": 0})
     buf = np.frombuffer(b"".join(files) + bytes(16), np.uint8)
-    ends = np.cumsum([len(f) for f in files]) if files else np.zeros(0, np.int64)
+    ends = np.cumsum([len(f) for f in files], dtype=np.int64)
     at, number, size, head = find_frames(buf, len(buf) - 16)
     owner = np.searchsorted(ends, at, side="right")
     first = ends - np.array([len(f) - m["first"] for f, m in zip(files, metas, strict=True)], np.int64)
-    real = at >= first[owner] if files else np.zeros(0, bool)
-    all_frames = np.stack([owner, at, number, size, head])[:, real]
-    sound = [np.zeros(m["samples"], np.int16) for m in metas]
-    finish = np.full(all_frames.shape[1], -1, np.int64)
-    samples: dict[int, np.ndarray] = {}
-    keys = all_frames[3] * 32 + np.array([m["bps"] for m in metas], np.int64)[all_frames[0]]
+    most = np.array([m["most"] for m in metas], np.int64)
+    real = (at >= first[owner]) & (size <= most[owner]) if len(files) else np.zeros(0, bool)
+    owner, at, size, head = owner[real], at[real], size[real], head[real]
+    finish, problem = np.zeros(len(at), np.int64), np.zeros(len(at), np.int8)
+    samples: list = [None] * len(at)
+    keys = size * 32 + np.array([m["bps"] for m in metas], np.int64)[owner]
     for key in np.unique(keys):
         own = np.flatnonzero(keys == key)
         for a in range(0, len(own), chunk_frames):
             part = own[a : a + chunk_frames]
-            _, start, _, size, head = all_frames[:, part]
-            s, end = decode_frames(buf, start, size, head, int(key % 32))
-            crc = checksum(buf, start, np.minimum(end, len(buf) - 2) - start, wide=True)
-            ok = crc == (buf[np.minimum(end, len(buf) - 2)].astype(np.uint16) << 8 | buf[np.minimum(end + 1, len(buf) - 1)])
-            finish[part] = np.where(ok, end + 2, -1)
-            s = s.astype(np.int16)
-            for row, i in enumerate(part.tolist()):
-                samples[i] = s[row]
-    bounds = np.searchsorted(all_frames[0], np.arange(len(files) + 1))
+            s, finish[part], problem[part] = decode_frames(buf, at[part], size[part], head[part], int(key % 32))
+            for i, row in zip(part.tolist(), s.astype(np.int16), strict=True):
+                samples[i] = row
+    # the chains, then the checksums of the frames on them
+    bounds = np.searchsorted(owner, np.arange(len(files) + 1))
+    chains: list[list[int]] = [[] for _ in files]
     for i, m in enumerate(metas):
-        at, done = int(ends[i]) - len(files[i]) + m["first"], 0
-        for j in range(bounds[i], bounds[i + 1]):
-            if all_frames[1, j] != at:  # bytes inside a frame that look like one
+        place, end, done = int(first[i]), int(ends[i]), 0
+        for j in range(bounds[i], bounds[i + 1]) if out[i] is None else ():
+            if at[j] != place:
                 continue
-            if finish[j] < 0:
-                raise BadFlac(f"CRC-16 of the frame at sample {done}")
-            x = samples[j]
-            if done + len(x) > m["samples"]:
-                raise BadFlac("more samples than stated")
-            sound[i][done : done + len(x)] = x
-            done, at = done + len(x), int(finish[j])
-        if done != m["samples"] or at != int(ends[i]):
-            raise BadFlac(f"a damaged or missing frame at sample {done}")
-        if hashlib.md5(sound[i].astype(np.int8 if m["bps"] == 8 else "<i2").tobytes()).digest() != m["md5"]:
-            raise BadFlac("MD5 of the samples")
-    return sound
+            chains[i].append(j)
+            place = int(finish[j]) + 2
+            if problem[j] or place > end:
+                out[i] = BadFlac(PROBLEMS[problem[j] or _ENDS])
+                break
+            done += int(size[j])
+        if out[i] is None and (done != m["samples"] or place != end):
+            out[i] = BadFlac("more samples than stated" if done > m["samples"] else f"a damaged or missing frame at sample {done}")
+    whole = np.array([j for i, c in enumerate(chains) if out[i] is None for j in c], np.int64)
+    crc = checksum(buf, at[whole], finish[whole] - at[whole], wide=True)
+    bad = set(whole[crc != (buf[finish[whole]].astype(np.uint16) << 8 | buf[finish[whole] + 1])].tolist())
+    for i, m in enumerate(metas):
+        if out[i] is not None:
+            continue
+        done = 0
+        for j in chains[i]:
+            if j in bad:
+                out[i] = BadFlac(f"CRC-16 of the frame at sample {done}")
+                break
+            done += int(size[j])
+        else:
+            sound = np.concatenate([samples[j] for j in chains[i]]) if chains[i] else np.zeros(0, np.int16)
+            digest = hashlib.md5(sound.astype(np.int8 if m["bps"] == 8 else "<i2").tobytes()).digest()
+            out[i] = sound if digest == m["md5"] else BadFlac("MD5 of the samples")
+    return out

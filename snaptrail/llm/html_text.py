@@ -54,7 +54,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("block", "chars", "children", "density", "flagged", "link_chars", "link_tags", "parent", "score", "tag", "tags")
+    __slots__ = ("block", "chars", "children", "density", "flagged", "in_link", "link_chars", "link_tags", "parent", "score", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, flagged: bool = False) -> None:
         self.tag, self.parent, self.flagged = tag, parent, flagged
@@ -62,6 +62,7 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
         self.block = tag in BLOCK
+        self.in_link = tag == "a" or (parent is not None and parent.in_link)
 
 
 class OpenTags:
@@ -279,7 +280,10 @@ def composite(chars: int, tags: int, link_chars: int, link_tags: int, linked: fl
 
 
 def densities(root: Node) -> list[Node]:
-    """Fills counts, composite densities and density sums; returns the nodes, parents first."""
+    """Fills counts, composite densities and density sums; returns the nodes, parents first.
+
+    All text and all tags below a link are linked, whatever blocks the link holds.
+    """
     nodes = in_order(root)
     for node in reversed(nodes):
         for c in node.children:
@@ -289,13 +293,14 @@ def densities(root: Node) -> list[Node]:
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
-                node.link_tags += c.link_tags + (c.tag == "a")
+                node.link_tags += c.link_tags + c.in_link
                 node.block |= c.block
-        if node.tag == "a":
+        if node.in_link:
             node.link_chars = node.chars
     linked = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
-        node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, linked)
+        # a node inside a link is a link itself, with or without tags below it
+        node.density = 0.0 if node.in_link else composite(node.chars, node.tags, node.link_chars, node.link_tags, linked)
     for node in nodes:
         if not node.block:
             continue
@@ -303,13 +308,13 @@ def densities(root: Node) -> list[Node]:
         for c in [*node.children, None]:
             if c is None or (isinstance(c, Node) and c.block):
                 node.score += c.density if c else 0.0
-                if run[0]:
+                if run[0] and not node.in_link:
                     node.score += composite(*run, linked)
                     run = [0, 0, 0, 0]
             elif isinstance(c, str):
                 run[0] += len(_SPACE.sub(" ", c).strip())
             else:
-                run = [a + b for a, b in zip(run, (c.chars, c.tags + 1, c.link_chars, c.link_tags + (c.tag == "a")), strict=True)]
+                run = [a + b for a, b in zip(run, (c.chars, c.tags + 1, c.link_chars, c.link_tags + c.in_link), strict=True)]
     return nodes
 
 
@@ -363,6 +368,22 @@ def is_rail(node: Node, threshold: float) -> bool:
     return node.block and node.link_tags >= RAIL_LINKS and node.link_chars * 2 > node.chars and node.density < threshold
 
 
+def linked_cards(node: Node) -> set[Node]:
+    """Children that are blocks of nothing but links, where at least as many as make a list of links follow each other."""
+    found: set[Node] = set()
+    run: list[Node] = []
+    for c in [*node.children, None]:
+        if isinstance(c, str) and not c.strip():
+            continue
+        if isinstance(c, Node) and c.block and c.chars and c.link_chars == c.chars and c.tag not in HEADINGS:
+            run.append(c)
+            continue
+        if len(run) >= RAIL_LINKS:
+            found.update(run)
+        run = []
+    return found
+
+
 def blocks(node: Node, out: list[str], threshold: float = 0.0) -> None:
     """Texts of the blocks below a node without lists of links, white space folded."""
     pieces: list[str] = []
@@ -385,7 +406,8 @@ def blocks(node: Node, out: list[str], threshold: float = 0.0) -> None:
             if item.block:
                 flush()
                 stack.append(flush)
-            stack += reversed(item.children)
+            cards = linked_cards(item) if threshold else ()
+            stack += [c for c in reversed(item.children) if c not in cards]
     flush()
 
 

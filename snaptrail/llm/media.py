@@ -63,31 +63,16 @@ def _feature(x: np.ndarray) -> str:
     return f"samples={len(x)};min={x.min(initial=0)};max={x.max(initial=0)};sum={x.sum()};energy={(x * x).sum()};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};travel={int(np.abs(np.diff(x)).sum())}"
 
 
-def _decoded(files: list) -> list[tuple[np.ndarray | None, str | None]]:
-    """Samples or the problem of each file; damaged files don't disturb the others."""
-    try:
-        return [(s, None) for s in flac.decode(files)]
-    except (flac.BadFlac, IndexError, ValueError):
-        out = []
-        for f in files:
-            try:
-                out.append((flac.decode([f])[0], None))
-            except (flac.BadFlac, IndexError, ValueError) as e:
-                out.append((None, str(e)[:200] or type(e).__name__))
-        return out
-
-
 def decode_media(df: DataFrame, media: str = "media", bps: int = 8) -> DataFrame:
     """Adds ``blocks`` (sample_offset, n_samples, pcm), ``feature`` and ``problem``; drops nothing."""
 
     def run(values: list) -> dict[str, list]:
-        there = [bytes(v) for v in values if v is not None]
-        results = iter(_decoded(there))
+        results = iter(flac.decode_each([bytes(v) for v in values if v is not None]))
         blocks, features, problems = [], [], []
         for v in values:
-            x, problem = next(results) if v is not None else (None, "null")
-            problems.append(problem)
-            if x is None:
+            x = next(results) if v is not None else "null"
+            problems.append(None if isinstance(x, np.ndarray) else str(x)[:200])
+            if not isinstance(x, np.ndarray):
                 blocks.append([])
                 features.append(None)
                 continue

@@ -67,6 +67,60 @@ def test_flac_streams_made_by_hand():
         flac.decode([bytes(broken)])
 
 
+def test_flac_wasted_bits():
+    x = [8, -16, 24, 0, 120, -128, 64, 8]
+    verbatim = "0" + bits(1, 6) + "1" + "001" + "".join(bits(v >> 3, 5) for v in x)
+    fixed = "0" + bits(9, 6) + "1" + "001" + bits(x[0] >> 3, 5) + "00" + "0000" + bits(2, 4) + rice((np.diff(x) >> 3).tolist(), 2)
+    all_wasted = "0" + bits(1, 6) + "1" + "00000001" + bits(0, 8)
+    first, second, third = flac.decode_each([by_hand(x, verbatim), by_hand(x, fixed), by_hand([0] * 8, all_wasted)])
+    assert first.tolist() == x and second.tolist() == x
+    assert isinstance(third, flac.BadFlac)
+
+
+#: subframes that can't be read: wasted bits beyond the samples, unknown kind, padding bit, reserved precision, negative
+#: shift, unknown coding, uneven partitions
+UNREADABLE = [bits(1, 7) + "1" + "0" * 9 + "1", bits(5 << 1, 8), bits(0x90, 8), bits(32 << 1, 8) + bits(0, 8) + "1111", bits(32 << 1, 8) + bits(0, 8) + "0011" + "10000" + "0001" + "00", bits(8 << 1, 8) + "11", bits(8 << 1, 8) + "00" + "1111"]
+
+
+@pytest.mark.parametrize("subframe", [*UNREADABLE, bits(1 << 1, 8) + bits(77, 24), bits(0, 8)])
+def test_flac_frames_inside_frames(subframe):
+    """A frame header among the samples of a verbatim frame changes nothing, neither for its file nor for others."""
+    rng = np.random.default_rng(5)
+    header = bytes([0xFF, 0xF8, 0x14, 0x02, 0x00])
+    inside = header + bytes([crc(header, 7, 8)]) + int(subframe.ljust(-(-len(subframe) // 8) * 8, "0"), 2).to_bytes(-(-len(subframe) // 8), "big")
+    noise = rng.integers(0, 256, 4 * flac.BLOCK, dtype=np.uint8)
+    noise[flac.BLOCK + 20 : flac.BLOCK + 20 + len(inside)] = np.frombuffer(inside, np.uint8) ^ 0x80  # stored signed
+    payloads = [b"sound " * 200, noise.tobytes(), b"", b"another" * 100]
+    files = flac.encode(payloads)
+    assert inside in files[1] and len(flac.find_frames(np.frombuffer(files[1] + bytes(16), np.uint8), len(files[1]))[0]) > 4
+    for group in (files, files[1:2], files[::-1]):
+        want = [payloads[files.index(f)] for f in group]
+        assert [(x.astype(np.int32) + 128).astype(np.uint8).tobytes() for x in flac.decode(group)] == want
+
+
+def test_flac_damage_stays_with_its_file():
+    payloads = [bytes(range(250)) * 4, b"sound " * 400, b"more" * 99]
+    files = flac.encode(payloads)
+    for at in [*range(0, len(files[1]), 7), len(files[1]) - 1]:
+        broken = bytearray(files[1])
+        broken[at] ^= 0xFF
+        out = flac.decode_each([files[0], bytes(broken), files[2], files[1][:at]])
+        assert [isinstance(x, np.ndarray) for x in out[::2]] == [True, True]
+        assert isinstance(out[1], flac.BadFlac) or (out[1].astype(np.int32) + 128).astype(np.uint8).tobytes() == payloads[1]  # seek points and unused fields
+        assert isinstance(out[3], flac.BadFlac)
+
+
+def test_media_whole_table(spark):
+    """Every payload of a table comes back; one text runs over many blocks."""
+    sf_dir = "/root/testdata/sf0.01"
+    out = queries.op1_media_columns(spark, sf_dir).select("doc_id", "payload_sha256", "payload_bytes", "problem", "n_blocks").collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    padded = {k: v + b" " * (max(192, -(-len(v) // 192) * 192) - len(v)) for k, v in texts.items()}
+    assert {r["doc_id"]: r["payload_sha256"] for r in out} == {k: hashlib.sha256(v).hexdigest() for k, v in padded.items()}
+    assert len(out) == len(texts) and all(r["problem"] is None and r["payload_bytes"] == len(padded[r["doc_id"]]) for r in out)
+    assert max(r["n_blocks"] for r in out) > 1
+
+
 def test_media_edges(spark):
     df = spark.createDataFrame([(1, bytearray(b"ab")), (1, bytearray(b"ab")), (None, None)], "id int, pcm binary")
     out = media.decode_media(media.encode_media(df, "pcm")).collect()

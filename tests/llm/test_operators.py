@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -113,10 +113,13 @@ def brute_best(node, linked):
                 chars += len(" ".join(c.split()))
             else:
                 inner = count(c.children)
-                chars, tags, link_tags = chars + inner[0], tags + inner[1] + 1, link_tags + inner[3] + (c.tag == "a")
-                link_chars += inner[0] if c.tag == "a" else inner[2]
+                chars, tags = chars + inner[0], tags + inner[1] + 1
+                link_chars, link_tags = (link_chars + inner[0], link_tags + inner[1] + 1) if c.tag == "a" else (link_chars + inner[2], link_tags + inner[3])
         return chars, tags, link_chars, link_tags
 
+    def in_link(c):
+        return c is not None and (c.tag == "a" or in_link(c.parent))
+
     def is_block(c):
         return not isinstance(c, str) and (c.tag in html_text.BLOCK or any(is_block(x) for x in c.children))
 
@@ -128,10 +131,12 @@ def brute_best(node, linked):
         return c / max(1, t) * max(0.0, math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(max(math.e, base)))
 
     def score(n):
+        if in_link(n):
+            return 0.0
         total, run = 0.0, []
         for c in n.children:
             if is_block(c):
-                total, run = total + density(run) + density(c.children), []
+                total, run = total + density(run) + (0.0 if in_link(c) else density(c.children)), []
             else:
                 run.append(c)
         return total + density(run)
@@ -141,6 +146,8 @@ def brute_best(node, linked):
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sampled_from(["<div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<a href=x>", "</a>", "<ul><li>", "</ul>", "<span>", "</span>", "some words of text ", "a much longer piece of text, which goes on for a while. ", "x"]), max_size=40))
+@example(["<a href=x>", "<div>", "some words of text "])
+@example(["<div>", "some words of text ", "<a href=x>", "<b>", "x", "</b>", "<p>", "x", "</p>", "</a>", "</div>", "<p>", "x"])
 def test_html_densities_equal_brute_force(pieces):
     page = "<body>" + "".join(pieces) + "</body>"
     root = html_text.parse(page)
@@ -157,6 +164,7 @@ def test_html_densities_equal_brute_force(pieces):
 
 TEXT = "<p>The first paragraph of the text itself, which has some length.</p><p>A second one, which is long enough as well.</p>"
 RAIL = "<div class='rail'><ul>" + "".join(f"<li><a href='/{i}'>Link title {i}</a></li>" for i in range(40)) + "</ul></div>"
+CARDS = "".join(f"<a href='/{i}'><div><h3>Another story {i}</h3><p>What that story is about, in a few words {i}.</p></div></a>" for i in range(10))
 PLAIN = "The first paragraph of the text itself, which has some length.\nA second one, which is long enough as well."
 
 
@@ -166,12 +174,15 @@ PLAIN = "The first paragraph of the text itself, which has some length.\nA secon
         ("<main><div>{t}</div>{r}</main>", PLAIN), ("<div>{t}</div>{r}", PLAIN), ("<div>{t}{r}</div>", PLAIN), ("<main><h1>Title</h1><div>{t}</div>{r}</main>", "Title\n" + PLAIN),
         ("<div class='popular science'>{t}</div>{r}", PLAIN), ("<div class='popular science'><article>{t}</article></div>", PLAIN), ("<div><h2>A</h2>{t}</div><div><h2>B</h2>{t}</div>", f"A\n{PLAIN}\nB\n{PLAIN}"),
         ("<div>One line of loose text, with <i>marks</i>.<br>Another line of it.</div>{r}", "One line of loose text, with marks. Another line of it."), ("{r}", "\n".join(f"Link title {i}" for i in range(40))),
+        # links around whole blocks
+        ("{t}{c}", PLAIN), ("<div>{t}{c}</div>", PLAIN), ("<div>{t}<section>{c}</section></div>", PLAIN), ("<main>{t}</main><div>{c}</div>", PLAIN), ("<div>{c}</div><div>{t}</div>", PLAIN),
+        ("<div><a href='/x'><h2>Title</h2></a>{t}</div>", "Title\n" + PLAIN),
         # the same twice: the first of equal sums, and what reaches the threshold
         ("<div>{t}</div><div>{t}</div>", f"{PLAIN}\n{PLAIN}"),
     ],
 )
 def test_html_density_decides(page, text):
-    assert html_text.main_text("<body>" + page.format(t=TEXT, r=RAIL) + "</body>") == text
+    assert html_text.main_text("<body>" + page.format(t=TEXT, r=RAIL, c=CARDS) + "</body>") == text
 
 
 @pytest.mark.parametrize("piece", ["<div>", '<a "', '<a x="', "<!x", "<object><div>", "<table><tr><td>", "<p><b>", "<", "<header>", "</b><div>"])
