@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaptrail.llm import chat, contamination, html_text, language, lines, media, near_dups, packing, substrings, toxicity
+from snaptrail.llm import chat, contamination, html_text, language, lines, media, near_dups, packing, substrings, token_counts, toxicity
 from snaptrail.llm.common import table
 
 
-def tokenizer_path() -> str:
+#: tokens beyond which a text is over its limit
+TOKEN_LIMIT = 512
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,11 @@ def op10_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 OP5_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -138,6 +147,7 @@ FROM t GROUP BY doc_id
 
 QUERIES = (
     op1_media_columns, op2_composite_text_density, op3_best_fit_packing, op4_string_kernel_language, op5_chat_formatting, op6_benchmark_containment, op7_bag_minhash, op8_line_spread, op9_toxicity, op10_count_min_substrings,
+    op11_finite_state_counts,
 )
 
 
