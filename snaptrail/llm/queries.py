@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaptrail.llm import chat, contamination, html_text, language, lines, media, near_dups, packing, substrings, token_counts, toxicity
+from snaptrail.llm import alignment, chat, contamination, html_text, language, lines, media, near_dups, packing, substrings, token_counts, toxicity
 from snaptrail.llm.common import table
 
 
@@ -87,6 +87,11 @@ def op11_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op13_pointer_jumping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 OP5_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -147,7 +152,7 @@ FROM t GROUP BY doc_id
 
 QUERIES = (
     op1_media_columns, op2_composite_text_density, op3_best_fit_packing, op4_string_kernel_language, op5_chat_formatting, op6_benchmark_containment, op7_bag_minhash, op8_line_spread, op9_toxicity, op10_count_min_substrings,
-    op11_finite_state_counts,
+    op11_finite_state_counts, op13_pointer_jumping_alignment,
 )
 
 

@@ -147,6 +147,29 @@ class Splitter:
         return np.flatnonzero(begins.ravel()[:n])
 
 
+    def words(self, segments: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of strings (binary), the byte that each begins at, and the bytes that the strings begin and end at."""
+        data, offsets = string_bytes(segments)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        begins = np.flatnonzero((data & 0xC0) != 0x80)
+        starts = begins[self.word_starts(points, np.searchsorted(begins, offsets[:-1][np.diff(offsets) > 0]))]
+        return cut_bytes(data, starts), starts, offsets
+
+
+def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings one after another, and where they begin and end."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if offsets is not None else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def cut_bytes(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Bytes as binary values that begin at ``starts``, the first of which is 0."""
+    ends = np.append(starts, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -302,17 +325,8 @@ class TokenCounter:
         """The words of all texts (binary), how many each text has, and how many special strings stand between them."""
         texts = pc.fill_null(texts, "").cast(pa.string())
         parts = pc.split_pattern_regex(texts, self.special) if self.special else pc.split_pattern(texts, "\0\0")
-        segments, n_parts = parts.flatten(), pc.list_value_length(parts).to_numpy()
-        _, offsets, data = segments.buffers()
-        offsets = np.frombuffer(offsets, np.int32)[segments.offset : segments.offset + len(segments) + 1].astype(np.int64)
-        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
-        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        begins = np.flatnonzero((data & 0xC0) != 0x80)
-        first = np.searchsorted(begins, offsets[:-1][np.diff(offsets) > 0])
-        starts = begins[self.splitter.word_starts(points, first)]
-        ends = np.append(starts, len(data)).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        n_parts = pc.list_value_length(parts).to_numpy()
+        words, starts, offsets = self.splitter.words(parts.flatten())
         of_text = np.concatenate([[0], np.cumsum(n_parts)])
         return words, np.diff(np.searchsorted(starts, offsets[of_text])), n_parts - 1
 
