@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaptrail.llm import alignment, chat, contamination, html_text, language, lines, media, near_dups, packing, substrings, token_counts, toxicity
+from snaptrail.llm import alignment, chat, contamination, html_text, language, lines, media, near_dups, packing, repair, substrings, token_counts, toxicity
 from snaptrail.llm.common import table
 
 
@@ -87,6 +87,11 @@ def op11_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op12_four_russians_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damage(rows), rows)
+
+
 def op13_pointer_jumping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
@@ -149,10 +154,48 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (line0 IN (SELECT line0 FROM
 FROM t GROUP BY doc_id
 """
 
+# Costs and least audits of all four states (0 start, 1 after s, 2 after u, 3 after a) go back row by row; after each row up
+# to two rows are inserted. The text of a path is the repaired rows, each ended by a line break.
+OP12_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+code AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS code FROM c),
+damaged AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM code WHERE code <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM damaged),
+f AS (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS ini, CASE WHEN shown = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM numbered),
+pairs AS (SELECT conv_id, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair, i FROM f),
+n AS (SELECT conv_id, max(i) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated FROM f GROUP BY conv_id),
+bad AS (SELECT conv_id, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, n + 1 AS i, {c: 0::BIGINT, a: '', t: ''} AS v0, {c: 4::BIGINT, a: 'II', t: 'user:' || chr(10) || 'assistant:' || chr(10)} AS v1, {c: 2::BIGINT, a: 'I', t: 'assistant:' || chr(10)} AS v2, {c: 0::BIGINT, a: '', t: ''} AS v3 FROM n
+  UNION ALL
+  SELECT conv_id, i,
+    list_min([b0, {c: b2.c + 2, a: 'I' || b2.a, t: 'user:' || chr(10) || b2.t}, {c: b3.c + 4, a: 'II' || b3.a, t: 'user:' || chr(10) || 'assistant:' || chr(10) || b3.t}]),
+    list_min([b1, {c: b2.c + 2, a: 'I' || b2.a, t: 'user:' || chr(10) || b2.t}, {c: b3.c + 4, a: 'II' || b3.a, t: 'user:' || chr(10) || 'assistant:' || chr(10) || b3.t}]),
+    list_min([b2, {c: b3.c + 2, a: 'I' || b3.a, t: 'assistant:' || chr(10) || b3.t}]),
+    list_min([b3, {c: b2.c + 2, a: 'I' || b2.a, t: 'user:' || chr(10) || b2.t}])
+  FROM (SELECT conv_id, i, list_min(list_filter([del0, keep0, role0], lambda x: x.c IS NOT NULL)) AS b0, list_min(list_filter([del1, keep1, role1], lambda x: x.c IS NOT NULL)) AS b1,
+      list_min(list_filter([del2, keep2, role2], lambda x: x.c IS NOT NULL)) AS b2, list_min(list_filter([del3, keep3, role3], lambda x: x.c IS NOT NULL)) AS b3
+    FROM (SELECT conv_id, i,
+        {c: v0.c + 3, a: 'D' || v0.a, t: v0.t} AS del0, {c: v1.c + 3, a: 'D' || v1.a, t: v1.t} AS del1, {c: v2.c + 3, a: 'D' || v2.a, t: v2.t} AS del2, {c: v3.c + 3, a: 'D' || v3.a, t: v3.t} AS del3,
+        {c: k0.c + x, a: 'K' || k0.a, t: own || k0.t} AS keep0, {c: k1.c + x, a: 'K' || k1.a, t: own || k1.t} AS keep1, {c: k2.c + x, a: 'K' || k2.a, t: own || k2.t} AS keep2, {c: k3.c + x, a: 'K' || k3.a, t: own || k3.t} AS keep3,
+        {c: v2.c + x + 2, a: 'R' || v2.a, t: 'user:' || text || chr(10) || v2.t} AS role0, {c: v2.c + x + 2, a: 'R' || v2.a, t: 'user:' || text || chr(10) || v2.t} AS role1,
+        {c: v3.c + x + 2, a: 'R' || v3.a, t: 'assistant:' || text || chr(10) || v3.t} AS role2, {c: v2.c + x + 2, a: 'R' || v2.a, t: 'user:' || text || chr(10) || v2.t} AS role3
+      FROM (SELECT f.conv_id, f.i, text, v0, v1, v2, v3, CASE WHEN fault IN ('', 't') THEN CASE fault WHEN 't' THEN 1 ELSE 0 END END AS x, role || ':' || text || chr(10) AS own,
+          CASE ini WHEN 's' THEN v1 WHEN 'u' THEN v2 WHEN '' THEN v0 END AS k0, CASE ini WHEN 'u' THEN v2 WHEN '' THEN v1 END AS k1, CASE ini WHEN 'a' THEN v3 WHEN '' THEN v2 END AS k2, CASE ini WHEN 'u' THEN v2 WHEN '' THEN v3 END AS k3
+        FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i - 1)))
+),
+best AS (SELECT conv_id, v0 FROM dp WHERE i = 1)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(CASE WHEN v0.t <> '' THEN left(v0.t, length(v0.t) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN bad ON bad.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
 
 QUERIES = (
     op1_media_columns, op2_composite_text_density, op3_best_fit_packing, op4_string_kernel_language, op5_chat_formatting, op6_benchmark_containment, op7_bag_minhash, op8_line_spread, op9_toxicity, op10_count_min_substrings,
-    op11_finite_state_counts, op13_pointer_jumping_alignment,
+    op11_finite_state_counts, op12_four_russians_repair, op13_pointer_jumping_alignment,
 )
 
 
@@ -161,4 +204,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL, "op6_benchmark_containment": OP6_SQL, "op7_bag_minhash": OP7_SQL, "op8_line_spread": OP8_SQL, "op10_count_min_substrings": OP10_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op6_benchmark_containment": OP6_SQL, "op7_bag_minhash": OP7_SQL, "op8_line_spread": OP8_SQL, "op10_count_min_substrings": OP10_SQL, "op12_four_russians_repair": OP12_SQL}
