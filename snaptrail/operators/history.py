@@ -7,10 +7,13 @@ current part of a history takes part in applying a snapshot.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaptrail.functions.scalars import licence_stem
+from snaptrail.operators.intervals import stabbed
 from snaptrail.spec import TableSpec
 
 MARKS = ["first_seen_snapshot_id", "last_seen_snapshot_id", "removed_snapshot_id", "first_seen_at", "last_seen_at", "removed_at"]
@@ -53,6 +56,103 @@ def apply_snapshot(history: DataFrame, incoming: DataFrame, snapshot_id: Column,
     return closed.unionByName(merged.select(*history.columns))
 
 
+Snapshot = tuple[int, object]  # an applied snapshot's id and time
+
+
+def near_snapshot(before: Snapshot | None, after: Snapshot | None) -> Column:
+    """Versions that a snapshot between two neighbours can change: those seen at one of them."""
+    seen = [(F.col("first_seen_snapshot_id") <= s[0]) & (F.col("last_seen_snapshot_id") >= s[0]) for s in (before, after) if s]
+    return reduce(lambda a, b: a | b, seen, F.lit(False))
+
+
+def _mark(row: dict[str, Column], which: str, snapshot: Snapshot | None) -> dict[str, Column]:
+    """A version's marks with one of them set to a snapshot, or cleared."""
+    return row | {f"{which}_snapshot_id": F.lit(snapshot[0] if snapshot else None).cast("long"), f"{which}_at": F.lit(snapshot[1] if snapshot else None)}
+
+
+def splice_changes(near: DataFrame, incoming: DataFrame, snapshot: Snapshot, before: Snapshot | None, after: Snapshot | None) -> DataFrame:
+    """What a snapshot between two applied ones changes: versions to void and to add (column ``change``).
+
+    ``near``: the versions that ``near_snapshot`` keeps, at most one a row hash, as neighbours have no snapshot between
+    them. A version over both neighbours is split where the row is missing, one that ends before or begins after the
+    snapshot moves its end or beginning, and a row that only the snapshot has becomes a version of its own. Other columns
+    of ``near`` go with voided versions and are null in added ones.
+    """
+    own = [c for c in incoming.columns if c != "row_hash"]
+    others = [c for c in near.columns if c not in (*own, *MARKS, "row_hash")]
+    kinds = dict(near.dtypes)
+    old = {c: F.col(f"h.`{c}`") for c in ("row_hash", *own, *MARKS)}
+    new = {"row_hash": F.col("i.row_hash")} | {c: F.col(f"i.`{c}`") for c in own} | dict.fromkeys(MARKS, F.lit(None))
+    new = _mark(_mark(_mark(new, "first_seen", snapshot), "last_seen", snapshot), "removed", after)
+
+    def version(row: dict[str, Column], change: str, kept: bool = False) -> Column:
+        return F.struct(*[v.cast(kinds[c]).alias(c) for c, v in row.items()], *[(F.col(f"h.`{c}`") if kept else F.lit(None).cast(kinds[c])).alias(c) for c in others], F.lit(change).alias("change"))
+
+    void = version(old, "void", kept=True)
+    no_change = F.array().cast(f"array<{void_type(near, others, own)}>")
+    here, there = F.col("i.row_hash").isNotNull(), F.col("h.row_hash").isNotNull()
+    is_over = (F.col("h.first_seen_snapshot_id") <= before[0]) & (F.col("h.last_seen_snapshot_id") >= after[0]) if before and after else F.lit(False)
+    ends = F.col("h.last_seen_snapshot_id") == before[0] if before else F.lit(False)
+    begins = F.col("h.first_seen_snapshot_id") == after[0] if after else F.lit(False)
+    split = F.array(void, version(_mark(_mark(old, "last_seen", before), "removed", snapshot), "add"), version(_mark(old, "first_seen", after), "add"))
+    changes = (
+        F.when(~there, F.array(version(new, "add")))
+        .when(is_over, F.when(here, no_change).otherwise(split))
+        .when(ends, F.when(here, F.array(void, version(_mark(old, "last_seen", snapshot), "add"))).otherwise(F.array(void, version(_mark(old, "removed", snapshot), "add"))))
+        .when(begins & here, F.array(void, version(_mark(old, "first_seen", snapshot), "add")))
+        .otherwise(no_change)
+    )
+    return near.alias("h").join(incoming.alias("i"), F.col("h.row_hash") == F.col("i.row_hash"), "full_outer").select(F.inline(changes))
+
+
+def amend_changes(history: DataFrame, more: DataFrame, snapshot: Snapshot, before: Snapshot | None, after: Snapshot | None) -> DataFrame:
+    """What more rows of an applied snapshot change: as ``splice_changes``, for rows that weren't known to be in it.
+
+    A version that ended before the snapshot and one that begins after it become one version.
+    """
+    own = [c for c in more.columns if c != "row_hash"]
+    others = [c for c in history.columns if c not in (*own, *MARKS, "row_hash")]
+    kinds = dict(history.dtypes)
+    first, last = F.col("first_seen_snapshot_id"), F.col("last_seen_snapshot_id")
+    known = history.filter((first <= snapshot[0]) & (last >= snapshot[0]))
+    missing = more.join(known, "row_hash", "left_anti")
+    left = history.filter(last == before[0] if before else F.lit(False)).alias("l")
+    right = history.filter(first == after[0] if after else F.lit(False)).alias("r")
+    joined = missing.alias("i").join(left, F.col("i.row_hash") == F.col("l.row_hash"), "left").join(right, F.col("i.row_hash") == F.col("r.row_hash"), "left")
+    is_left, is_right = F.col("l.row_hash").isNotNull(), F.col("r.row_hash").isNotNull()
+    side = lambda s: {c: F.col(f"{s}.`{c}`") for c in ("row_hash", *own, *MARKS)}
+    added = {"row_hash": F.col("i.row_hash")} | {c: F.col(f"i.`{c}`") for c in own}
+    marks = {m: F.when(is_left, F.col(f"l.{m}")).otherwise(F.lit(snapshot[n]).cast(kinds[m])) for n, m in enumerate(("first_seen_snapshot_id", "first_seen_at"))}
+    marks |= {m: F.when(is_right, F.col(f"r.{m}")).otherwise(F.lit(snapshot[n]).cast(kinds[m])) for n, m in enumerate(("last_seen_snapshot_id", "last_seen_at"))}
+    marks |= {m: F.when(is_right, F.col(f"r.{m}")).otherwise(F.lit(after[n] if after else None).cast(kinds[m])) for n, m in enumerate(("removed_snapshot_id", "removed_at"))}
+
+    def version(row: dict[str, Column], change: str, kept: str | None = None) -> Column:
+        return F.struct(*[row[c].cast(kinds[c]).alias(c) for c in ("row_hash", *own, *MARKS)], *[(F.col(f"{kept}.`{c}`") if kept else F.lit(None).cast(kinds[c])).alias(c) for c in others], F.lit(change).alias("change"))
+
+    changes = F.filter(F.array(F.when(is_left, version(side("l"), "void", "l")), F.when(is_right, version(side("r"), "void", "r")), version(added | marks, "add")), lambda x: x.isNotNull())
+    return joined.select(F.inline(changes))
+
+
+def void_type(near: DataFrame, others: list[str], own: list[str]) -> str:
+    kinds = dict(near.dtypes)
+    return "struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in ("row_hash", *own, *MARKS, *others)) + ",change:string>"
+
+
+def changed_by(history: DataFrame, changes: DataFrame) -> DataFrame:
+    """The history without voided and with added versions."""
+    gone = changes.filter("change = 'void'").select("row_hash", "first_seen_snapshot_id")
+    return history.join(gone, ["row_hash", "first_seen_snapshot_id"], "left_anti").select(*history.columns).unionByName(changes.filter("change = 'add'").select(*history.columns))
+
+
+def splice_snapshot(history: DataFrame, incoming: DataFrame, snapshot: Snapshot, before: Snapshot | None, after: Snapshot | None) -> DataFrame:
+    """The history as if the snapshot had come in its turn; equals rebuilding from all snapshots.
+
+    ``before`` and ``after``: its neighbours among the applied snapshots, by id. Versions of rows whose presence doesn't
+    change are passed on as they are.
+    """
+    return changed_by(history, splice_changes(history.filter(near_snapshot(before, after)), incoming, snapshot, before, after))
+
+
 def apply_stats(before: DataFrame, incoming: DataFrame) -> DataFrame:
     """(inserted, removed, unchanged) of applying ``incoming``."""
     sides = diff_snapshots(before.filter(F.col("removed_snapshot_id").isNull()), incoming)
@@ -92,6 +192,15 @@ def as_of(history: DataFrame, snapshot_id: int | None = None, at: Column | None
     return history.filter((F.col(first) <= x) & (F.col(gone).isNull() | (F.col(gone) > x)))
 
 
+def as_of_many(history: DataFrame, points: DataFrame, by: list[str], at: str = "at", axis: str = "at") -> DataFrame:
+    """Every point (``by`` columns, ``at`` and others) with the versions of its key that were present then.
+
+    ``axis``: at (times) or snapshot_id. No point meets more versions than a few times those it is answered with, whatever
+    the length of a history (see ``intervals``).
+    """
+    return stabbed(history, points, by, at, f"first_seen_{axis}", f"removed_{axis}")
+
+
 def changes_in(history: DataFrame, snapshot_id: int) -> DataFrame:
     """Versions that a snapshot opened or closed, with ``kind``."""
     kind = F.when(F.col("first_seen_snapshot_id") == snapshot_id, "added").otherwise("removed")

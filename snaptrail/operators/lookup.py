@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaptrail.functions.scalars import contains_ci, host, strip_www
+from snaptrail.operators.cuts import cut
 
 MOST_ROWS = 1000
 
@@ -47,14 +47,8 @@ def ranked(found: DataFrame) -> DataFrame:
 
     Equal rows are counted before they are numbered.
     """
-    sc = found.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     counted = found.groupBy("table", "row").agg(F.count("*").alias("copies"))
-    dealt = counted.repartitionByRange("table", "row").checkpoint().withColumn("part", F.spark_partition_id())
+    dealt = cut(counted.repartitionByRange("table", "row")).withColumn("part", F.spark_partition_id())
     sums = dealt.groupBy("table", "part").agg(F.sum("copies").alias("inside"))
     before = sums.select("table", "part", (F.sum("inside").over(Window.partitionBy("table").orderBy("part")) - F.col("inside")).alias("before"))
     up_to = F.sum("copies").over(Window.partitionBy("table", "part").orderBy("row")) + F.col("before")

@@ -229,6 +229,20 @@ def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.streamed_rows(spark, root).select("row_hash", *st.VALUES, *hist.MARKS)
 
 
+def streamed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of snapshots that arrive in pieces and out of order, each applied when as many rows have come as its run declared."""
+    obs = hq.hashed(spark, sf_dir).join(F.broadcast(st.snapshots(spark)), "snapshot_id")
+    root, arriving = scratch(spark), scratch(spark)
+    for snapshot, half in ((2, 0), (4, 0), (2, 1), (1, 0), (3, 0), (4, 1), (1, 1), (3, 1)):
+        piece = obs.filter((F.col("snapshot_id") == snapshot) & (F.col("account") % 2 == half))
+        piece.repartition(2).write.parquet(f"{arriving}/{snapshot}_{half}")
+    declared = st.licence_obs(spark, sf_dir).groupBy("snapshot_id").agg(F.count("*").alias("n_rows")).join(F.broadcast(st.snapshots(spark)), "snapshot_id")
+    declared.write.parquet(f"{root}/declared")
+    stream = spark.readStream.schema(obs.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(arriving)
+    streams.stream_history(stream, root, f"{root}/state", lambda s: s.read.parquet(f"{root}/declared")).awaitTermination()
+    return streams.streamed_rows(spark, root).select("row_hash", *st.VALUES, *hist.MARKS)
+
+
 def streamed_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink(spark, streams.stream_gate(stream_of(spark, lq.gate_counts(spark, sf_dir))))
 
@@ -276,6 +290,7 @@ QUERIES = {
     "routed": (routed, "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'first' ELSE 'second' END AS goes_to FROM events"),
     "listing": (listing, f"SELECT page_id, {st.HOST_SQL} AS domain, CAST('2024-02-01' AS DATE) + CAST(page_id % 28 AS INT) AS listed_on FROM pages"),
     "streamed_history": (streamed_history, hq.H + "SELECT * FROM history"),
+    "streamed_pieces": (streamed_pieces, hq.H + "SELECT * FROM history"),
     "streamed_gate": (streamed_gate, lq.GATE_SQL),
     "streamed_failures": (streamed_failures, f"""WITH {st.RUNS_SQL}, m AS (SELECT max(fetched_at) - INTERVAL 1 DAY AS mark FROM runs), w AS (SELECT source, {lq.GOOD} AS g, date_trunc('day', fetched_at) - to_days(CAST(k AS INT)) AS start FROM runs, (SELECT unnest(range(0, 7)) AS k))
       SELECT source, CAST(start AS TIMESTAMP) AS start, count(*) FILTER (NOT g) AS failed, count(*) FILTER (g) AS good FROM w, m WHERE start + INTERVAL 7 DAY <= mark GROUP BY ALL"""),

@@ -114,6 +114,22 @@ def as_of_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hist.as_of(history(spark, sf_dir), 2).select("row_hash", *st.VALUES)
 
 
+def as_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every order, the licence rows of its account at a time made of its date (hours around the four snapshots)."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01"))
+    points = st.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("account"), F.expr("timestamp_ntz'2023-12-31'").alias("from_day"), day.alias("day"))
+    points = points.select("account", (F.col("from_day") + F.make_dt_interval(hours=F.col("day") % 130)).alias("asked_at"))
+    return hist.as_of_many(history(spark, sf_dir), points, ["account"], "asked_at").select("account", "asked_at", "row_hash", "licence_number", "activity", "first_seen_snapshot_id")
+
+
+def splice_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history when the second snapshot comes after all others."""
+    h, snaps = hashed(spark, sf_dir), st.snapshots(spark)
+    stored = hist.build_history(h.filter("snapshot_id <> 2"), snaps.filter("snapshot_id <> 2"))
+    time = {r["snapshot_id"]: r["at"] for r in snaps.collect()}  # one row a snapshot
+    return hist.splice_snapshot(stored, h.filter("snapshot_id = 2").select("row_hash", *st.VALUES), (2, time[2]), (1, time[1]), (3, time[3]))
+
+
 def changes_in_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hist.changes_in(history(spark, sf_dir), 3).select("row_hash", *st.VALUES, "kind")
 
@@ -172,6 +188,9 @@ QUERIES = {
     "history_applied": (history_applied, H + "SELECT * FROM history"),
     "current_rows": (current_rows, H + f"SELECT {V}, first_seen_snapshot_id, last_seen_snapshot_id, first_seen_at, last_seen_at FROM history WHERE removed_snapshot_id IS NULL"),
     "as_of_snapshot": (as_of_snapshot, f"WITH {st.HASHED_SQL} SELECT row_hash, {V} FROM hashed WHERE snapshot_id = 2"),
+    "as_of_points": (as_of_points, H + """, p AS (SELECT o_orderkey AS account, TIMESTAMP '2023-12-31' + to_hours(CAST(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) % 130 AS INT)) AS asked_at FROM orders)
+      SELECT account, asked_at, row_hash, licence_number, activity, first_seen_snapshot_id FROM p JOIN history USING (account) WHERE first_seen_at <= asked_at AND (removed_at IS NULL OR removed_at > asked_at)"""),
+    "splice_late": (splice_late, H + "SELECT * FROM history"),
     "changes_in_snapshot": (changes_in_snapshot, H + f"SELECT row_hash, {V}, CASE WHEN first_seen_snapshot_id = 3 THEN 'added' ELSE 'removed' END AS kind FROM history WHERE first_seen_snapshot_id = 3 OR removed_snapshot_id = 3"),
     "changes_since_day": (changes_since_day, H + """, c AS (SELECT 'added' AS kind, row_hash, first_seen_snapshot_id AS changed_in, first_seen_at AS changed_at FROM history WHERE first_seen_at >= '2024-01-02' AND first_seen_snapshot_id <> 1
       UNION ALL SELECT 'removed', row_hash, removed_snapshot_id, removed_at FROM history WHERE removed_at >= '2024-01-02'),
