@@ -15,7 +15,7 @@ from snaptrail.operators import history as hist
 from snaptrail.plans import history_queries as hq
 from snaptrail.plans import log_queries as lq
 from snaptrail.plans import standins as st
-from snaptrail.sources import readers
+from snaptrail.sources import readers, split_csv
 from snaptrail.streaming import streams
 
 
@@ -37,6 +37,15 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def csv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of files whose fields hold quotes and line breaks, each file read in blocks."""
+    path = scratch(spark)
+    o = st.table(spark, sf_dir, "orders")
+    note = F.concat(F.lit("line one,\n"), F.when(F.col("o_orderkey") % 3 == 0, '"quoted",\n\n').otherwise(""), "o_orderpriority", F.when(F.col("o_orderkey") % 7 == 0, "\n\"").otherwise(""))
+    o.select(F.col("o_orderkey").cast("string").alias("Key"), note.alias("Note"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("5\" "), "o_orderstatus")).alias("Status")).write.csv(path, header=True, escape='"')
+    return split_csv.read_csv_blocks(spark, path, ["key", "note", "status"], ["Key", "Note", "Status"])[0]
+
+
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     c = st.table(spark, sf_dir, "customer")
@@ -260,6 +269,8 @@ def streamed_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKS = """l AS (SELECT page_id, url AS page, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS ls FROM pages), k AS (SELECT page_id, unnest(ls) AS link, generate_subscripts(ls, 1) - 1 AS pos, regexp_extract(page, '^([a-zA-Z]+://[^/?#]*)', 1) AS origin FROM l), links AS (SELECT page_id, pos, link, origin || link AS url FROM k)"""
 QUERIES = {
     "csv_rows": (csv_rows, "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment || ', \"x\"' END AS segment FROM customer"),
+    "csv_blocks": (csv_blocks, """SELECT CAST(o_orderkey AS VARCHAR) AS key, 'line one,' || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN '"quoted",' || chr(10) || chr(10) ELSE '' END || o_orderpriority || CASE WHEN o_orderkey % 7 = 0 THEN chr(10) || '"' ELSE '' END AS note,
+      CASE WHEN o_orderkey % 5 <> 0 THEN '5" ' || o_orderstatus END AS status FROM orders"""),
     "json_rows": (json_rows, "SELECT c_custkey, c_name FROM customer"),
     "xml_rows": (xml_rows, "SELECT CAST(s_suppkey AS VARCHAR) AS entry_no, s_name AS name FROM supplier"),
     "text_lines": (text_lines, "SELECT url AS line FROM pages WHERE page_id % 4 > 1"),

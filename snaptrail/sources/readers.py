@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from snaptrail.functions.scalars import nfc, strip
 
+#: files whose headers may be sent to every executor
+HEADS = 100_000
 BLOB = r".*/([^/]+)/([0-9]{4}-[0-9]{2}-[0-9]{2})/([^/]+)/([^/]+)\.([^./]+)$"
 
 
@@ -25,11 +27,18 @@ def read_csv_strict(spark: SparkSession, paths: str | list[str], columns: list[s
     names = [f"_{i}" for i in range(len(columns))]
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("__bad", T.StringType())])
     raw = spark.read.csv(paths, schema=schema, header=False, multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", encoding="UTF-8", escape='"')
-    located = raw.select(*names, "__bad", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    # a file is read by one task, so positions in it are in order
+    located = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), *names, "__bad")
+    return checked_rows(located, columns, expected, skip_lines)
+
+
+def checked_rows(located: DataFrame, columns: list[str], expected: list[str], skip_lines: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, problems) of parsed records: file, pos (orders the records of a file), ``_0``, ``_1``, ... and ``__bad``."""
+    names = [f"_{i}" for i in range(len(columns))]
     cells = [strip(F.regexp_replace(F.col(n), "^\\x{FEFF}", "") if i == 0 else F.col(n)) for i, n in enumerate(names)]
     cleaned = located.select("file", "pos", F.col("__bad").isNotNull().alias("ragged"), *[c.alias(n) for c, n in zip(cells, names, strict=True)])
     filled = cleaned.filter(F.col("ragged") | F.coalesce(*names).isNotNull())
-    # a file is read by one task, so positions in it are in order; the header is the first row behind those skipped
+    # the header is the first row behind those skipped; each task keeps its own first rows of a file before they meet
     firsts = F.slice(F.array_sort(F.collect_list(F.struct("pos", "ragged", *names))), skip_lines + 1, 1)[0] if skip_lines else F.min(F.struct("pos", "ragged", *names))
     lead = filled
     if skip_lines:
@@ -37,7 +46,7 @@ def read_csv_strict(spark: SparkSession, paths: str | list[str], columns: list[s
     heads = lead.groupBy("file").agg(firsts.alias("head"))
     is_expected = F.array(*[F.col(f"head.{n}") for n in names]) == F.array(*[F.lit(e) for e in expected])
     heads = heads.select("file", F.col("head.pos").alias("head_pos"), (F.coalesce(is_expected, F.lit(False)) & ~F.coalesce("head.ragged", F.lit(True))).alias("ok"))
-    body = filled.join(F.broadcast(heads), "file").filter("ok AND pos > head_pos")
+    body = filled.join(F.broadcast(heads) if heads.limit(HEADS + 1).count() <= HEADS else heads, "file").filter("ok AND pos > head_pos")
     # Spark reads the broken-row column only together with another one
     ragged = body.filter(F.col("ragged") & (F.length(F.concat_ws("", *names)) >= 0)).groupBy("file").agg(F.concat(F.lit("RAGGED_ROWS:"), F.count("*")).alias("problem"))
     problems = heads.filter("NOT ok").select("file", F.lit("HEADER_MISMATCH").alias("problem")).unionByName(ragged)
