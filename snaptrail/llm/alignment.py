@@ -5,10 +5,11 @@ farthest to the right among those it overlaps; the successors are doubled until
 one, which labels the group. Links are the pairs of tokens that overlap; how often two ids are linked is counted over the
 whole corpus.
 
-How it runs: texts are read where they lie, words and runs of pieces from tables of known ones, bounded in rows. The first
-pass counts pairs of ids within a task before they are shuffled. At most ``frequent`` pairs can hold a ``frequent``-th of
-all links each; only those are sent to the executors (a proven bound), and the second pass settles their links where the
-texts lie. The links of all other pairs meet their counts in a join, in which no pair holds more than that share of rows.
+How it runs: texts are read once, where they lie, words and runs of pieces from tables of known ones, bounded in rows; each
+text's pairs of ids are kept in a checkpoint (some 0.8 of the text's size). Pairs are counted within a task before they are
+shuffled. At most ``frequent`` pairs can hold a ``frequent``-th of all links each; only those are sent to the executors (a
+proven bound) and settled where the texts' pairs lie. All other pairs meet their counts in a join, in which no pair holds
+more than that share of rows.
 
 Defined results: null and empty texts, and texts that a reading doesn't give back byte for byte, have no tokens (zeros and an
 empty digest); special strings in texts are plain text; repeated rows count as often as they occur and stay repeated; other
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from collections.abc import Callable, Iterator, Sequence
 
@@ -35,7 +37,7 @@ from snaptrail.llm.transducers import Splitter, byte_alphabet, character_classes
 
 FREQUENT = 500_000
 TEXT_BYTES = 2 << 20
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 PAIRS = 1 << 21
 NEW = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -54,11 +56,17 @@ class Readings:
 
     def learn(self, words: list[bytes]) -> None:
         ids = self.read(words)
-        known = self.token_bytes
         n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n.sum()))
         self.begin = np.append(self.begin, len(self.flat) + np.cumsum(n) - n)
-        self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(n.sum())))
-        self.n, self.same = np.append(self.n, n), np.append(self.same, [b"".join([known[i] for i in x]) == w for x, w in zip(ids, words, strict=True)])
+        self.flat, self.n = np.append(self.flat, flat), np.append(self.n, n)
+        # the bytes of all tokens against those of all words, and one by one only where they differ
+        known, same = self.token_bytes, np.ones(len(words), bool)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.concatenate([[0], np.cumsum(self.lengths[flat])])[np.cumsum(n)]
+        if not np.array_equal(ends, np.cumsum(sizes)) or b"".join([known[i] for i in flat.tolist()]) != b"".join(words):
+            same = np.array([b"".join([known[i] for i in x]) == w for x, w in zip(ids, words, strict=True)])
+        self.same = np.append(self.same, same)
         self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
 
     def tokens(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,46 +213,66 @@ def aligner(byte_path: str, piece_path: str, first: bytes, kind: bytes) -> Align
     return Aligner(byte_path, piece_path, (np.frombuffer(first, np.int32), np.frombuffer(kind, np.uint8)))
 
 
-def count_pairs(docs: DataFrame, made: tuple, text: str = "text") -> DataFrame:
-    """(pair, n): how many links of the corpus hold a pair of ids."""
+def read_links(docs: DataFrame, made: tuple, text: str, kept: list[str]) -> DataFrame:
+    """Every text read both ways: what is told of it, and ``__links``, each pair of ids with how often it is linked (pair << 32 | times)."""
+    names = [c.split()[0] for c in NEW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, pairs, counts = aligner(*made), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
+        by = aligner(*made)
+        for batch in batches:
+            for part in parts_of(batch, len(kept), TEXT_BYTES):
+                read = by.read(part.column(len(kept)))
+                n_a, n_b, groups, digests = read.described()
+                owner, pair = read.links()
+                n_links, nothing = np.bincount(owner, minlength=read.n), np.zeros(read.n, np.int64)
+                key, n = counted(owner << 32 | pair)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(key >> 32, minlength=read.n))]).astype(np.int32)
+                links = pa.ListArray.from_arrays(pa.array(ends), pa.array((key & 0xFFFFFFFF) << 32 | n))
+                counts = [pa.array(x.astype(np.int64)) for x in (n_a, n_b, groups, n_links, nothing, nothing)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *counts, pa.array(digests, pa.string()), links], [*kept, *names, "__links"])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    return rows.mapInArrow(freed(run), StructType([*rows.schema.fields[:-1], *StructType.fromDDL(f"{NEW}, __links array<long>").fields]))
+
+
+def count_pairs(read: DataFrame) -> DataFrame:
+    """(pair, n): how many links of the corpus hold a pair of ids; a task's pairs meet before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [np.zeros(0, np.int64)], 0  # pair << 32 | times
 
-        def merge() -> None:
-            nonlocal pairs, counts
-            new, n = counted(np.concatenate([pairs[:0], *waiting]))
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            both = np.sort(np.concatenate(waiting))
             waiting.clear()
-            both, times = np.concatenate([pairs, new]), np.concatenate([counts, n])
-            order = np.argsort(both, kind="stable")
-            pairs, n = counted(both, kind="stable")
-            counts = np.add.reduceat(times[order], np.cumsum(n) - n) if len(n) else times
+            pairs, n = counted(both >> 32, kind="stable")
+            return pairs, np.add.reduceat(both & 0xFFFFFFFF, np.cumsum(n) - n) if len(n) else n
+
+        def record(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
         for batch in batches:
-            for part in parts_of(batch, 0, TEXT_BYTES):
-                waiting.append(by.read(part.column(0)).links()[1])
-                if sum(map(len, waiting)) > PAIRS:
-                    merge()
-                if len(pairs) > PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
-                    pairs, counts = pairs[:0], counts[:0]
-        merge()
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+            waiting.append(batch.column(0).flatten().to_numpy())
+            size += len(waiting[-1])
+            if size > PAIRS:
+                yield record(*merged())
+                size = 0
+        if waiting:
+            yield record(*merged())
 
-    found = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(freed(run), "pair long, n long")
-    return found.groupBy("pair").agg(F.sum("n").alias("n"))
+    return read.select("__links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", keep: Sequence[str] | None = None, frequent: int = FREQUENT) -> DataFrame:
     """The kept columns (all but the text, if none are named) with counts of tokens, groups and links, and the groups' digest."""
-    new = StructType.fromDDL(NEW)
-    kept = [c for c in (docs.columns if keep is None else keep) if c != text and c not in new.names]
-    made = (byte_path, piece_path, *(a.tobytes() for a in character_classes(byte_path)))
     import sentencepiece
 
+    names = [c.split()[0] for c in NEW.split(", ")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != text and c not in names]
+    made = (byte_path, piece_path, *(a.tobytes() for a in character_classes(byte_path)))
     n_b = sentencepiece.SentencePieceProcessor(model_file=piece_path).get_piece_size()
-    counts = cut(count_pairs(docs, made, text)).withColumn("b", F.col("pair") % n_b)
+    # rows of a checkpoint stay where they are, so their places number them
+    read = cut(read_links(docs, made, text, kept)).withColumn("__row", F.monotonically_increasing_id())
+    counts = cut(count_pairs(read)).withColumn("b", F.col("pair") % n_b)
     # one row an id of the second vocabulary
     highest = counts.groupBy("b").agg(F.max("n").alias("highest"))
     counts = counts.join(F.broadcast(highest), "b").select("pair", "n", (F.col("n") == F.col("highest")).alias("best"))
@@ -254,34 +282,22 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(tuple(often.column(c).to_numpy() for c in ("pair", "n", "best")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, (known, times, best) = aligner(*made), sent.value
+        known, times, best = sent.value
         for batch in batches:
-            for part in parts_of(batch, len(kept), TEXT_BYTES):
-                read = by.read(part.column(len(kept)))
-                n_a, n_b, groups, digests = read.described()
-                owner, pair = read.links()
-                n_links = np.bincount(owner, minlength=read.n)
-                # equal links of a text together
-                key, n = counted(owner << 32 | pair)
-                owner, pair = key >> 32, key & 0xFFFFFFFF
-                at = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
-                own = known[at] == pair if len(known) else np.zeros(len(pair), bool)
-                sums = [np.zeros(read.n, np.int64) for _ in range(2)]
-                np.add.at(sums[0], owner[own], n[own] * best[at[own]])
-                np.add.at(sums[1], owner[own], n[own] * times[at[own]])
-                rare = ~own
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=read.n))]).astype(np.int32)
-                others = pa.ListArray.from_arrays(pa.array(ends), pa.array(pair[rare] << 32 | n[rare]))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], *(pa.array(x.astype(np.int64)) for x in (n_a, n_b, groups, n_links, *sums)), pa.array(digests, pa.string()), others], [*kept, *new.names, "__rare"]
-                )
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = StructType([*rows.schema.fields[:-1], *new.fields, *StructType.fromDDL("__rare array<long>").fields])
-    # rows of a checkpoint stay where they are, so their places number them
-    read = cut(rows.mapInArrow(freed(run), schema)).withColumn("__row", F.monotonically_increasing_id())
-    rare = read.select("__row", F.explode("__rare").alias("x")).select("__row", F.shiftright("x", 32).alias("pair"), F.col("x").bitwiseAND(0xFFFFFFFF).alias("times"))
-    found = rare.join(counts, "pair").groupBy("__row").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("__best"), F.sum(F.col("times") * F.col("n")).alias("__sum"))
-    both = read.drop("__rare").join(found, "__row", "left")
-    added = {"n_best": F.col("n_best") + F.coalesce("__best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("__sum", F.lit(0))}
-    return both.withColumns(added).select(*kept, *new.names)
+            links = batch.column(1)
+            sizes, packed = links.value_lengths().to_numpy(), links.flatten().to_numpy()
+            pair, n, owner = packed >> 32, packed & 0xFFFFFFFF, np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
+            own = known[at] == pair if len(known) else np.zeros(len(pair), bool)
+            sums = [np.zeros(len(sizes), np.int64) for _ in range(2)]
+            np.add.at(sums[0], owner[own], n[own] * best[at[own]])
+            np.add.at(sums[1], owner[own], n[own] * times[at[own]])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~own], minlength=len(sizes)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends), pa.array(packed[~own]))], ["__row", "__best", "__sum", "__rare"])
+
+    settled = cut(read.select("__row", "__links").mapInArrow(run, "__row long, __best long, __sum long, __rare array<long>"))
+    rare = settled.select("__row", F.explode("__rare").alias("x")).select("__row", F.shiftright("x", 32).alias("pair"), F.col("x").bitwiseAND(0xFFFFFFFF).alias("times"))
+    others = rare.join(counts, "pair").select("__row", (F.col("times") * F.col("best").cast("long")).alias("__best"), (F.col("times") * F.col("n")).alias("__sum"))
+    sums = settled.select("__row", "__best", "__sum").unionByName(others).groupBy("__row").agg(F.sum("__best").alias("__best"), F.sum("__sum").alias("__sum"))
+    both = read.drop("__links").join(sums, "__row")
+    return both.withColumns({"n_best": F.col("__best"), "count_sum": F.col("__sum")}).select(*kept, *names)
