@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from snaptrail.operators import scans
 from snaptrail.functions.scalars import split_list, strip, to_date
 
 MOST_PAGES = 100
@@ -163,14 +164,19 @@ def carry_heading(rows: DataFrame, doc: str, pos: str, is_heading: Column, value
 
     once: a heading serves the first row below it only, and an empty heading clears the one before.
     """
-    w = Window.partitionBy(doc).orderBy(pos)
-    marked = rows.withColumns({"__is": is_heading, "__value": value})
+    marked = scans.dealt(rows.withColumns({"__is": is_heading, "__value": value}), [doc], [pos])
+    w = scans.inside([doc], [pos])
     if not once:
-        return marked.withColumn("heading", F.last(F.when(F.col("__is"), F.col("__value")), ignorenulls=True).over(w)).filter("NOT __is").drop("__is", "__value")
-    numbered = marked.withColumn("__no", F.sum(F.col("__is").cast("int")).over(w))
-    group = Window.partitionBy(doc, "__no")
-    valued = numbered.withColumn("heading", F.max(F.when(F.col("__is"), F.nullif(F.col("__value"), F.lit("")))).over(group)).filter("NOT __is")
-    return valued.withColumn("__r", F.row_number().over(group.orderBy(pos))).filter("__r = 1").drop("__is", "__value", "__no", "__r")
+        shown = F.when(F.col("__is"), F.col("__value"))
+        told = scans.carried(marked, [doc], {"__last": scans.last_of([pos], shown)}, [{"__before": lambda earlier: F.last("__last", ignorenulls=True).over(earlier)}])
+        return told.withColumn("heading", F.coalesce(F.last(shown, ignorenulls=True).over(w), "__before.value")).filter("NOT __is").select(*rows.columns, "heading")
+    # the last row before: a heading serves a row only if it stands right above
+    kind = F.struct(F.col("__is").alias("is"), F.when(F.col("__is"), F.nullif(F.col("__value"), F.lit(""))).alias("value"))
+    above = Window.partitionBy(doc, scans.PART).orderBy(F.col(pos).asc_nulls_first())
+    told = scans.carried(marked, [doc], {"__last": scans.last_of([pos], kind)}, [{"__before": lambda earlier: F.last("__last").over(earlier)}])
+    # of the rows before a document's first heading, the first one is told
+    valued = told.withColumn("__above", F.coalesce(F.lag(kind).over(above), "__before.value"))
+    return valued.filter(~F.col("__is") & (F.col("__above").isNull() | F.col("__above.is"))).withColumn("heading", F.col("__above.value")).select(*rows.columns, "heading")
 
 
 def fill_left(cells: Column) -> Column:

@@ -7,8 +7,16 @@ on the multiset only.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from snaptrail.operators import scans
+from snaptrail.operators.cuts import cut
 
 
 def encoded(df: DataFrame, name: str) -> Column:
@@ -46,35 +54,133 @@ def row_identity(df: DataFrame, by: list[str] = ()) -> DataFrame:
     return numbered.withColumn("row_hash", _identity(row_digest(df, values), F.col("__n"))).drop("__n")
 
 
-def canonical_hash(rows: DataFrame, by: list[str], table: str = "table", digits: int = 2) -> DataFrame:
-    """(by..., table, row_hash) -> by..., canonical_hash; equal iff the multisets of row hashes are equal.
+#: rows that a leaf of a hash tree holds on average, at most
+LEAF_ROWS = 4096
+LEVEL = 2  # hexadecimal digits a level
+
+
+def tree_depths(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., depth): digits of the leaves of each tree, two at least and as many as its number of rows needs."""
+    digits = F.ceil((F.log2(F.count("*") / LEAF_ROWS)) / (4 * LEVEL)) * LEVEL
+    return rows.groupBy(*by).agg(F.greatest(F.lit(LEVEL), digits).cast("int").alias("depth"))
+
 
-    Row hashes are sorted and hashed per bucket of their first ``digits`` digits, buckets per table, tables per group: no
-    task holds more than a bucket.
+def hash_tree(rows: DataFrame, by: list[str], depths: DataFrame | None = None) -> DataFrame:
+    """(by..., depth, prefix, n, h, leaf): a tree of hashes over the multiset of row hashes of each ``by`` group.
+
+    A leaf hashes its sorted row hashes with their numbers, an inner node its children's prefixes and hashes, the root
+    (depth 0) stands for all. Leaves are as deep as the count demands, so none holds more than a bounded share of rows.
+    ``depths`` gives the leaves' depths of other trees, to be compared with them.
     """
+    # equal row hashes (when identities were not numbered) are counted, not repeated
+    counted = rows.groupBy(*by, "row_hash").agg(F.count("*").alias("n"))
+    deep = cut(tree_depths(counted, by) if depths is None else depths.select(*by, "depth"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in by]
+    placed = counted.alias("r").join(deep.alias("d"), same, "left").select("r.*", F.coalesce("depth", F.lit(LEVEL)).alias("depth"))
 
-    def fold(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    def fold(df: DataFrame, order: str, value: str) -> DataFrame:
         pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-        return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat(p["o"], F.lit(":"), p["v"])), ","), 256).alias("h"))
+        return df.groupBy(*by, "depth", "prefix").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat(p["o"], F.lit(":"), p["v"])), ","), 256).alias("h"))
 
-    # equal row hashes (when identities were not numbered) are counted, not repeated
-    counted = rows.groupBy(*by, table, "row_hash").agg(F.count("*").cast("string").alias("n")).withColumn("bucket", F.substring("row_hash", 1, digits))
-    buckets = fold(counted, [*by, table, "bucket"], "row_hash", "n")
-    tables = fold(buckets, [*by, table], "bucket", "h")
-    return fold(tables, by, table, "h").withColumnRenamed("h", "canonical_hash")
+    level = fold(placed.withColumns({"prefix": F.expr("substring(row_hash, 1, depth)"), "times": F.col("n").cast("string")}), "row_hash", "times")
+    tree = cut(level).withColumn("leaf", F.lit(True))
+    deepest = tree.agg(F.max("depth")).head()[0] or 0
+    for depth in range(deepest - LEVEL, -1, -LEVEL):
+        children = tree.filter(F.col("depth") == depth + LEVEL).withColumn("child", F.substring("prefix", depth + 1, LEVEL))
+        parents = fold(children.withColumns({"depth": F.lit(depth), "prefix": F.substring("prefix", 1, depth) if depth else F.lit("")}), "child", "h")
+        tree = tree.unionByName(cut(parents).withColumn("leaf", F.lit(False)))
+    return tree
+
+
+def canonical_hash(rows: DataFrame, by: list[str], table: str = "table") -> DataFrame:
+    """(by..., table, row_hash) -> by..., canonical_hash; equal iff the multisets of row hashes are equal.
+
+    The roots of a hash tree a table, hashed per group: no task holds more than a leaf, however large a table is.
+    """
+    roots = hash_tree(rows, [*by, table]).filter("depth = 0")
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(table).alias("o"), F.col("h").alias("v"))))
+    return roots.groupBy(*by).agg(F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat(p["o"], F.lit(":"), p["v"])), ","), 256).alias("canonical_hash"))
+
+
+def differing_leaves(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., prefix, depth) of the deepest nodes in which two trees differ, found from the roots down.
+
+    A level is compared only below nodes that differ, so equal parts of the tables are never looked at.
+    """
+    deepest = a.unionByName(b).agg(F.max("depth")).head()[0] or 0
+    found = inner = None
+    for depth in range(0, deepest + 1, LEVEL):
+        sides = [t.filter(F.col("depth") == depth).select(*by, "prefix", F.col("h").alias(f"{x}_h"), F.col("leaf").alias(f"{x}_leaf")) for t, x in ((a, "a"), (b, "b"))]
+        if inner is not None:
+            parent = F.substring("prefix", 1, depth - LEVEL) if depth > LEVEL else F.lit("")
+            above = inner.select(*by, F.col("prefix").alias("parent"))
+            sides = [s.withColumn("parent", parent).join(above, [*by, "parent"], "left_semi").drop("parent") for s in sides]
+        differ = sides[0].join(sides[1], [*by, "prefix"], "full_outer").filter(~F.col("a_h").eqNullSafe(F.col("b_h")))
+        # where one side ends here, what lies deeper on the other one is part of the difference
+        differ = cut(differ.select(*by, "prefix", F.lit(depth).alias("depth"), F.coalesce(F.greatest("a_leaf", "b_leaf"), F.lit(False)).alias("leaf")))
+        inner, leaves = differ.filter("NOT leaf"), differ.filter("leaf").drop("leaf")
+        found = leaves if found is None else found.unionByName(leaves)
+    return found
+
+
+def write_rows_by_hash(rows: DataFrame, path: str) -> None:
+    """Rows in folders by the first digits of their hash, in order inside: a leaf is a folder and a range."""
+    first = F.substring("row_hash", 1, LEVEL)
+    rows.withColumn("bucket", first).repartitionByRange("bucket", "row_hash").sortWithinPartitions("bucket", "row_hash").write.partitionBy("bucket").parquet(path)
+
+
+def rows_of_leaves(stored: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The stored rows (see ``write_rows_by_hash``) of some leaves of one tree; other folders aren't read."""
+    prefixes = cut(leaves.select("prefix", F.length("prefix").alias("digits")).distinct())
+    # at most 256 folders, and one length a level
+    folders = sorted({r[0] for r in prefixes.select(F.substring("prefix", 1, LEVEL)).distinct().collect()})
+    lengths = sorted(r[0] for r in prefixes.select("digits").distinct().collect())
+    rows = stored if "" in folders else stored.filter(F.col("bucket").isin(folders))
+    keys = F.array(*[F.substring("row_hash", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>")
+    keyed = rows.withColumn("__leaf", F.explode(keys))
+    return keyed.join(prefixes.select(F.col("prefix").alias("__leaf")), "__leaf", "left_semi").drop("__leaf")
 
 
 def combine_hashes(parts: DataFrame, by: list[str], order: str, digest: str) -> DataFrame:
-    """One SHA-256 over part digests (hex) joined by ``|`` in part order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(digest).alias("d"))))
-    hexed = F.array_join(F.transform(ordered, lambda p: F.upper(p["d"])), "7C")
-    return parts.groupBy(*by).agg(F.sha2(F.unhex(hexed), 256).alias("combined_hash"))
+    """One SHA-256 over part digests (hex) joined by ``|`` in part order; parts without a digest are left out.
+
+    The digest is a chain, so a group's parts are streamed through it in order; none is held in memory.
+    """
+    schema = T.StructType([*[parts.schema[c] for c in by], T.StructField("combined_hash", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun, width = None, None, False, len(by)
+
+        def record(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], schema.names)
+
+        for batch in batches:
+            kinds, done = [*batch.schema.types[:width], pa.string()], []
+            for *now, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if state is None or now != key:
+                    if state is not None:
+                        done.append((*key, state.hexdigest()))
+                    key, state, begun = now, hashlib.sha256(), False
+                if value is not None:
+                    state.update((b"|" if begun else b"") + bytes.fromhex(value))
+                    begun = True
+            if done:
+                yield record(done)
+        if state is not None:
+            yield record([(*key, state.hexdigest())])
+
+    places = [F.col(c).asc_nulls_first() for c in [*by, order, digest]]
+    return parts.select(*by, order, digest).repartition(*by).sortWithinPartitions(*places).select(*by, digest).mapInArrow(run, schema)
 
 
 def unchanged(runs: DataFrame, source: str = "source", order: tuple[str, ...] = ("fetched_at", "id")) -> DataFrame:
     """runs with ``unchanged``: complete, and of the same hash as the run just before."""
-    before = F.lag(F.when(F.col("complete"), F.col("canonical_hash"))).over(Window.partitionBy(source).orderBy(*order))
-    return runs.withColumn("unchanged", F.coalesce(F.col("complete") & (F.col("canonical_hash") == before), F.lit(False)))
+    rows, keys, places = scans.dealt(runs, [source], list(order)), [source], list(order)
+    shown = F.struct(F.when(F.col("complete"), F.col("canonical_hash")).alias("hash"))
+    told = scans.carried(rows, keys, {"__last": scans.last_of(places, shown)}, [{"__before": lambda earlier: F.last("__last").over(earlier)}])
+    inside = Window.partitionBy(source, scans.PART).orderBy(*[F.col(c).asc_nulls_first() for c in places])
+    before = F.coalesce(F.lag(shown).over(inside), "__before.value")["hash"]
+    return told.withColumn("unchanged", F.coalesce(F.col("complete") & (F.col("canonical_hash") == before), F.lit(False))).select(*runs.columns, "unchanged")
 
 
 def dedupe(df: DataFrame, key: list[str], order: str) -> DataFrame:

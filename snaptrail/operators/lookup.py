@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snaptrail.functions.scalars import contains_ci, host, strip_www
@@ -72,6 +72,81 @@ def search(tables: dict[str, DataFrame], q: str, limit: int | None = 5) -> DataF
     return top.join(F.broadcast(totals), "table").select("table", "total", "rank", "row")
 
 
+GRAM = 3
+#: rows that a block of a search index holds on average; lists of an index hold at most a block's rows
+BLOCK_ROWS = 1000
+RAREST = 4
+#: blocks that are named to the reader, so that it skips the others
+NAMED_BLOCKS = 5000
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of three characters of a text."""
+    chars = F.split(text, "")
+    n = F.length(text)
+    runs = F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.concat(chars[i], chars[i + 1], chars[i + 2]))
+    return F.when(n >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def write_search_index(tables: dict[str, DataFrame], root: str) -> None:
+    """Rows in blocks, and for every three characters the places of rows that hold them, below ``root``; one index a history version.
+
+    Rows: table, block, place, row (JSON), texts (lower case). Lists: gram, table, block, places. A block is a share of
+    the rows' hashes, so a list never holds more than a block's rows, however common its characters are.
+    """
+    parts = []
+    for name, df in tables.items():
+        blocks = max(1, -(-df.count() // BLOCK_ROWS))
+        rows = df.select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns)).alias("row"), F.array(*[F.lower(F.concat_ws(" ", c)) for c in text_columns(df)]).cast("array<string>").alias("texts"))
+        parts.append(rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")))
+    rows = reduce(DataFrame.unionByName, parts)
+    counted = rows.groupBy("table", "block", "row", "texts").agg(F.count("*").alias("copies"))
+    place = F.row_number().over(Window.partitionBy("table", "block").orderBy("row"))
+    counted.withColumn("place", place).repartitionByRange("table", "block").sortWithinPartitions("table", "block", "place").write.parquet(f"{root}/rows")
+    stored = tables[next(iter(tables))].sparkSession.read.parquet(f"{root}/rows")
+    each = stored.select("table", "block", "place", F.explode(F.array_distinct(F.flatten(F.transform("texts", grams)))).alias("gram"))
+    lists = each.groupBy("gram", "table", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    lists.repartitionByRange("gram", "table", "block").sortWithinPartitions("gram", "table", "block").write.parquet(f"{root}/lists")
+
+
+def found_rows(spark: SparkSession, root: str, q: str) -> DataFrame:
+    """(table, row, copies) of the rows that hold q, literally and caseless, by an index; terms under three characters are looked for in all rows."""
+    rows, wanted = spark.read.parquet(f"{root}/rows"), q.lower()
+    holds = F.exists("texts", lambda t: F.contains(t, F.lit(wanted)))
+    if len(wanted) >= GRAM:
+        terms = sorted({wanted[i : i + GRAM] for i in range(len(wanted) - GRAM + 1)})
+        lists = spark.read.parquet(f"{root}/lists").filter(F.col("gram").isin(terms))
+        sizes = {r["gram"]: r["n"] for r in lists.groupBy("gram").agg(F.sum(F.size("places")).alias("n")).collect()}  # one row a run of the term
+        rarest = sorted(terms, key=lambda g: sizes.get(g, 0))[:RAREST]
+        met = lists.filter(F.col("gram").isin(rarest)).groupBy("table", "block").agg(F.collect_list("places").alias("lists")).filter(F.size("lists") == len(rarest))
+        both = F.aggregate("lists", F.element_at("lists", 1), lambda acc, x: F.array_intersect(acc, x))
+        places = cut(met.select("table", "block", both.alias("places")).filter(F.size("places") > 0))
+        blocks = [r[0] for r in places.select("block").distinct().limit(NAMED_BLOCKS + 1).collect()]
+        if len(blocks) <= NAMED_BLOCKS:
+            rows = rows.filter(F.col("block").isin(blocks))
+        rows = rows.join(places.select("table", "block", F.explode("places").alias("place")), ["table", "block", "place"], "left_semi")
+    return rows.filter(holds).select("table", "row", "copies")
+
+
+def search_index(spark: SparkSession, root: str, q: str, limit: int = 5) -> DataFrame:
+    """As ``search``, by an index: table, total, rank, row of every table with a match."""
+    found = found_rows(spark, root, q)
+    totals = found.groupBy("table").agg(F.sum("copies").alias("total"))
+    up_to = F.sum("copies").over(Window.partitionBy("table").orderBy("row"))
+    # equal rows are one here; no table needs more of them than rows are asked for
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy("table").orderBy("row"))).filter(F.col("n") <= limit).withColumn("last", up_to)
+    ranks = first.select("table", "row", F.explode(F.sequence(F.col("last") - F.col("copies") + 1, F.least("last", F.greatest(F.col("last") - F.col("copies") + 1, F.lit(limit))))).alias("rank"))
+    return ranks.filter(F.col("rank") <= limit).join(F.broadcast(totals), "table").select("table", "total", "rank", "row")
+
+
+def domain_rows(index: DataFrame, watch: DataFrame) -> DataFrame:
+    """domain, match (exact or subdomain) and all columns of every row whose host is a domain of the list or below one."""
+    exploded = index.withColumn("__bare", strip_www(F.col("host"))).withColumn("domain", F.explode(suffixes(F.col("__bare"))))
+    asked = watch.select(strip_www(host(F.col("domain"))).alias("domain")).filter("domain IS NOT NULL").distinct()
+    match = F.when(F.col("__bare") == F.col("domain"), "exact").otherwise("subdomain")
+    return exploded.join(asked, "domain").select("domain", match.alias("match"), *index.columns)
+
+
 def check_domain(index: DataFrame, domain: str) -> DataFrame:
     """domain, licensed_in, blocked_in, n_exact, n_subdomain for one domain; index: host, kind, jurisdiction."""
     target = index.sparkSession.range(1).select(strip_www(host(F.lit(domain))).alias("t")).head()[0]

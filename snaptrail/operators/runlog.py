@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaptrail.functions.scalars import host
+from snaptrail.operators import scans
 
 WAITING = "AWAITING_PARSE"
 
@@ -78,13 +79,24 @@ def fetch_stats(fetches: DataFrame) -> DataFrame:
 def request_slots(requests: DataFrame, interval_ms: int, by: str = "host", arrival: str = "arrival_ms", order: str = "id") -> DataFrame:
     """requests with ``slot_ms``: each at least an interval after the one before, none before its arrival.
 
-    Closed form of slot = max(arrival, slot before + interval): a running maximum of arrival - n * interval.
+    Closed form of slot = max(arrival, slot before + interval): a running maximum of arrival - n * interval, n the number of
+    requests before. Both are scanned over ranges of a host's requests, so a host with most of them is many tasks.
     """
-    w = Window.partitionBy(by).orderBy(arrival, order)
-    n = F.row_number().over(w) - 1
-    numbered = requests.withColumn("__n", n.cast("long"))
-    lead = F.max(F.col(arrival) - F.col("__n") * interval_ms).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return numbered.withColumn("slot_ms", lead + F.col("__n") * interval_ms).drop("__n")
+    keys, places = [by], [arrival, order]
+    rows = scans.dealt(requests, keys, places)
+    w = scans.inside(keys, places)
+    numbered = rows.withColumn("__n", (F.row_number().over(w) - 1).cast("long"))
+    lead = F.col(arrival) - F.col("__n") * interval_ms
+    count, most = F.count("*"), F.max(lead)
+    told = scans.carried(
+        numbered, keys, {"__count": count, "__most": most},
+        [{"__before": lambda earlier: F.coalesce(F.sum("__count").over(earlier), F.lit(0))}, {"__led": lambda earlier: F.max(F.col("__most") - F.col("__shift")).over(earlier)}],
+        {"__shift": F.col("__before") * interval_ms},
+    )
+    n = F.col("__n") + F.coalesce("__before", F.lit(0))
+    # the partition's own maximum counts from its first request, so it moves back by those before
+    own = F.max(lead).over(w) - F.coalesce("__before", F.lit(0)) * interval_ms
+    return told.withColumn("slot_ms", F.greatest(own, F.coalesce("__led", own)) + n * interval_ms).select(*requests.columns, "slot_ms")
 
 
 def orphan_sources(sources: DataFrame, log: DataFrame, retired: Column) -> DataFrame:
@@ -93,7 +105,15 @@ def orphan_sources(sources: DataFrame, log: DataFrame, retired: Column) -> DataF
     return sources.filter(retired).join(ran, "source", "left").withColumn("action", F.when(F.col("__ran"), "disable").otherwise("delete")).drop("__ran")
 
 
+def batch_slugs(results: DataFrame) -> DataFrame:
+    """One row a batch and slug: batch, slug, outcome (the worst of its runs), runs, and the batch's number of complete runs."""
+    order = F.when(F.col("outcome") == "complete", 0).when(F.col("outcome") == "skipped", 1).otherwise(2)
+    each = results.groupBy("batch", "slug").agg(F.max(F.struct(order.alias("order"), "outcome"))["outcome"].alias("outcome"), F.count("*").alias("runs"), F.count_if(F.col("outcome") == "complete").alias("__good"))
+    sums = each.groupBy("batch").agg(F.sum("__good").alias("complete"))  # one row a batch
+    return each.drop("__good").join(sums, "batch")
+
+
 def batch_outcome(results: DataFrame) -> DataFrame:
-    """batch, complete, incomplete (slugs), skipped (slugs). results: batch, slug, outcome."""
+    """batch, complete, incomplete (slugs), skipped (slugs): a report of one row a batch; ``batch_slugs`` for batches of any size."""
     slugs = lambda o: F.array_sort(F.collect_list(F.when(F.col("outcome") == o, F.col("slug"))))
     return results.groupBy("batch").agg(F.count_if(F.col("outcome") == "complete").alias("complete"), slugs("incomplete").alias("incomplete"), slugs("skipped").alias("skipped"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,20 +12,11 @@ from snaptrail.operators import history as hist
 from snaptrail.plans import history_queries as hq
 from snaptrail.plans import log_queries as lq
 from snaptrail.plans import standins as st
+from snaptrail.plans.scratch import scratch
 from snaptrail.sources import readers, split_csv
 from snaptrail.streaming import streams
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share; a temporary one only in a single process."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/{uuid.uuid4().hex}"
-
-
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     c = st.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("Key"), F.concat(F.lit("  "), "c_name").alias("Name"), F.when(F.col("c_custkey") % 5 != 0, F.concat(F.col("c_mktsegment"), F.lit(', "x"'))).alias("Segment"))

@@ -9,6 +9,7 @@ from snaptrail.functions import scalars
 from snaptrail.operators import history as hist
 from snaptrail.operators import identity
 from snaptrail.plans import standins as st
+from snaptrail.plans.scratch import scratch
 from snaptrail.spec import Column, TableSpec
 
 SPEC = TableSpec("licences", (Column("account", "bigint", True), Column("licence_number", "text", True), Column("activity", "int"), Column("status", "text", True), Column("quantity", "int"), Column("note", "text"), Column("ends_on", "date")))
@@ -96,6 +97,19 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hist.diff_snapshots(h.filter("snapshot_id = 1"), h.filter("snapshot_id = 2"))
 
 
+def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows added and removed between two snapshots, read from the folders below which their hash trees differ."""
+    h, root = hashed(spark, sf_dir), scratch(spark)
+    sides, trees = [], []
+    for i in (1, 2):
+        rows = h.filter(F.col("snapshot_id") == i).select("row_hash")
+        identity.write_rows_by_hash(rows, f"{root}/{i}")
+        sides.append(spark.read.option("basePath", f"{root}/{i}").schema("row_hash string, bucket string").parquet(f"{root}/{i}"))
+        trees.append(identity.hash_tree(rows.withColumn("table", F.lit("licences")), ["table"]))
+    leaves = identity.differing_leaves(*trees, ["table"])
+    return hist.diff_snapshots(*[identity.rows_of_leaves(s, leaves) for s in sides]).filter("side <> 'unchanged'")
+
+
 def history_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history by applying one snapshot after another; the second one comes late once more, with rows of the first, and changes nothing."""
     h, snaps = hashed(spark, sf_dir), [(i, f"2024-01-0{i}") for i in range(1, 5)]
@@ -184,6 +198,7 @@ QUERIES = {
     "unchanged_runs": (unchanged_runs, f"WITH {st.RUNS_SQL} SELECT source, id, coalesce(complete AND canonical_hash = lag(CASE WHEN complete THEN canonical_hash END) OVER (PARTITION BY source ORDER BY fetched_at, id), false) AS unchanged FROM runs"),
     "first_of_each": (first_of_each, "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL"),
     "snapshot_diff": (snapshot_diff, f"WITH {st.HASHED_SQL} SELECT row_hash, CASE WHEN max(snapshot_id) = 1 THEN 'removed' WHEN min(snapshot_id) = 2 THEN 'added' ELSE 'unchanged' END AS side FROM hashed WHERE snapshot_id <= 2 GROUP BY row_hash"),
+    "tree_diff": (tree_diff, f"WITH {st.HASHED_SQL} SELECT row_hash, CASE WHEN max(snapshot_id) = 1 THEN 'removed' ELSE 'added' END AS side FROM hashed WHERE snapshot_id <= 2 GROUP BY row_hash HAVING count(*) = 1"),
     "history_built": (history, H + "SELECT * FROM history"),
     "history_applied": (history_applied, H + "SELECT * FROM history"),
     "current_rows": (current_rows, H + f"SELECT {V}, first_seen_snapshot_id, last_seen_snapshot_id, first_seen_at, last_seen_at FROM history WHERE removed_snapshot_id IS NULL"),

@@ -9,6 +9,7 @@ from snaptrail import spec as sp
 from snaptrail.functions import scalars
 from snaptrail.operators import lookup, runlog, validate
 from snaptrail.plans import standins as st
+from snaptrail.plans.scratch import scratch
 
 TNOW = f"TIMESTAMP '{st.NOW}'"
 GOOD = "(complete OR reason IS NOT DISTINCT FROM 'AWAITING_PARSE')"
@@ -159,6 +160,11 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch", "complete", F.array_join("incomplete", ",").alias("incomplete"), F.array_join("skipped", ",").alias("skipped"))
 
 
+def slugs_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = st.runs(spark, sf_dir).select(F.to_date("fetched_at").alias("batch"), F.concat(F.lit("s"), "source").alias("slug"), F.when(F.col("complete"), "complete").when(F.col("event_type") == "signup", "skipped").otherwise("incomplete").alias("outcome"))
+    return runlog.batch_slugs(r)
+
+
 def page_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.rows(st.table(spark, sf_dir, "part").select("p_name", "p_partkey", "p_brand", "p_type"), q="RING", filters={"p_type": "ECONOMY"}, limit=20, offset=5)[1]
 
@@ -172,6 +178,18 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.search(tables, "ring", None).groupBy("table", "total").agg(F.max("rank").cast("long").alias("shown"))
 
 
+def searched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five rows of each table that hold a term, by an index of its runs of three characters."""
+    root = f"{scratch(spark)}/index"
+    tables = {"part": st.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "pages": st.table(spark, sf_dir, "pages").select("page_id", "url"), "conversations": st.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")}
+    lookup.write_search_index(tables, root)
+    return lookup.search_index(spark, root, "Ring")
+
+
+def rows_of_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.domain_rows(st.domain_index(spark, sf_dir), st.watchlist(spark, sf_dir)).select("domain", "match", "host", "kind", "jurisdiction", "page_id")
+
+
 def one_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lookup.check_domain(st.domain_index(spark, sf_dir), "https://www.EXAMPLE.com/")
     return out.select("domain", F.array_join("licensed_in", ",").alias("licensed_in"), F.array_join("blocked_in", ",").alias("blocked_in"), "n_exact", "n_subdomain")
@@ -270,6 +288,12 @@ QUERIES = {
     "slots": (slots, SLOTS_SQL),
     "orphans": (orphans, R + "SELECT source, CASE WHEN source IN (SELECT source FROM runs) THEN 'disable' ELSE 'delete' END AS action FROM sources WHERE source < 10"),
     "batches": (batches, f"WITH {st.RUNS_SQL} SELECT CAST(fetched_at AS DATE) AS batch, count(*) FILTER (complete) AS complete, coalesce(string_agg('s' || source, ',' ORDER BY 's' || source) FILTER (event_type = 'error'), '') AS incomplete, coalesce(string_agg('s' || source, ',' ORDER BY 's' || source) FILTER (event_type = 'signup'), '') AS skipped FROM runs GROUP BY 1"),
+    "slugs_of_batches": (slugs_of_batches, f"""WITH {st.RUNS_SQL}, e AS (SELECT CAST(fetched_at AS DATE) AS batch, 's' || source AS slug, max(CASE WHEN complete THEN 0 WHEN event_type = 'signup' THEN 1 ELSE 2 END) AS o, count(*) AS runs, count_if(complete) AS good FROM runs GROUP BY ALL)
+      SELECT batch, slug, CASE o WHEN 0 THEN 'complete' WHEN 1 THEN 'skipped' ELSE 'incomplete' END AS outcome, runs, CAST(sum(good) OVER (PARTITION BY batch) AS BIGINT) AS complete FROM e"""),
+    "searched_rows": (searched_rows, """WITH f AS (SELECT 'part' AS "table", to_json({p_partkey: p_partkey, p_name: p_name})::VARCHAR AS row FROM part WHERE contains(lower(p_name), 'ring') UNION ALL SELECT 'pages', to_json({page_id: page_id, url: url})::VARCHAR FROM pages WHERE contains(lower(url), 'ring')
+      UNION ALL SELECT 'conversations', to_json({conv_id: conv_id, turn: turn, text: text})::VARCHAR FROM conversations WHERE contains(lower(text), 'ring'))
+      SELECT * FROM (SELECT "table", count(*) OVER (PARTITION BY "table") AS total, row_number() OVER (PARTITION BY "table" ORDER BY row) AS rank, row FROM f) WHERE rank <= 5"""),
+    "rows_of_domains": (rows_of_domains, D + f", {st.WATCH_SQL}, w AS (SELECT DISTINCT regexp_replace(domain, '^www\\.', '') AS domain FROM watch), d AS (SELECT *, regexp_replace(host, '^www\\.', '') AS b FROM domains) SELECT domain, CASE WHEN b = domain THEN 'exact' ELSE 'subdomain' END AS match, host, kind, jurisdiction, page_id FROM w JOIN d ON b = domain OR ends_with(b, '.' || domain)"),
     "page_of_rows": (page_of_rows, "SELECT p_name, p_partkey, p_brand, p_type FROM part WHERE p_type = 'ECONOMY' AND (contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring')) ORDER BY 1 NULLS LAST, 2 NULLS LAST LIMIT 20 OFFSET 5"),
     "total_of_rows": (total_of_rows, "SELECT count(*) AS total FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring')"),
     "searched": (searched, """SELECT "table", n AS total, n AS shown FROM (SELECT 'part' AS "table", count(*) AS n FROM part WHERE contains(lower(p_name), 'ring') UNION ALL SELECT 'pages', count(*) FROM pages WHERE contains(lower(url), 'ring') UNION ALL SELECT 'documents', count(*) FROM documents WHERE contains(lower(text), 'ring') UNION ALL SELECT 'conversations', count(*) FROM conversations WHERE contains(lower(text), 'ring')) WHERE n > 0"""),
