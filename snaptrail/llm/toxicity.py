@@ -138,8 +138,8 @@ class Network:
         logit = (att * value).sum(0) + self.p["bias"][0]
         return (logit, states, kept, att, value) if keep else logit
 
-    def step(self, words: list[str], rows: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> float:
-        """One update on a batch of windows over the words given."""
+    def gradients(self, words: list[str], rows: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Gradients and value of the weighted mean loss of a batch of windows over the words given."""
         p, h, time = self.p, HIDDEN, rows.shape[1]
         x, ids, place, n_tri, first = self.inputs(words)
         gates = self.project(x)
@@ -180,6 +180,12 @@ class Network:
         g["word"][0] = 0
         np.add.at(g["char"], place, np.repeat(d_x[:, WORD_SIZE : WORD_SIZE + CHAR_SIZE] / n_tri[:, None].astype(np.float32), n_tri, axis=0))
         np.add.at(g["start"], first, d_x[:, None, WORD_SIZE + CHAR_SIZE :] / np.float32(first.shape[1]))
+        return g, float((-(y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9)) * weight).mean())
+
+    def step(self, words: list[str], rows: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> float:
+        """One update (Adam, clipped) on a batch of windows."""
+        p = self.p
+        g, loss = self.gradients(words, rows, mask, y, weight)
         self.steps += 1
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
@@ -189,7 +195,7 @@ class Network:
             m1 += 0.1 * (v - m1)
             m2 += 0.001 * (v * v - m2)
             p[k] -= (rate * (m1 / (1 - 0.9**self.steps)) / (np.sqrt(m2 / (1 - 0.999**self.steps)) + 1e-8)).astype(np.float32)
-        return float((-(y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9)) * weight).mean())
+        return loss
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -414,7 +420,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int
     share = F.when(F.col("toxic") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, 2 * per_label / counts[0]))
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < share * (1 << 30))
     # about 3 * per_label ids, so they are sent to where the texts are
-    sample = docs.filter(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).collect()
+    sample = docs.filter(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # of an id's several texts the least one is learned from
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     sample.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in sample], [r["toxic"] for r in sample])
 
