@@ -18,6 +18,7 @@ sorts first; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,16 +104,20 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def learn(docs: DataFrame, may_learn: Column, per_language: int = 600, most_languages: int = 256, most_texts: int = 24_000) -> Model | None:
-    """A model from the rows that may be learned from; None if there are none."""
+def learn(docs: DataFrame, may_learn: Column, per_language: int = 600, most_texts: int = 24_000) -> Model | None:
+    """A model from the rows that may be learned from; None if there are none.
+
+    About ``per_language`` texts of each language are learned from, and about ``most_texts`` in all, so all languages have
+    a share of them as long as there are fewer languages than texts.
+    """
     rows = docs.select("doc_id", "text", "lang", may_learn.alias("may")).filter("may AND lang IS NOT NULL AND text IS NOT NULL").drop("may")
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    counts = {r["lang"]: r["count"] for r in frequent.collect()}
+    # one row a language, at most as many as texts
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_texts).collect()
     if not counts:
         return None
-    per_language = min(per_language, most_texts // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    per_language = max(1, min(per_language, most_texts // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in counts], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
 
     def bit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +126,9 @@ def learn(docs: DataFrame, may_learn: Column, per_language: int = 600, most_lang
                 packed = [b.tobytes() for b in np.packbits(bits, axis=1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["doc_id", "lang", "bits"])
 
-    sample = rows.filter(drawn).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(bit_sets, "doc_id long, lang string, bits binary").collect()
-    sample.sort(key=lambda r: (r["lang"], r["doc_id"] or 0, bytes(r["bits"])))
+    sample = rows.join(F.broadcast(shares), "lang").filter(drawn).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(bit_sets, "doc_id long, lang string, bits binary").collect()
+    # landmarks are a language's first rows, so these come in an order that has nothing to do with ids
+    sample.sort(key=lambda r: (r["lang"], zlib.crc32(bytes(r["bits"])), bytes(r["bits"]), r["doc_id"] or 0))
     if not sample:
         return None
     bits = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in sample), np.uint8).reshape(len(sample), -1), axis=1)
