@@ -153,16 +153,19 @@ def bags_of(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(h[i:j], count[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """a, b, value of a, value of b of distinct pairs. values: node, value.
+def with_side(pairs: DataFrame, values: DataFrame, value: str, side: str, other: str, ids: DataFrame) -> DataFrame:
+    """Pairs with the value of one side; ids: the pairs without values. A node of many pairs has its value copied once for so many, so that no task gets them all."""
+    many = few(ids.groupBy(side).agg(F.floor(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).filter("copies > 0"))
+    dealt = pairs.join(many, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(0)) + 1)).drop("copies")
+    copied = values.withColumnRenamed("node", side).join(many, side, "left")
+    copied = copied.select(side, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(0)).cast("long"))).alias("copy"), F.col(value).alias(f"{value}_{side}"))
+    return dealt.join(copied, [side, "copy"]).drop("copy")
 
-    A node that is ``b`` of many pairs has its value copied once for so many pairs, so that no task gets them all.
-    """
-    many = few(pairs.groupBy("b").agg(F.floor(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).filter("copies > 0"))
-    dealt = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(0)) + 1).alias("copy"))
-    right = values.withColumnRenamed("node", "b").join(many, "b", "left").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(0)).cast("long"))).alias("copy"), F.col(value).alias(f"{value}_b"))
-    left = values.select(F.col("node").alias("a"), F.col(value).alias(f"{value}_a"))
-    return dealt.join(right, ["b", "copy"]).join(left, "a").select("a", "b", f"{value}_a", f"{value}_b")
+
+def with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """a, b, value of a, value of b of distinct pairs. values: node, value."""
+    ids = pairs.select("a", "b")
+    return with_side(with_side(ids, values, value, "b", "a", ids), values, value, "a", "b", ids).select("a", "b", f"{value}_a", f"{value}_b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
