@@ -23,7 +23,7 @@ returns, and compared unchanged. A text's words before the cut are not joined wi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ WINDOW, GRAM = 20, 8
 BLOCK_CHARS = 1 << 20
 _NO_PLACE = np.uint32(0xFFFFFFFF)
 TEXT_BYTES = 2 << 20
+WAITING_BYTES = 4 << 20
 SEPARATORS = re.compile("[ \t\n\v\f\r]+")
 
 
@@ -70,10 +71,20 @@ def cells_of(gram_hash: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray
     return (gram_hash & np.uint64(blocks - 1)).astype(np.int64), (hashes.mix(gram_hash ^ hashes.SECOND) >> np.uint64(32)).astype(np.uint32)
 
 
-def counted_twice(cells: np.ndarray) -> np.ndarray:
+def halves(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of the two rows of a block."""
+    return (cells & np.uint32(0xFFFF)).astype(np.int64), (cells >> np.uint32(16)).astype(np.int64)
+
+
+def twice(cells: np.ndarray, counts: Sequence[np.ndarray]) -> np.ndarray:
     """Which entries of one block have both cells counted at least twice."""
-    low, high = (cells & np.uint32(0xFFFF)).astype(np.int64), (cells >> np.uint32(16)).astype(np.int64)
-    return (np.bincount(low, minlength=1 << 16)[low] > 1) & (np.bincount(high, minlength=1 << 16)[high] > 1)
+    low, high = halves(cells)
+    return (counts[0][low] > 1) & (counts[1][high] > 1)
+
+
+def counted_twice(cells: np.ndarray) -> np.ndarray:
+    """The same where these are all entries of the block."""
+    return twice(cells, [np.bincount(x, minlength=1 << 16) for x in halves(cells)])
 
 
 def _binaries(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -112,25 +123,38 @@ def repeated_anchors(docs: DataFrame, blocks: int, window: int = WINDOW, gram: i
                 yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([part]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *[pa.array([x.tobytes()], pa.binary()) for x in (*ids, counts, known)]], columns)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by block, so one block's rows are held at a time
-        current, rows = None, []
-
-        def answers() -> Iterator[pa.RecordBatch]:
-            cells, places = (np.frombuffer(b"".join(r[i] for r in rows), "<u4") for i in (1, 2))
-            found = np.flatnonzero(counted_twice(cells) & (places != _NO_PLACE))
-            part = np.repeat([r[0] for r in rows], [len(r[1]) // 4 for r in rows])[found]
+        # Rows come sorted by block. A cell counted twice stays so: what is known to repeat is answered as soon as some rows
+        # wait, and what goes on waiting has a cell counted once, of which a block has few, however often an anchor comes.
+        current, counts, new, size = None, None, [], 0
+        open_ones = nothing = [np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, "<u4")]
+
+        def settled() -> pa.RecordBatch:
+            nonlocal open_ones, new, size
+            cells, places = (np.frombuffer(b"".join(r[i] for r in new), "<u4") for i in (1, 2))
+            part = np.repeat(np.array([r[0] for r in new], np.int64), [len(r[1]) // 4 for r in new])
+            new, size = [], 0
+            for row, seen in zip(counts, halves(cells), strict=True):
+                np.minimum(row + np.bincount(seen, minlength=1 << 16), 2, out=row)
+            asked = places != _NO_PLACE
+            part, cells, places = (np.concatenate([old, x[asked]]) for old, x in zip(open_ones, (part, cells, places), strict=True))
+            known = twice(cells, counts)
+            open_ones = [part[~known], cells[~known], places[~known]]
+            part, places = part[known], places[known]
             begin = np.flatnonzero(np.diff(part, prepend=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int64()), _binaries(places[found], begin)], ["part", "places"])
+            return pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int64()), _binaries(places, begin)], ["part", "places"])
 
         for batch in batches:
             for block, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if block != current and rows:
-                    yield from answers()
-                    rows = []
-                current = block
-                rows.append(row)
-        if rows:
-            yield from answers()
+                if block != current:
+                    if new:
+                        yield settled()
+                    current, counts, open_ones = block, np.zeros((2, 1 << 16), np.int64), nothing
+                new.append(row)
+                size += len(row[1])
+                if size > WAITING_BYTES:
+                    yield settled()
+        if new:
+            yield settled()
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
