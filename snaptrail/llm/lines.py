@@ -48,22 +48,23 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = 1, lg_k: int = LG_K) -> DataFrame:
     """docs with boilerplate lines cut out of ``text``, and ``n_lines``, ``n_removed``."""
+    # columns are numbered inside, so that names of theirs can't clash with names used here
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    inside = {c: f"in{i}" for i, c in enumerate(kept)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()])
+    text = F.col(inside["text"])
     line = trimmed(F.col("line"))
-    exploded = docs.select("text", F.col(site).cast("string").alias("site"), F.posexplode_outer(F.split("text", "\n")).alias("place", "line")).select(
-        F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "site", "place", line.alias("line")
-    )
+    exploded = rows.select(text.alias("text"), F.col(inside[site]).cast("string").alias("site"), F.posexplode_outer(F.split(text, "\n")).alias("place", "line"))
+    exploded = exploded.select(F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "site", "place", line.alias("line"))
     lines = exploded.filter(F.length("line") >= max(1, min_chars)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
     gone = boilerplate(lines.select("h1", "h2", "site"), min_sites, lg_k)
     # the places to cut, by text: equal texts lose equal lines
-    flagged = lines.select("t1", "t2", "place", "h1", "h2").join(few(gone), ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("place").alias("__cut"))
-    flagged = flagged.withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*kept, F.xxhash64("text").alias("__t1"), F.xxhash64("text", F.lit(1)).alias("__t2")).join(flagged, ["__t1", "__t2"], "left")
-    whole = F.split("text", "\n")
+    flagged = lines.select("t1", "t2", "place", "h1", "h2").join(few(gone), ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("place").alias("cut"))
+    keyed = rows.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(text, F.lit(1))}).join(flagged, ["t1", "t2"], "left")
     # places are distinct, so the difference of the two sets of places is linear and keeps their order
-    places = F.array_except(F.sequence(F.lit(0), F.size("__whole") - 1), "__cut")
-    left = F.when(F.col("__cut").isNull(), F.col("__whole")).otherwise(F.transform(places, lambda i: F.col("__whole")[i]))
-    done = keyed.withColumn("__whole", whole).withColumn("__kept", left)
-    n, m = F.size("__whole"), F.size("__kept")
-    done = done.withColumns({"n_lines": F.coalesce(n, F.lit(0)).cast("long"), "n_removed": F.coalesce(n - m, F.lit(0)).cast("long")})
-    return done.select(*[F.array_join("__kept", "\n").alias("text") if c == "text" else c for c in kept], "n_lines", "n_removed")
+    places = F.array_except(F.sequence(F.lit(0), F.size("whole") - 1), "cut")
+    left = F.when(F.col("cut").isNull(), F.col("whole")).otherwise(F.transform(places, lambda i: F.col("whole")[i]))
+    done = keyed.withColumn("whole", F.split(text, "\n")).withColumn("left", left)
+    n, m = F.size("whole"), F.size("left")
+    counts = {"n_lines": F.coalesce(n, F.lit(0)).cast("long"), "n_removed": F.coalesce(n - m, F.lit(0)).cast("long")}
+    return done.select(*[(F.array_join("left", "\n") if c == "text" else F.col(k)).alias(c) for c, k in inside.items()], *[c.alias(k) for k, c in counts.items()])

@@ -146,12 +146,13 @@ d AS (SELECT doc_id, class_id FROM documents JOIN t ON coalesce(documents.text,
 SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM d
 """
 OP8_SQL = """
-WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS line0 FROM l),
-gone AS (SELECT line0 FROM t WHERE line0 <> '' GROUP BY line0 HAVING count(DISTINCT source) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (line0 IN (SELECT line0 FROM gone)) AS n_removed,
-  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line0 NOT IN (SELECT line0 FROM gone)), '') AS text
-FROM t GROUP BY doc_id
+gone AS (SELECT line0 FROM t WHERE line0 <> '' GROUP BY line0 HAVING count(DISTINCT source) >= 10),
+x AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (line0 IN (SELECT line0 FROM gone)) AS n_removed,
+  string_agg(line, chr(10) ORDER BY i) FILTER (line0 NOT IN (SELECT line0 FROM gone)) AS text FROM t GROUP BY rid)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(x.text, '') END AS text FROM d LEFT JOIN x USING (rid)
 """
 
 # Costs and least audits of all four states (0 start, 1 after s, 2 after u, 3 after a) go back row by row; after each row up

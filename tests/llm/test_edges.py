@@ -221,3 +221,34 @@ def test_substring_long_text(spark):
     n = len(LONG.split())
     # a text of eight words by turns: the first round of windows stays
     assert [r["n_words"] for r in out] == [n, n + 1] and out[0]["n_removed"] == n - 8 and out[1]["n_removed"] == n
+
+
+def test_lines_columns_of_any_name(spark):
+    clashing = ["__cut", "__whole", "__kept", "__t1", "__t2", "t1", "cut", "whole", "left", "place", "line", "in0", "a.b"]
+    df = spark.createDataFrame([(1, "same\nown", f"s{i}", *clashing) for i in range(12)], ["doc_id", "text", "source", *clashing])
+    out = lines.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    assert {tuple(r) for r in out.drop("doc_id", "source").collect()} == {("", *clashing, 2, 2)}
+
+
+def test_lines_sql_with_null_texts_and_repeated_ids(spark):
+    import duckdb
+
+    rows = [(i % 5 if i % 7 else None, f"shared line\nline {i}\n \t" if i % 4 else None, f"s{i % 11}" if i % 6 else None) for i in range(60)]
+    rows += [(3, "", "s1"), (3, "shared line", "s2"), (3, "shared line", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    sql = con.sql(queries.OP8_SQL).project("doc_id, n_lines, n_removed, text").fetchall()
+    mine = [tuple(r) for r in lines.dedup_lines(df).select("doc_id", "n_lines", "n_removed", "text").collect()]
+    assert sorted(map(repr, mine)) == sorted(map(repr, sql)) and len(mine) == 63
+
+
+def test_toxicity_learns_one_text_of_an_id(spark):
+    """Which of an id's texts is learned from doesn't depend on the order of rows."""
+    rows = [(i % 40, f"{'bad awful' if i % 2 else 'good fine'} text number {i}", i % 2) for i in range(160)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    nets = [toxicity.learn(d, labels, F.lit(True)) for d in (docs.repartition(3), docs.orderBy(F.desc("text")).coalesce(1))]
+    assert all(np.array_equal(nets[0].p[k], nets[1].p[k]) for k in nets[0].p)

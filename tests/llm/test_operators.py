@@ -260,6 +260,31 @@ def test_language_kernel_is_the_set_overlap():
     assert k[0, 0] == pytest.approx(1) and k[0, 1] == pytest.approx((bits[0] & bits[1]).sum() / np.sqrt(bits[0].sum() * bits[1].sum()), rel=1e-5)
 
 
+def test_language_ridge_with_all_rows_as_landmarks():
+    """With every row a landmark, Nystroem ridge regression is full kernel ridge regression."""
+    texts = [w * 3 + f" {i}" for i, w in enumerate(["der die das und ", "the and of to ", "le la les et "] * 6)]
+    labels = ["de", "en", "fr"] * 6
+    bits, _ = language.presence(texts)
+    model = language.Model(bits, labels, n_landmarks=10**6, ridge=1e-3)
+    order = [i for lang in ("de", "en", "fr") for i in range(18) if labels[i] == lang]
+    k = language.kernel(bits[order], bits[order].astype(np.float32)).astype(np.float64)
+    y = np.array([[1.0 if labels[i] == lang else -1.0 for lang in ("de", "en", "fr")] for i in order])
+    # weights of 1 / 18 each: (K / 18 + ridge) c = y / 18
+    full = np.linalg.solve(k / 18 + 1e-3 * np.eye(18), y / 18)
+    new, _ = language.presence(["und das ", "of the ", "xyz", "les la the"])
+    got = language.kernel(new, np.unpackbits(model.packed, axis=1).astype(np.float32)) @ model.coefficients
+    assert got == pytest.approx(language.kernel(new, bits[order].astype(np.float32)) @ full, abs=1e-3)
+
+
+def test_language_learns_more_languages_than_a_cap(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 300)}{chr(0x5E00 + i % 300)} " * 5, f"l{i % 300:03d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, F.lit(True))
+    assert len(model.languages) == 300
+    out = language.identify(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), model).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 300:03d}" for r in out) > 880
+
+
 def test_language_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     out = queries.op4_string_kernel_language(spark, sf_dir).join(docs, "doc_id").toPandas()
@@ -402,6 +427,16 @@ def test_hot_sides_of_pairs_are_dealt(spark):
     assert got == [(i, 0, f"v{i}", "v0") for i in range(1, 1200)]
 
 
+def test_a_node_on_the_left_of_many_pairs_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "PAIRS_A_COPY", 20)
+    pairs = spark.range(500).select(F.lit(1000).cast("long").alias("a"), F.col("id").alias("b"))
+    values = spark.range(1001).select(F.col("id").alias("node"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    out = near_dups.with_both(pairs, values, "text").collect()
+    assert sorted((r["a"], r["b"], r["text_a"], r["text_b"]) for r in out) == sorted((1000, i, "t1000", f"t{i}") for i in range(500))
+    side = near_dups.with_side(pairs, values, "text", "a", "b", pairs)
+    assert side.count() == 500
+
+
 def test_near_duplicates_empty(spark):
     assert near_dups.near_duplicates(docs_of(spark, [])).count() == 0
 
@@ -459,6 +494,17 @@ def test_gradients():
         z = net.forward(net.project(net.inputs(words)[0]), rows, mask).astype(np.float64)
         return float((np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)).mean())
 
+    for name, g in net.gradients(words, rows, mask, y, weight)[0].items():
+        # along the gradient and along a random direction, both sides of the point
+        for way in (g, rng.standard_normal(g.shape).astype(np.float32) * (name != "word" or np.arange(len(g))[:, None] > 0)):
+            way = way / max(1e-12, float(np.sqrt((way**2).sum())))
+            old, step = net.p[name].copy(), 1e-2
+            ends = []
+            for sign in (1, -1):
+                net.p[name] = (old + sign * step * way).astype(np.float32)
+                ends.append(loss())
+            net.p[name] = old
+            assert (ends[0] - ends[1]) / (2 * step) == pytest.approx(float((g * way).sum()), rel=0.02, abs=2e-4), name
     first = loss()
     for _ in range(30):
         net.step(words, rows, mask, y, weight, 0.02)
@@ -552,6 +598,18 @@ def test_sketch_marks_every_repeated_anchor(spark):
     assert set(got) >= set(range(0, 60, 9)) and len(got) < 20 and all(got[i] >= 2 for i in range(0, 60, 9))
 
 
+def test_an_anchor_in_every_part(spark, monkeypatch):
+    """A passage that all documents share fills one block with rows; it is answered as it comes, and nothing else changes."""
+    monkeypatch.setattr(substrings, "TEXT_BYTES", 300)
+    passage = " ".join(f"shared{i}" for i in range(30))
+    docs = [(i, f"own{i} words{i} " + " ".join(f"{i}w{k}" for k in range(25)) + " " + passage) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(20)
+    whole = sorted(map(tuple, substrings.cut_repeats(df, blocks=1).collect()))
+    assert [r[2] for r in whole] == [0] + [30] * 59
+    monkeypatch.setattr(substrings, "WAITING_BYTES", 50)
+    assert sorted(map(tuple, substrings.cut_repeats(df, blocks=1).collect())) == whole
+
+
 def test_substrings_repeated_ids(spark):
     text = " ".join(f"k{i}" for i in range(25))
     df = spark.createDataFrame([(1, text), (1, text), (1, "other " + text), (None, text)], "doc_id long, text string")
