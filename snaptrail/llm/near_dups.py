@@ -154,11 +154,17 @@ def bags_of(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def with_side(pairs: DataFrame, values: DataFrame, value: str, side: str, other: str, ids: DataFrame) -> DataFrame:
-    """Pairs with the value of one side; ids: the pairs without values. A node of many pairs has its value copied once for so many, so that no task gets them all."""
-    many = few(ids.groupBy(side).agg(F.floor(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).filter("copies > 0"))
+    """Pairs with the value of one side; ids: the pairs without values.
+
+    A node of many pairs has its value copied once for so many, so that no task gets them all.
+    """
+    own = values.select(F.col("node").alias(side), F.col(value).alias(f"{value}_{side}"))
+    many = cut(ids.groupBy(side).agg(F.floor(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).filter("copies > 0"))
+    if many.isEmpty():
+        return pairs.join(own, side)
+    many = few(many)
     dealt = pairs.join(many, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(0)) + 1)).drop("copies")
-    copied = values.withColumnRenamed("node", side).join(many, side, "left")
-    copied = copied.select(side, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(0)).cast("long"))).alias("copy"), F.col(value).alias(f"{value}_{side}"))
+    copied = own.join(many, side, "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(0)).cast("long")))).drop("copies")
     return dealt.join(copied, [side, "copy"]).drop("copy")
 
 
