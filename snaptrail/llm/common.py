@@ -54,14 +54,19 @@ def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     @wraps(run)
     def then_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return then_free
 
 
+def give_back() -> None:
+    """Memory that this process doesn't use goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_of(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; null text has none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptrail.llm.common import freed, parts_of
+from snaptrail.llm.common import give_back, freed, parts_of
 
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_SIZE, CHAR_SIZE = 8, 8, 16
@@ -424,7 +424,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int
     # of an id's several texts the least one is learned from
     sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     sample.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in sample], [r["toxic"] for r in sample])
+    network = train([r["text"] for r in sample], [r["toxic"] for r in sample])
+    give_back()  # training takes far more than the network
+    return network
 
 
 def score(docs: DataFrame, network: Network | None, keep: list[str]) -> DataFrame:
