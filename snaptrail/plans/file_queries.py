@@ -254,7 +254,33 @@ def streamed_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink(spark, streams.stream_domain_watch(stream_of(spark, rows), st.watchlist(spark, sf_dir))).select("domain", "host", "kind", "jurisdiction")
 
 
+def watched_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sightings when every row comes a second time, three days later: none is told twice."""
+    path, rows = scratch(spark), st.domain_index(spark, sf_dir)
+    for day in ("2024-01-01", "2024-01-04"):
+        rows.withColumn("ts", F.lit(day).cast("timestamp")).repartition(2).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return sink(spark, streams.stream_domain_watch(stream, st.watchlist(spark, sf_dir))).select("domain", "host", "kind", "jurisdiction")
+
+
+def runs_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of runs stored as files, each taken up when its manifest is there."""
+    root, target = scratch(spark), scratch(spark)
+    obs = hq.hashed(spark, sf_dir).join(F.broadcast(st.snapshots(spark)), "snapshot_id")
+    for k in range(1, 5):
+        folder = f"{root}/licences/2024-01-0{k}/run{k}"
+        obs.filter(F.col("snapshot_id") == k).write.parquet(f"{folder}/rows.parquet")
+        spark.createDataFrame([(f"run{k}", "licences", True)], "run_id string, slug string, complete boolean").coalesce(1).write.json(f"{folder}/manifest")
+
+    def parse(runs: DataFrame, folders: list[str]) -> DataFrame:
+        return spark.read.parquet(*[f"{f.rsplit('/', 1)[0]}/rows.parquet" for f in folders])
+
+    streams.stream_history_of_runs(streams.stream_runs(spark, root, "part-*.json"), target, f"{target}/state", parse).awaitTermination()
+    return streams.streamed_rows(spark, target).select("row_hash", *st.VALUES, *hist.MARKS)
+
+
 LINKS = """l AS (SELECT page_id, url AS page, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS ls FROM pages), k AS (SELECT page_id, unnest(ls) AS link, generate_subscripts(ls, 1) - 1 AS pos, regexp_extract(page, '^([a-zA-Z]+://[^/?#]*)', 1) AS origin FROM l), links AS (SELECT page_id, pos, link, origin || link AS url FROM k)"""
+WATCHED = lq.D + f", {st.WATCH_SQL}, w AS (SELECT DISTINCT domain FROM watch) SELECT DISTINCT domain, d.host, d.kind, d.jurisdiction FROM w JOIN domains d ON regexp_replace(d.host, '^www\\.', '') = domain OR ends_with(regexp_replace(d.host, '^www\\.', ''), '.' || domain)"
 QUERIES = {
     "csv_rows": (csv_rows, "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment || ', \"x\"' END AS segment FROM customer"),
     "csv_blocks": (csv_blocks, """SELECT CAST(o_orderkey AS VARCHAR) AS key, 'line one,' || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN '"quoted",' || chr(10) || chr(10) ELSE '' END || o_orderpriority || CASE WHEN o_orderkey % 7 = 0 THEN chr(10) || '"' ELSE '' END AS note,
@@ -293,5 +319,7 @@ QUERIES = {
     "streamed_gate": (streamed_gate, lq.GATE_SQL),
     "streamed_failures": (streamed_failures, f"""WITH {st.RUNS_SQL}, m AS (SELECT max(fetched_at) - INTERVAL 1 DAY AS mark FROM runs), w AS (SELECT source, {lq.GOOD} AS g, date_trunc('day', fetched_at) - to_days(CAST(k AS INT)) AS start FROM runs, (SELECT unnest(range(0, 7)) AS k))
       SELECT source, CAST(start AS TIMESTAMP) AS start, count(*) FILTER (NOT g) AS failed, count(*) FILTER (g) AS good FROM w, m WHERE start + INTERVAL 7 DAY <= mark GROUP BY ALL"""),
-    "streamed_watch": (streamed_watch, lq.D + f", {st.WATCH_SQL}, w AS (SELECT DISTINCT domain FROM watch) SELECT DISTINCT domain, d.host, d.kind, d.jurisdiction FROM w JOIN domains d ON regexp_replace(d.host, '^www\\.', '') = domain OR ends_with(regexp_replace(d.host, '^www\\.', ''), '.' || domain)"),
+    "runs_of_files": (runs_of_files, hq.H + "SELECT * FROM history"),
+    "watched_again": (watched_again, WATCHED),
+    "streamed_watch": (streamed_watch, WATCHED),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snaptrail.functions import scalars
 from snaptrail.operators import history as hist
-from snaptrail.operators import identity
+from snaptrail.operators import identity, names
 from snaptrail.plans import standins as st
 from snaptrail.plans.scratch import scratch
 from snaptrail.spec import Column, TableSpec
@@ -166,6 +166,21 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.unionByName(hist.reconcile_publications(a, b, "name", relaxed=True).groupBy("where").count().select(F.lit("relaxed").alias("match"), "where", F.col("count").alias("n")))
 
 
+def named(spark: SparkSession, sf_dir: str, misspelt: bool) -> DataFrame:
+    """Company names made of parts; misspelt: one in four is missing, and the others lack a letter or have a suffix."""
+    p = st.table(spark, sf_dir, "part")
+    name = F.concat_ws(" ", F.initcap("p_name"), F.initcap("p_type"), F.replace("p_brand", F.lit("Brand#"), F.lit("No ")))
+    if not misspelt:
+        return p.select(name.alias("name"))
+    k, at = F.col("p_partkey"), (F.col("p_partkey") % 7 + 3).cast("int")
+    shorter = F.concat(F.substring(name, F.lit(1), at), F.substring(name, at + 2, F.length(name)))
+    return p.filter(k % 4 != 0).select(F.when(k % 3 == 0, F.concat(F.upper(name), F.lit(" LTD."))).when(k % 3 == 1, shorter).otherwise(name).alias("name"))
+
+
+def alike_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.reconcile_similar(named(spark, sf_dir, False), named(spark, sf_dir, True), "name")
+
+
 def evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hist.evolve_schema(hist.current_view(history(spark, sf_dir)), SPEC).groupBy("status").agg(F.count("*").alias("n"), F.count("note").alias("notes"), F.count("ends_on").alias("ends"))
 
@@ -219,6 +234,16 @@ QUERIES = {
     "publications": (publications, """WITH a AS (SELECT c_name || ' Ltd' AS s, lower(c_name) AS r FROM customer), b AS (SELECT CASE WHEN c_custkey % 13 = 0 THEN upper(c_name) || ' LIMITED' ELSE c_name || ' Ltd' END AS s, lower(c_name) AS r FROM customer WHERE c_custkey % 17 <> 0),
       j AS (SELECT 'strict' AS match, a.s AS x, b.s AS y FROM a FULL JOIN b ON a.s = b.s UNION ALL SELECT 'relaxed', a.r, b.r FROM a FULL JOIN b ON a.r = b.r)
       SELECT match, CASE WHEN y IS NULL THEN 'a only' WHEN x IS NULL THEN 'b only' ELSE 'both' END AS "where", count(*) AS n FROM j GROUP BY ALL"""),
+    "alike_publications": (alike_publications, r"""WITH p AS (SELECT p_partkey AS k, array_to_string(list_transform(string_split(lower(p_name || ' ' || p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || replace(p_brand, 'Brand#', 'No ') AS name FROM part),
+      b0 AS (SELECT CASE k % 3 WHEN 0 THEN upper(name) || ' LTD.' WHEN 1 THEN substr(name, 1, k % 7 + 3) || substr(name, k % 7 + 5) ELSE name END AS name FROM p WHERE k % 4 <> 0),
+      n AS (SELECT DISTINCT 'a' AS side, name FROM p UNION ALL SELECT DISTINCT 'b', name FROM b0),
+      t AS (SELECT side, name, '  ' || trim(regexp_replace(lower(name), '[\s,]*\b(?:ltd|limited|inc|plc|llc)\b\.?\s*$', '')) || ' ' AS s FROM n),
+      g AS (SELECT DISTINCT side, name, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS gram FROM t), size AS (SELECT side, name, count(*) AS n FROM g GROUP BY ALL),
+      j AS (SELECT x.name AS a_name, y.name AS b_name, count(*) AS n FROM g x JOIN g y USING (gram) WHERE x.side = 'a' AND y.side = 'b' GROUP BY ALL),
+      s AS (SELECT a_name, b_name, j.n / (p.n + q.n - j.n) AS similarity FROM j JOIN size p ON p.side = 'a' AND p.name = a_name JOIN size q ON q.side = 'b' AND q.name = b_name WHERE j.n / (p.n + q.n - j.n) >= 0.7),
+      m AS (SELECT *, row_number() OVER (PARTITION BY a_name ORDER BY similarity DESC, b_name) AS r, row_number() OVER (PARTITION BY b_name ORDER BY similarity DESC, a_name) AS q FROM s),
+      pr AS (SELECT a_name, b_name, similarity FROM m WHERE r = 1 AND q = 1)
+      SELECT *, 'both' AS "where" FROM pr UNION ALL SELECT name, NULL, NULL, 'a only' FROM n WHERE side = 'a' AND name NOT IN (SELECT a_name FROM pr) UNION ALL SELECT NULL, name, NULL, 'b only' FROM n WHERE side = 'b' AND name NOT IN (SELECT b_name FROM pr)"""),
     "evolved": (evolved, H + "SELECT status, count(*) AS n, CAST(0 AS BIGINT) AS notes, CAST(0 AS BIGINT) AS ends FROM history WHERE removed_snapshot_id IS NULL GROUP BY status"),
     "changes_counted": (changes_counted, H + "SELECT status, snapshot_id, kind, count(*) AS n FROM (SELECT status, first_seen_snapshot_id AS snapshot_id, 'added' AS kind FROM history UNION ALL SELECT status, removed_snapshot_id, 'removed' FROM history WHERE removed_snapshot_id IS NOT NULL) GROUP BY ALL"),
     "applied_stats": (applied_stats, f"WITH {st.HASHED_SQL}, s AS (SELECT row_hash, min(snapshot_id) AS a, max(snapshot_id) AS b FROM hashed WHERE snapshot_id >= 3 GROUP BY row_hash) SELECT count(*) FILTER (a = 4) AS inserted, count(*) FILTER (b = 3) AS removed, count(*) FILTER (a = 3 AND b = 4) AS unchanged FROM s"),
