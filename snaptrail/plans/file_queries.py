@@ -89,6 +89,17 @@ def published_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_history(spark, f"{root}/history", f"{root}/log")
 
 
+def history_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of three snapshots as a bucketed table, to which the fourth is applied, stored as the next version."""
+    h, root, own = hq.hashed(spark, sf_dir), scratch(spark), ["row_hash", *st.VALUES]
+    name = f"history_{root.rsplit('/', 1)[1]}"
+    old = hist.build_history(h.filter("snapshot_id < 4"), st.snapshots(spark).filter("snapshot_id < 4"))
+    readers.write_history_table(old, f"{name}_3", f"{root}/3", 16)
+    new = hist.apply_snapshot(spark.table(f"{name}_3"), h.filter("snapshot_id = 4").select(*own), F.lit(4).cast("long"), F.expr("timestamp_ntz'2024-01-04'"), newest=F.lit(3).cast("long"))
+    readers.write_history_table(new, f"{name}_4", f"{root}/4", 16)
+    return spark.table(f"{name}_4")
+
+
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = st.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("name"), F.split("p_name", " ").alias("words"))
     return readers.export_rows(p)
@@ -292,6 +303,7 @@ QUERIES = {
     "manifest_tables": (manifest_tables, """WITH m AS (SELECT c_nationkey AS k, c_mktsegment AS s, count(*) AS n FROM customer GROUP BY ALL)
       SELECT k || '-' || s AS run_id, 'r' || k AS slug, n % 2 = 1 AS complete, CAST(0 AS INT) AS ordinal, CASE WHEN n % 2 = 0 THEN 'EMPTY' ELSE '' END AS problems, sha256(s) AS digest, lower(s) AS "table", n AS rows FROM m"""),
     "published_history": (published_history, hq.H + "SELECT * FROM history"),
+    "history_in_buckets": (history_in_buckets, hq.H + "SELECT * FROM history"),
     "exported": (exported, "SELECT p_partkey || ',' || CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '' END || ',' || replace(p_name, ' ', ';') AS line FROM part"),
     "page_links": (page_links, f"WITH {LINKS} SELECT page_id, pos, url FROM links"),
     "first_of_part": (first_of_part, f"WITH {LINKS}, n AS (SELECT page_id, pos, url, regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(string_split(url, ',')[1], '[?#].*$', ''), '([^/]*)/?$', 1)), '\\.csv$', ''), '^th', '') AS part FROM links) SELECT page_id, part, min_by(url, pos) AS url FROM n GROUP BY ALL"),

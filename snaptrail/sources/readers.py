@@ -106,6 +106,15 @@ def write_history(history: DataFrame, root: str, version: int) -> str:
     return path
 
 
+def write_history_table(history: DataFrame, name: str, path: str, buckets: int) -> None:
+    """A version of a history as a table in buckets of ``row_hash``, its files below ``path``; an existing table is never written over.
+
+    Applying a snapshot to such a table (``apply_snapshot`` on ``spark.table``) shuffles the snapshot's rows only. The same
+    number of buckets must be kept from version to version; a bucket should fit a task.
+    """
+    history.write.bucketBy(buckets, "row_hash").sortBy("row_hash").option("path", path).mode("errorifexists").saveAsTable(name)
+
+
 def write_snapshot_log(log: DataFrame, path: str) -> None:
     """Appends run rows; appending the version's row is what publishes a history."""
     log.write.mode("append").parquet(path)

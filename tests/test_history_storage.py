@@ -148,3 +148,26 @@ def stabbed_candidates(df):
             stack.append(node.executedPlan())
     assert rows, text
     return max(rows)
+
+
+def test_applying_to_a_bucketed_history_shuffles_the_snapshot_only(spark, tmp_path):
+    from snaptrail.sources import readers
+
+    rows, at = made(spark, 9, n_snapshots=3, n_rows=200)
+    obs, snapshots = frames(spark, rows, at)
+    old = hist.build_history(obs.filter("snapshot_id < 3").drop("at"), snapshots.filter("snapshot_id < 3"))
+    name = f"history_{os.getpid()}"
+    readers.write_history_table(old, name, str(tmp_path / "table"), 8)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = hist.apply_snapshot(spark.table(name), obs.filter("snapshot_id = 3").select("row_hash", "value"), F.lit(3).cast("long"), F.lit(at[3]), newest=F.lit(2).cast("long"))
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(row_hash") == 1 and "SortMergeJoin" in plan
+        # the one exchange stands over the snapshot's rows, which come from a local table or scan without marks
+        below = plan[plan.index("Exchange hashpartitioning(row_hash") :].split("+- ", 1)[1]
+        assert "first_seen_snapshot_id" not in below.split("Exchange")[0].split("Union")[0]
+        assert lines(new) == lines(hist.build_history(obs.drop("at"), snapshots))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql(f"DROP TABLE {name}")
