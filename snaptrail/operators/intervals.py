@@ -27,12 +27,8 @@ def position(df: DataFrame, name: str) -> Column:
     return F.floor(c).cast("long")
 
 
-def stabbed(intervals: DataFrame, points: DataFrame, by: list[str], at: str, first: str, gone: str) -> DataFrame:
-    """Every point with the intervals of equal ``by`` columns that hold it: first <= at, and gone is null or later than at.
-
-    Null keys match nothing, null points and null firsts neither; equal rows on either side all meet. Columns of the
-    points other than ``by`` come after those of the intervals and must have names of their own.
-    """
+def meeting(intervals: DataFrame, points: DataFrame, by: list[str], at: str, first: str, gone: str) -> DataFrame:
+    """Every point with the intervals of equal ``by`` columns that lie in one bucket with it, before the exact condition."""
     clash = (set(points.columns) & set(intervals.columns)) - set(by)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
@@ -48,6 +44,15 @@ def stabbed(intervals: DataFrame, points: DataFrame, by: list[str], at: str, fir
     bucketed = held.withColumn("__bucket", F.explode(F.sequence(F.expr("shiftright(__lo, 2 * __level)"), F.expr("shiftright(__hi, 2 * __level)"))))
     probes = F.array(*[F.struct(F.lit(k).alias("__level"), F.shiftright("__at", 2 * k).alias("__bucket")) for k in levels] or [F.struct(F.lit(-1).alias("__level"), F.lit(0).cast("long").alias("__bucket"))])
     probing = asked.select(*points.columns, F.inline(probes))
-    met = bucketed.join(probing, [*by, "__level", "__bucket"])
+    return bucketed.join(probing, [*by, "__level", "__bucket"])
+
+
+def stabbed(intervals: DataFrame, points: DataFrame, by: list[str], at: str, first: str, gone: str) -> DataFrame:
+    """Every point with the intervals of equal ``by`` columns that hold it: first <= at, and gone is null or later than at.
+
+    Null keys match nothing, null points and null firsts neither; equal rows on either side all meet. Columns of the
+    points other than ``by`` come after those of the intervals and must have names of their own.
+    """
     inside = (F.col(first) <= F.col(at)) & (F.col(gone).isNull() | (F.col(gone) > F.col(at)))
-    return met.filter(inside).select(*intervals.columns, *[c for c in points.columns if c not in by])
+    met = meeting(intervals, points, by, at, first, gone).filter(inside)
+    return met.select(*intervals.columns, *[c for c in points.columns if c not in by])
