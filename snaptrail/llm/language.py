@@ -7,8 +7,8 @@ on them, and texts are scored in batches: presence matrix times landmarks, times
 
 Only a sample is learned from, of about ``per_language`` texts a language (a documented bound; drawn by a hash of the
 id, whole texts); executors turn it into bit sets, so the driver gets 2 KB a text. ``most_texts`` bounds the sample over
-all languages and ``most_languages`` how many are learned (those with the most texts), so a column full of stray values
-can't fill the driver. Every text is scored whole.
+all languages, which share it (where there are more languages than that, those with the most texts do), so a column full
+of stray values can't fill the driver. Every text is scored whole.
 
 Defined results: null text or text without a letter is ``und`` with score 0; so is every text if nothing can be learned
 from; repeated rows stay repeated; a null id counts as the empty id when rows are held out; ties go to the language that
