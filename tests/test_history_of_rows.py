@@ -39,3 +39,32 @@ def test_history_of_rows(spark):
 
 def test_history_takes_one_shuffle(spark, sf_dir):
     assert shuffles(hq.history(spark, sf_dir)) == 1
+
+
+def test_several_snapshots_at_once(spark):
+    """As one by one, on rows with and without hashes, refusing what isn't newer, in more than one round."""
+    rows, snapshots = observed(spark, 7)
+    told = [(r["snapshot_id"], r["at"]) for r in snapshots.orderBy("snapshot_id").collect()]
+    hashed = identity.row_identity(rows, by=["snapshot_id"])
+    numbered, key = hist.numbered_rows(rows, snapshots).drop("at"), ("name", "kind", identity.NUMBER)
+    marks = [F.lit(None).cast("long" if m.endswith("_id") else "timestamp_ntz").alias(m) for m in hist.MARKS]
+    want = lines(hist.build_history(hashed, snapshots))
+    for obs, by in ((hashed, hist.KEY), (numbered, key)):
+        out = obs.filter("false").drop("snapshot_id").select("*", *marks)
+        for some, newest in ((told[:3], None), (told[3:], 3), (told[1:4], 8)):
+            out = hist.apply_snapshots(out, obs, some, newest, by)
+        assert lines(out if by == hist.KEY else identity.identified(out, ["name", "kind"])) == want
+
+
+def test_applying_takes_a_shuffle_for_two_snapshots(spark, sf_dir):
+    assert shuffles(hq.history_applied(spark, sf_dir)) <= 4
+
+
+def test_splicing_rows_without_hashes(spark):
+    rows, snapshots = observed(spark, 5)
+    told = {r["snapshot_id"]: r["at"] for r in snapshots.collect()}
+    key = ("name", "kind", identity.NUMBER)
+    stored = hist.history_of_rows(rows.filter("snapshot_id <> 3"), snapshots.filter("snapshot_id <> 3"))
+    late = identity.numbered(rows.filter("snapshot_id = 3").drop("snapshot_id"))
+    out = hist.splice_snapshot(stored, late, (3, told[3]), (2, told[2]), (4, told[4]), key)
+    assert lines(out) == lines(hist.history_of_rows(rows, snapshots))
