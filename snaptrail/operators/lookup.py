@@ -82,9 +82,10 @@ NAMED_BLOCKS = 5000
 
 def grams(text: Column) -> Column:
     """The distinct runs of three characters of a text."""
-    chars = F.split(text, "")
-    n = F.length(text)
-    runs = F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.concat(chars[i], chars[i + 1], chars[i + 2]))
+    # characters are split off a fixed number of times, not once a run: a long text costs no more a character than a short one
+    chars, n = F.split(text, ""), F.length(text)
+    after = lambda k: F.slice(chars, k + 1, F.greatest(n - GRAM + 1, F.lit(0)))
+    runs = reduce(lambda x, y: F.zip_with(x, y, lambda c, d: F.concat(c, d)), [after(k) for k in range(GRAM)])
     return F.when(n >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
