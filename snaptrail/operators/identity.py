@@ -8,7 +8,7 @@ on the multiset only.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -107,11 +107,23 @@ def hash_tree(rows: DataFrame, by: list[str], depths: DataFrame | None = None) -
 def canonical_hash(rows: DataFrame, by: list[str], table: str = "table") -> DataFrame:
     """(by..., table, row_hash) -> by..., canonical_hash; equal iff the multisets of row hashes are equal.
 
-    The roots of a hash tree a table, hashed per group: no task holds more than a leaf, however large a table is.
+    Row hashes (lower-case hexadecimal) of a table are hashed by their first ``LEVEL`` digits, these hashes a table, and the
+    tables a group: a fixed form, whatever the size. The leaves of large tables are large, so they are streamed in order.
     """
-    roots = hash_tree(rows, [*by, table]).filter("depth = 0")
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(table).alias("o"), F.col("h").alias("v"))))
-    return roots.groupBy(*by).agg(F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat(p["o"], F.lit(":"), p["v"])), ","), 256).alias("canonical_hash"))
+    leaf = [*by, table, "__prefix"]
+    raw = F.unhex("row_hash")
+    sure = F.when(F.lower(F.hex(raw)) == F.col("row_hash"), raw).otherwise(F.raise_error(F.concat(F.lit("not a row hash: "), "row_hash")))
+    # half as many bytes as digits are shuffled, once; equal row hashes (when identities were not numbered) are counted behind it
+    dealt = rows.select(*by, table, F.substring("row_hash", 1, LEVEL).alias("__prefix"), sure.alias("__raw")).repartition(*leaf)
+    counted = dealt.groupBy(*leaf, "__raw").agg(F.count("*").alias("__n"))
+    pieces = counted.sortWithinPartitions(*leaf, "__raw").select(*leaf, F.concat(F.lower(F.hex("__raw")), F.lit(":"), "__n").alias("__piece"))
+    schema = T.StructType([*[pieces.schema[c] for c in leaf], T.StructField("h", T.StringType())])
+    level = pieces.mapInArrow(_chained(schema, b",", str.encode), schema)
+    for order in ("__prefix", table):
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("h").alias("v"))))
+        rest = [c for c in level.columns if c not in (order, "h")]
+        level = level.groupBy(*rest).agg(F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat(p["o"], F.lit(":"), p["v"])), ","), 256).alias("h"))
+    return level.withColumnRenamed("h", "canonical_hash")
 
 
 def differing_leaves(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -153,18 +165,15 @@ def rows_of_leaves(stored: DataFrame, leaves: DataFrame) -> DataFrame:
     return keyed.join(prefixes.select(F.col("prefix").alias("__leaf")), "__leaf", "left_semi").drop("__leaf")
 
 
-def combine_hashes(parts: DataFrame, by: list[str], order: str, digest: str) -> DataFrame:
-    """One SHA-256 over part digests (hex) joined by ``|`` in part order; parts without a digest are left out.
-
-    The digest is a chain, so a group's parts are streamed through it in order; none is held in memory.
-    """
-    schema = T.StructType([*[parts.schema[c] for c in by], T.StructField("combined_hash", T.StringType())])
+def _chained(schema: T.StructType, separator: bytes, to_bytes: Callable[[str], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """SHA-256 over the joined last column of rows in order, a key (the columns before it); a chain, so nothing is held in memory."""
+    names, width = schema.names, len(schema.names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, begun, width = None, None, False, len(by)
+        key, state, begun = None, None, False
 
         def record(done: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
             kinds, done = [*batch.schema.types[:width], pa.string()], []
@@ -174,15 +183,25 @@ def combine_hashes(parts: DataFrame, by: list[str], order: str, digest: str) ->
                         done.append((*key, state.hexdigest()))
                     key, state, begun = now, hashlib.sha256(), False
                 if value is not None:
-                    state.update((b"|" if begun else b"") + bytes.fromhex(value))
+                    state.update((separator if begun else b"") + to_bytes(value))
                     begun = True
             if done:
                 yield record(done)
         if state is not None:
             yield record([(*key, state.hexdigest())])
 
+    return run
+
+
+def combine_hashes(parts: DataFrame, by: list[str], order: str, digest: str) -> DataFrame:
+    """One SHA-256 over part digests (hex) joined by ``|`` in part order; parts without a digest are left out.
+
+    The digest is a chain, so a group's parts are streamed through it in order; none is held in memory.
+    """
+    schema = T.StructType([*[parts.schema[c] for c in by], T.StructField("combined_hash", T.StringType())])
+
     places = [F.col(c).asc_nulls_first() for c in [*by, order, digest]]
-    return parts.select(*by, order, digest).repartition(*by).sortWithinPartitions(*places).select(*by, digest).mapInArrow(run, schema)
+    return parts.select(*by, order, digest).repartition(*by).sortWithinPartitions(*places).select(*by, digest).mapInArrow(_chained(schema, b"|", bytes.fromhex), schema)
 
 
 def unchanged(runs: DataFrame, source: str = "source", order: tuple[str, ...] = ("fetched_at", "id")) -> DataFrame:

@@ -85,7 +85,8 @@ def row_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.canonical_hash(hashed(spark, sf_dir).withColumn("table", F.col("status")), ["snapshot_id"])
+    rows = identity.identified(numbered(spark, sf_dir), st.VALUES)
+    return identity.canonical_hash(rows.withColumn("table", F.col("status")), ["snapshot_id"])
 
 
 def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

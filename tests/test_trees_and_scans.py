@@ -136,3 +136,21 @@ def test_rows_of_domains(spark):
     index = spark.createDataFrame([("www.a.com", "blocklist", 1), ("x.a.com", "licensees", 2), ("ba.com", "blocklist", 3), (None, "blocklist", 4)], "host string, kind string, n int")
     watch = spark.createDataFrame([("https://A.com/",), ("a.com",), (None,), ("ba.com",)], "domain string")
     assert sorted(map(tuple, lookup.domain_rows(index, watch).select("domain", "match", "n").collect())) == [("a.com", "exact", 1), ("a.com", "subdomain", 2), ("ba.com", "exact", 3)]
+
+
+def test_canonical_hash_is_the_same_form_at_any_size(spark, monkeypatch):
+    """Large tables are hashed by the first two digits like small ones; repeated row hashes count."""
+    import hashlib
+
+    rows = hashes(spark, 3000).select("table", "row_hash", F.lit(1).alias("r"))
+    rows = rows.union(rows.limit(1))
+    monkeypatch.setattr(identity, "LEAF_ROWS", 4)
+    leaves, counts = {}, {}
+    for r in rows.collect():
+        counts[r["row_hash"]] = counts.get(r["row_hash"], 0) + 1
+    for h in sorted(counts):
+        leaves.setdefault(h[:2], []).append(f"{h}:{counts[h]}")
+    sha = lambda parts: hashlib.sha256(",".join(parts).encode()).hexdigest()
+    table = rows.head()["table"]
+    want = sha([f"{table}:{sha([f'{k}:{sha(v)}' for k, v in sorted(leaves.items())])}"])
+    assert identity.canonical_hash(rows, ["r"]).head()["canonical_hash"] == want
