@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: buckets that an interval may touch beyond its first one
-FEW = 8
+FEW = 2
 
 
 def position(df: DataFrame, name: str) -> Column:
@@ -27,6 +27,17 @@ def position(df: DataFrame, name: str) -> Column:
     return F.floor(c).cast("long")
 
 
+def leveled(held: DataFrame) -> DataFrame:
+    """Intervals (``__lo`` to ``__hi``) with the ``__level`` of their buckets, which are 4 to the power of it wide."""
+    wide = F.greatest(F.lit(0), F.ceil(F.log2((F.col("__hi") - F.col("__lo")) / FEW) / 2)).cast("int")
+    return held.withColumn("__level", F.when(F.col("__hi") - F.col("__lo") <= FEW, 0).otherwise(wide))
+
+
+def touched() -> Column:
+    """The buckets that an interval touches at its level."""
+    return F.sequence(F.expr("shiftright(__lo, 2 * __level)"), F.expr("shiftright(__hi, 2 * __level)"))
+
+
 def meeting(intervals: DataFrame, points: DataFrame, by: list[str], at: str, first: str, gone: str) -> DataFrame:
     """Every point with the intervals of equal ``by`` columns that lie in one bucket with it, before the exact condition."""
     clash = (set(points.columns) & set(intervals.columns)) - set(by)
@@ -38,10 +49,9 @@ def meeting(intervals: DataFrame, points: DataFrame, by: list[str], at: str, fir
     low, high = span["lo"] or 0, span["hi"] or 0
     begin, end = F.greatest(position(intervals, first), F.lit(low)), F.least(F.coalesce(position(intervals, gone), F.lit(high)), F.lit(high))
     held = intervals.filter(F.col(first).isNotNull()).withColumns({"__lo": begin, "__hi": end}).filter("__lo <= __hi")
-    wide = F.greatest(F.lit(0), F.ceil(F.log2((F.col("__hi") - F.col("__lo")) / FEW) / 2)).cast("int")
-    held = held.withColumn("__level", F.when(F.col("__hi") - F.col("__lo") <= FEW, 0).otherwise(wide))
+    held = leveled(held)
     levels = sorted(r[0] for r in held.select("__level").distinct().collect())
-    bucketed = held.withColumn("__bucket", F.explode(F.sequence(F.expr("shiftright(__lo, 2 * __level)"), F.expr("shiftright(__hi, 2 * __level)"))))
+    bucketed = held.withColumn("__bucket", F.explode(touched()))
     probes = F.array(*[F.struct(F.lit(k).alias("__level"), F.shiftright("__at", 2 * k).alias("__bucket")) for k in levels] or [F.struct(F.lit(-1).alias("__level"), F.lit(0).cast("long").alias("__bucket"))])
     probing = asked.select(*points.columns, F.inline(probes))
     return bucketed.join(probing, [*by, "__level", "__bucket"])

@@ -147,7 +147,10 @@ def as_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff("o_orderdate", F.lit("1992-01-01"))
     points = st.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("account"), F.expr("timestamp_ntz'2023-12-31'").alias("from_day"), day.alias("day"))
     points = points.select("account", (F.col("from_day") + F.make_dt_interval(hours=F.col("day") % 130)).alias("asked_at"))
-    return hist.as_of_many(history(spark, sf_dir), points, ["account"], "asked_at").select("account", "asked_at", "row_hash", "licence_number", "activity", "first_seen_snapshot_id")
+    # versions meet points before they have hashes
+    held = hist.history_of_rows(st.licence_obs(spark, sf_dir), st.snapshots(spark)).select(*KEY, "first_seen_snapshot_id", "first_seen_at", "removed_at")
+    met = identity.identified(hist.as_of_many(held, points, ["account"], "asked_at"), st.VALUES)
+    return met.select("account", "asked_at", "row_hash", "licence_number", "activity", "first_seen_snapshot_id")
 
 
 def splice_late(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,11 @@ def test_splicing_rows_without_hashes(spark):
     late = identity.numbered(rows.filter("snapshot_id = 3").drop("snapshot_id"))
     out = hist.splice_snapshot(stored, late, (3, told[3]), (2, told[2]), (4, told[4]), key)
     assert lines(out) == lines(hist.history_of_rows(rows, snapshots))
+
+
+def test_intervals_take_few_buckets(spark):
+    """A version is repeated a few times at most before it meets points, however long it is."""
+    from snaptrail.operators.intervals import leveled, touched
+
+    spans = spark.range(5000).select((F.col("id") * 977).alias("__lo")).withColumn("__hi", F.col("__lo") + F.pow(F.lit(1.004), F.col("__lo") / 977).cast("long"))
+    assert leveled(spans).agg(F.max(F.size(touched()))).head()[0] <= 4
