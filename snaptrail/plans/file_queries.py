@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from snaptrail.functions.scalars import host
 from snaptrail.operators import extract as ex
 from snaptrail.operators import history as hist
+from snaptrail.operators import identity
 from snaptrail.plans import history_queries as hq
 from snaptrail.plans import log_queries as lq
 from snaptrail.plans import standins as st
@@ -65,7 +66,7 @@ def blob_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark)
     s = st.table(spark, sf_dir, "supplier")
     for k in range(5):  # the layout's folders, one a register
-        s.filter(F.col("s_nationkey") % 5 == k).select("s_name").write.option("maxRecordsPerFile", 1).text(f"{root}/r{k}/2024-01-0{k + 1}/run{k}")
+        readers.write_text_blobs(s.filter(F.col("s_nationkey") % 5 == k).select("s_name"), f"{root}/r{k}/2024-01-0{k + 1}/run{k}")
     return readers.read_blobs(spark, root).select("slug", "run_date", "run_id", "kind", F.decode("content", "UTF-8").alias("body"), "digest").filter("body <> ''")
 
 
@@ -91,11 +92,12 @@ def published_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of three snapshots as a bucketed table, to which the fourth is applied, stored as the next version."""
-    h, root, own = hq.hashed(spark, sf_dir), scratch(spark), ["row_hash", *st.VALUES]
+    obs, root, own = st.licence_obs(spark, sf_dir), scratch(spark), ["row_hash", *st.VALUES]
     name = f"history_{root.rsplit('/', 1)[1]}"
-    old = hist.build_history(h.filter("snapshot_id < 4"), st.snapshots(spark).filter("snapshot_id < 4"))
+    old = hist.build_history_of_rows(obs.filter("snapshot_id < 4"), st.snapshots(spark).filter("snapshot_id < 4"))
+    fourth = identity.row_identity(obs.filter("snapshot_id = 4").select(*st.VALUES)).select(*own)
     readers.write_history_table(old, f"{name}_3", f"{root}/3", 16)
-    new = hist.apply_snapshot(spark.table(f"{name}_3"), h.filter("snapshot_id = 4").select(*own), F.lit(4).cast("long"), F.expr("timestamp_ntz'2024-01-04'"), newest=F.lit(3).cast("long"))
+    new = hist.apply_snapshot(spark.table(f"{name}_3"), fourth, F.lit(4).cast("long"), F.expr("timestamp_ntz'2024-01-04'"), newest=F.lit(3).cast("long"))
     readers.write_history_table(new, f"{name}_4", f"{root}/4", 16)
     return spark.table(f"{name}_4")
 

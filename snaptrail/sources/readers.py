@@ -85,6 +85,12 @@ def read_blobs(spark: SparkSession, root: str) -> DataFrame:
     return known.select(part(1).alias("slug"), part(2).cast("date").alias("run_date"), part(3).alias("run_id"), part(4).alias("part"), F.lower(part(5)).alias("kind"), "content", F.sha2("content", 256).alias("digest"))
 
 
+def write_text_blobs(texts: DataFrame, path: str) -> None:
+    """A file a row. Files are written by as many tasks as there are cores, and put in their place by these, not by the driver."""
+    dealt = texts.repartition(max(2, texts.sparkSession.sparkContext.defaultParallelism))
+    dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 MANIFEST = (
     "run_id string, slug string, complete boolean, parts array<struct<name:string,url:string,kind:string,expected:boolean,problems:array<string>,digest:string>>, "
     "tables map<string,struct<rows:long,baseline_rows:long,problems:array<string>,warnings:array<string>>>"
