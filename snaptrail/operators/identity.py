@@ -8,8 +8,10 @@ on the multiset only.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,20 +92,32 @@ def hash_tree(rows: DataFrame, by: list[str], depths: DataFrame | None = None) -
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in by]
     placed = counted.alias("r").join(deep.alias("d"), same, "left").select("r.*", F.coalesce("depth", F.lit(LEVEL)).alias("depth"))
 
-    def fold(df: DataFrame, order: str, value: str) -> DataFrame:
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-        return df.groupBy(*by, "depth", "prefix").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat(p["o"], F.lit(":"), p["v"])), ","), 256).alias("h"))
+    level = _folded(placed.withColumns({"prefix": F.expr("substring(row_hash, 1, depth)"), "times": F.col("n").cast("string")}), by, "row_hash", "times")
+    return _tree_above(cut(level), by)
 
-    level = fold(placed.withColumns({"prefix": F.expr("substring(row_hash, 1, depth)"), "times": F.col("n").cast("string")}), "row_hash", "times")
-    tree = cut(level).withColumn("leaf", F.lit(True))
+
+def _folded(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return df.groupBy(*by, "depth", "prefix").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat(p["o"], F.lit(":"), p["v"])), ","), 256).alias("h"))
+
+
+def _tree_above(leaves: DataFrame, by: list[str]) -> DataFrame:
+    """Leaves (by..., depth, prefix, n, h; kept somewhere) and the nodes above them."""
+    tree = leaves.withColumn("leaf", F.lit(True))
     deepest = tree.agg(F.max("depth")).head()[0] or 0
     for depth in range(deepest - LEVEL, -1, -LEVEL):
         children = tree.filter(F.col("depth") == depth + LEVEL).withColumn("child", F.substring("prefix", depth + 1, LEVEL))
-        parents = fold(children.withColumns({"depth": F.lit(depth), "prefix": F.substring("prefix", 1, depth) if depth else F.lit("")}), "child", "h")
+        parents = _folded(children.withColumns({"depth": F.lit(depth), "prefix": F.substring("prefix", 1, depth) if depth else F.lit("")}), by, "child", "h")
         tree = tree.unionByName(cut(parents).withColumn("leaf", F.lit(False)))
     return tree
 
 
+def _bytes_of(name: str) -> Column:
+    """Row hashes (lower-case hexadecimal) as bytes, half as many."""
+    raw = F.unhex(name)
+    return F.when(F.lower(F.hex(raw)) == F.col(name), raw).otherwise(F.raise_error(F.concat(F.lit("not a row hash: "), name)))
+
+
 def canonical_hash(rows: DataFrame, by: list[str], table: str = "table") -> DataFrame:
     """(by..., table, row_hash) -> by..., canonical_hash; equal iff the multisets of row hashes are equal.
 
@@ -111,8 +125,7 @@ def canonical_hash(rows: DataFrame, by: list[str], table: str = "table") -> Data
     tables a group: a fixed form, whatever the size. The leaves of large tables are large, so they are streamed in order.
     """
     leaf = [*by, table, "__prefix"]
-    raw = F.unhex("row_hash")
-    sure = F.when(F.lower(F.hex(raw)) == F.col("row_hash"), raw).otherwise(F.raise_error(F.concat(F.lit("not a row hash: "), "row_hash")))
+    sure = _bytes_of("row_hash")
     # half as many bytes as digits are shuffled, once; equal row hashes (when identities were not numbered) are counted behind it
     dealt = rows.select(*by, table, F.substring("row_hash", 1, LEVEL).alias("__prefix"), sure.alias("__raw")).repartition(*leaf)
     counted = dealt.groupBy(*leaf, "__raw").agg(F.count("*").alias("__n"))
@@ -165,6 +178,112 @@ def rows_of_leaves(stored: DataFrame, leaves: DataFrame) -> DataFrame:
     return keyed.join(prefixes.select(F.col("prefix").alias("__leaf")), "__leaf", "left_semi").drop("__leaf")
 
 
+#: rows that a task sorts into leaves, at most, when shuffles have too few partitions for that
+TASK_ROWS = 2_000_000
+LEAVES = "depth int, prefix string, n long, h string, row_hashes binary, bucket string"
+
+
+def _leaf_hash(rows: np.ndarray) -> str:
+    """The hash of a leaf as ``hash_tree`` makes it, of its sorted row hashes (one row of bytes each)."""
+    places = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
+    digits, times = rows[places].tobytes().hex().encode(), np.diff(np.r_[places, len(rows)])
+    width = 2 * rows.shape[1]
+    if len(places) < len(rows):
+        return hashlib.sha256(b",".join(b"%s:%d" % (digits[i * width : (i + 1) * width], n) for i, n in enumerate(times))).hexdigest()
+    text = np.empty((len(rows), width + 3), np.uint8)
+    text[:, :width], text[:, width:] = np.frombuffer(digits, np.uint8).reshape(-1, width), np.frombuffer(b":1,", np.uint8)
+    return hashlib.sha256(text.tobytes()[:-1]).hexdigest()
+
+
+def _into_leaves(schema: T.StructType, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(by..., depth, bytes of the row hash), in order, to leaves (schema); only the leaf that is being read is held."""
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, done = None, [], []
+
+        def close() -> None:
+            if held:
+                rows = np.concatenate(held)
+                done.append((*key[:-1], key[-1].hex(), len(rows), _leaf_hash(rows), rows.tobytes()))
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            *keys, raw = batch.columns
+            kinds = [*(k.type for k in keys), pa.string(), pa.int64(), pa.string(), pa.binary()]
+            rows = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, width)
+            new = np.zeros(len(rows), bool)
+            for k in keys:
+                codes = k.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            # a tree's leaves are equally deep
+            for a, b in itertools.pairwise([0, *np.flatnonzero(new).tolist(), len(rows)]):
+                group = [k[a].as_py() for k in keys]
+                lead = rows[a:b, : group[-1] // 2]
+                for c, d in itertools.pairwise([a, *(a + 1 + np.flatnonzero((lead[1:] != lead[:-1]).any(axis=1))).tolist(), b]):
+                    now = (*group, lead[c - a].tobytes())
+                    if now != key:
+                        close()
+                        key = now
+                    held.append(rows[c:d])
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
+                done.clear()
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def write_leaves(rows: DataFrame, path: str, by: list[str], counts: DataFrame) -> None:
+    """Rows (by..., row_hash) stored as the leaves of their hash trees, in folders by group and first digits.
+
+    A leaf is one row: its depth, prefix, number of rows, hash, and its sorted row hashes as bytes, one behind the other. Rows
+    are shuffled once, as bytes, by ranges that no leaf crosses. ``counts`` has as many rows (by...) in each group as ``rows``.
+    """
+    deep = cut(tree_depths(counts, by))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in by]
+    placed = rows.select(*by, _bytes_of("row_hash").alias("__raw")).alias("r").join(F.broadcast(deep.alias("d")), same, "left").select("r.*", F.coalesce("depth", F.lit(LEVEL)).alias("depth"))
+    parts = counts.count() // TASK_ROWS + 1
+    lead = F.expr("substring(__raw, 1, depth div 2)")
+    dealt = placed.repartitionByRange(parts, lead) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else placed.repartitionByRange(lead)
+    kinds = {f.name: f for f in placed.schema}
+    schema = T.StructType([*[kinds[c] for c in [*by, "depth"]], *T.StructType.fromDDL("prefix string, n long, h string, row_hashes binary")])
+    leaves = dealt.sortWithinPartitions(*by, "__raw").select(*by, "depth", "__raw").mapInArrow(_into_leaves(schema, 32), schema)
+    leaves.withColumn("bucket", F.substring("prefix", 1, LEVEL)).write.partitionBy(*by, "bucket").parquet(path)
+
+
+def stored_tree(leaves: DataFrame, by: list[str]) -> DataFrame:
+    """The trees (as ``hash_tree`` makes them) above stored leaves, whose row hashes aren't read."""
+    return _tree_above(cut(leaves.select(*by, "depth", "prefix", "n", "h")), by)
+
+
+def diff_of_leaves(a: DataFrame, b: DataFrame, differing: DataFrame) -> DataFrame:
+    """(row_hash, side) of rows added and removed between the stored leaves of two trees, of which only the differing ones are read.
+
+    Leaves are shuffled as they are stored, and their rows are compared where the leaves meet.
+    """
+    prefixes = cut(differing.select("prefix", F.length("prefix").alias("digits")).distinct())
+    # at most 256 folders, and one length a level
+    folders = sorted({r[0] for r in prefixes.select(F.substring("prefix", 1, LEVEL)).distinct().collect()})
+    lengths = sorted(r[0] for r in prefixes.select("digits").distinct().collect())
+    sides = []
+    for stored, was in ((a, True), (b, False)):
+        read = stored if "" in folders else stored.filter(F.col("bucket").isin(folders))
+        keys = F.array(*[F.substring("prefix", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>")
+        keyed = read.select(F.explode(F.array_distinct(keys)).alias("prefix"), "n", "row_hashes")
+        sides.append(keyed.join(prefixes.select("prefix"), "prefix", "left_semi").withColumn("was", F.lit(was)))
+    # dealt by leaves, so equal rows of both sides are together
+    met = sides[0].unionByName(sides[1]).repartition("prefix")
+    at = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+    each = met.select("prefix", "was", F.explode(F.transform(at, lambda i: F.substring("row_hashes", i * 32 + 1, F.lit(32)))).alias("raw"))
+    told = each.groupBy("prefix", "raw").agg(F.bool_or("was").alias("was"), F.bool_and("was").alias("gone")).filter("NOT was OR gone")
+    return told.select(F.lower(F.hex("raw")).alias("row_hash"), F.when(F.col("gone"), "removed").otherwise("added").alias("side"))
+
+
 def _chained(schema: T.StructType, separator: bytes, to_bytes: Callable[[str], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """SHA-256 over the joined last column of rows in order, a key (the columns before it); a chain, so nothing is held in memory."""
     names, width = schema.names, len(schema.names) - 1

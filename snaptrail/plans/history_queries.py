@@ -112,16 +112,14 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows added and removed between two snapshots, read from the folders below which their hash trees differ."""
-    h, root = hashed(spark, sf_dir), scratch(spark)
-    sides, trees = [], []
-    for i in (1, 2):
-        rows = h.filter(F.col("snapshot_id") == i).select("row_hash")
-        identity.write_rows_by_hash(rows, f"{root}/{i}")
-        sides.append(spark.read.option("basePath", f"{root}/{i}").schema("row_hash string, bucket string").parquet(f"{root}/{i}"))
-        trees.append(identity.hash_tree(rows.withColumn("table", F.lit("licences")), ["table"]))
-    leaves = identity.differing_leaves(*trees, ["table"])
-    return hist.diff_snapshots(*[identity.rows_of_leaves(s, leaves) for s in sides]).filter("side <> 'unchanged'")
+    """Rows added and removed between two snapshots, read from the leaves in which their hash trees differ."""
+    obs, path = st.licence_obs(spark, sf_dir).filter("snapshot_id <= 2"), scratch(spark)
+    rows = identity.identified(hist.numbered_rows(obs, st.snapshots(spark).filter("snapshot_id <= 2")), st.VALUES)
+    identity.write_leaves(rows, path, ["snapshot_id"], obs.select("snapshot_id"))
+    stored = spark.read.schema(f"{identity.LEAVES}, snapshot_id long").parquet(path)
+    tree = identity.stored_tree(stored, ["snapshot_id"]).withColumn("table", F.lit("licences"))
+    differing = identity.differing_leaves(*[tree.filter(F.col("snapshot_id") == i) for i in (1, 2)], ["table"])
+    return identity.diff_of_leaves(*[stored.filter(F.col("snapshot_id") == i) for i in (1, 2)], differing)
 
 
 def history_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
