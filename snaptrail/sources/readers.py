@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaptrail.functions.scalars import nfc, strip
+from snaptrail.operators.cuts import cut
 
 #: files whose headers may be sent to every executor
 HEADS = 100_000
@@ -29,24 +30,36 @@ def read_csv_strict(spark: SparkSession, paths: str | list[str], columns: list[s
     raw = spark.read.csv(paths, schema=schema, header=False, multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", encoding="UTF-8", escape='"')
     # a file is read by one task, so positions in it are in order
     located = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), *names, "__bad")
-    return checked_rows(located, columns, expected, skip_lines)
+    # files are read for their headers once, and once for their rows
+    return checked_rows(located, columns, expected, cut(heads_of(located, columns, expected, skip_lines)))
 
 
-def checked_rows(located: DataFrame, columns: list[str], expected: list[str], skip_lines: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, problems) of parsed records: file, pos (orders the records of a file), ``_0``, ``_1``, ... and ``__bad``."""
+def filled_rows(located: DataFrame, columns: list[str]) -> DataFrame:
+    """Parsed records (file, pos, which orders the records of a file, ``_0``, ``_1``, ... and ``__bad``) with cleaned cells; blank rows go."""
     names = [f"_{i}" for i in range(len(columns))]
     cells = [strip(F.regexp_replace(F.col(n), "^\\x{FEFF}", "") if i == 0 else F.col(n)) for i, n in enumerate(names)]
-    cleaned = located.select("file", "pos", F.col("__bad").isNotNull().alias("ragged"), *[c.alias(n) for c, n in zip(cells, names, strict=True)])
-    filled = cleaned.filter(F.col("ragged") | F.coalesce(*names).isNotNull())
+    row = F.struct(F.col("__bad").isNotNull().alias("ragged"), *[c.alias(n) for c, n in zip(cells, names, strict=True)])
+    # as a generated row, cells are cleaned once, not again in every filter on them
+    cleaned = located.select("file", "pos", F.inline(F.array(row)))
+    return cleaned.filter(F.col("ragged") | F.coalesce(*names).isNotNull())
+
+
+def heads_of(located: DataFrame, columns: list[str], expected: list[str], skip_lines: int) -> DataFrame:
+    """(file, head_pos, ok): the header of each file, and whether it is the expected one."""
+    names, lead = [f"_{i}" for i in range(len(columns))], filled_rows(located, columns)
     # the header is the first row behind those skipped; each task keeps its own first rows of a file before they meet
-    firsts = F.slice(F.array_sort(F.collect_list(F.struct("pos", "ragged", *names))), skip_lines + 1, 1)[0] if skip_lines else F.min(F.struct("pos", "ragged", *names))
-    lead = filled
+    firsts = F.get(F.array_sort(F.collect_list(F.struct("pos", "ragged", *names))), F.lit(skip_lines)) if skip_lines else F.min(F.struct("pos", "ragged", *names))
     if skip_lines:
-        lead = filled.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).filter(F.col("n") <= skip_lines + 1)
+        lead = lead.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).filter(F.col("n") <= skip_lines + 1)
     heads = lead.groupBy("file").agg(firsts.alias("head"))
     is_expected = F.array(*[F.col(f"head.{n}") for n in names]) == F.array(*[F.lit(e) for e in expected])
-    heads = heads.select("file", F.col("head.pos").alias("head_pos"), (F.coalesce(is_expected, F.lit(False)) & ~F.coalesce("head.ragged", F.lit(True))).alias("ok"))
-    body = filled.join(F.broadcast(heads) if heads.limit(HEADS + 1).count() <= HEADS else heads, "file").filter("ok AND pos > head_pos")
+    return heads.select("file", F.col("head.pos").alias("head_pos"), (F.coalesce(is_expected, F.lit(False)) & ~F.coalesce("head.ragged", F.lit(True))).alias("ok"))
+
+
+def checked_rows(located: DataFrame, columns: list[str], expected: list[str], heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, problems) of parsed records (see ``filled_rows``) and the files' headers (see ``heads_of``; kept somewhere)."""
+    names = [f"_{i}" for i in range(len(columns))]
+    body = filled_rows(located, columns).join(F.broadcast(heads) if heads.limit(HEADS + 1).count() <= HEADS else heads, "file").filter("ok AND pos > head_pos")
     # Spark reads the broken-row column only together with another one
     ragged = body.filter(F.col("ragged") & (F.length(F.concat_ws("", *names)) >= 0)).groupBy("file").agg(F.concat(F.lit("RAGGED_ROWS:"), F.count("*")).alias("problem"))
     problems = heads.filter("NOT ok").select("file", F.lit("HEADER_MISMATCH").alias("problem")).unionByName(ragged)

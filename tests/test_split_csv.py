@@ -64,3 +64,28 @@ def test_blocks_skip_lines(spark, tmp_path, small_blocks):
     (tmp_path / "a.csv").write_text("Title,,\n\n,note,\nA,B,C\n" + "".join(f'{i},"x\n{i}",y\n' for i in range(200)))
     rows, _ = split_csv.read_csv_blocks(spark, str(tmp_path / "a.csv"), ["a", "b", "c"], ["A", "B", "C"], skip_lines=2)
     assert sorted(int(r["a"]) for r in rows.collect()) == list(range(200))
+
+
+@pytest.mark.parametrize("lead", [0, 3, 1000])
+def test_headers_beyond_the_first_lines(spark, tmp_path, small_blocks, monkeypatch, lead):
+    """Headers behind many blank rows, behind a record over many blocks, and in no row at all."""
+    monkeypatch.setattr(split_csv, "LEAD", lead)
+    (tmp_path / "a.csv").write_text("Title,,\n" + ",,\n\n" * 200 + "A,B,C\n" + "".join(f'{i},"x\n{i}",y\n' for i in range(50)))
+    (tmp_path / "b.csv").write_text('"' + "a title of many lines\n" * 60 + '",,\nA,B,C\n' + "".join(f'{i},"""x\n",y\n' for i in range(50, 80)))
+    (tmp_path / "c.csv").write_text("only a title,,\n")
+    (tmp_path / "d.csv").write_text(",,\n\n")
+    rows, problems = split_csv.read_csv_blocks(spark, str(tmp_path), ["a", "b", "c"], ["A", "B", "C"], skip_lines=1)
+    assert sorted(int(r["a"]) for r in rows.collect()) == list(range(80))
+    assert [(r["file"][-5:], r["problem"]) for r in problems.collect()] == [("c.csv", "HEADER_MISMATCH")]
+
+
+def test_files_are_read_few_times(spark, tmp_path):
+    """For the blocks' states, headers, records over edges, and rows: where it took six times."""
+    path, sc = tmp_path / "a.csv", spark.sparkContext._jsc.sc()
+    path.write_text("A,B,C\n" + "".join(f'{i},"two\nlines",""\n' for i in range(200_000)))
+    told = []
+    for run in (lambda: None, lambda: split_csv.read_csv_blocks(spark, str(path), ["a", "b", "c"], ["A", "B", "C"])[0].write.format("noop").mode("overwrite").save()):
+        run()
+        sc.listenerBus().waitUntilEmpty()
+        told.append(sc.statusStore().executorList(True).head().totalInputBytes())
+    assert path.stat().st_size < told[1] - told[0] < 4.6 * path.stat().st_size
