@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StringType
 
 from snaptrail.operators import scans
@@ -125,31 +127,54 @@ class _Tables(HTMLParser):
             self.end_row(self.stack.pop())
 
 
-def table_rows(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, table_no, row_no, cells) of every non-empty table row; a document at a time."""
+def _rows_of(page: str | None) -> list[tuple[int, int, list[str]]]:
+    parser = _Tables()
+    parser.feed(page or "")
+    parser.close()
+    return parser.rows
+
+
+def _each_page(docs: DataFrame, key: str, html: str, found: Callable[[str | None], list[tuple]], columns: str) -> DataFrame:
+    """(key, columns...): what is found in each page, read once."""
+    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(columns)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32() if f.dataType == T.IntegerType() else pa.list_(pa.string()) if isinstance(f.dataType, T.ArrayType) else pa.string() for f in schema.fields[1:]]
         for batch in batches:
-            out = []
-            for k, page in zip(batch[key], batch[html], strict=True):
-                parser = _Tables()
-                parser.feed(page or "")
-                parser.close()
-                out += [(k, *row) for row in parser.rows]
-            yield pd.DataFrame(out, columns=[key, "table_no", "row_no", "cells"])
+            places, out = [], []
+            for i, page in enumerate(batch.column(1).to_pylist()):
+                rows = found(page)
+                places += [i] * len(rows)
+                out += rows
+            keys = batch.column(0).take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], schema.names)
 
-    return docs.select(key, html).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, table_no int, row_no int, cells array<string>")
+    return docs.select(key, html).mapInArrow(run, schema)
+
+
+def table_rows(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, table_no, row_no, cells) of every non-empty table row; a document at a time."""
+    return _each_page(docs, key, html, _rows_of, "table_no int, row_no int, cells array<string>")
 
 
 def html_tables(docs: DataFrame, expected: list[str], key: str, html: str = "html") -> tuple[DataFrame, DataFrame]:
-    """(rows, problems): rows below a first row equal to the header; NO_TABLE or HEADER_MISMATCH otherwise."""
-    rows = table_rows(docs, key, html)
-    head = F.array(*[F.lit(e) for e in expected])
-    first = rows.filter("row_no = 0").select(key, "table_no", (F.col("cells") == head).alias("ok"))
-    good = rows.filter("row_no > 0").join(first.filter("ok"), [key, "table_no"], "left_semi").select(key, "table_no", "row_no", *[strip(F.get("cells", i)).alias(e) for i, e in enumerate(expected)])
-    state = docs.select(key).join(first.groupBy(key).agg(F.max("ok").alias("ok")), key, "left")
-    problem = F.when(F.col("ok").isNull(), "NO_TABLE").when(~F.col("ok"), "HEADER_MISMATCH")
-    return good, state.select(key, problem.alias("problem")).filter("problem IS NOT NULL")
+    """(rows, problems): rows below a first row equal to the header; NO_TABLE or HEADER_MISMATCH otherwise.
+
+    A page is judged where it is read, once for either result; nothing is shuffled.
+    """
+
+    def below_header(page: str | None) -> list[tuple]:
+        rows = _rows_of(page)
+        good = {table for table, row, cells in rows if row == 0 and cells == expected}
+        return [r for r in rows if r[1] > 0 and r[0] in good]
+
+    def problem(page: str | None) -> list[tuple]:
+        firsts = [cells for _, row, cells in _rows_of(page) if row == 0]
+        return [] if expected in firsts else [("HEADER_MISMATCH" if firsts else "NO_TABLE",)]
+
+    good = _each_page(docs, key, html, below_header, "table_no int, row_no int, cells array<string>")
+    rows = good.select(key, "table_no", "row_no", *[strip(F.get("cells", i)).alias(e) for i, e in enumerate(expected)])
+    return rows, _each_page(docs, key, html, problem, "problem string")
 
 
 def kv_tables(rows: DataFrame, key: str, wanted: str) -> DataFrame:

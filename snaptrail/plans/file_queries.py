@@ -137,7 +137,7 @@ def made_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(F.col("c_custkey") % 7 == 0, "<tr><th>Other</th></tr>").otherwise("<tr><th>Name <b>of</b></th><th>Segment</th></tr>")
     body = F.concat(F.lit("<tr><td> "), "c_name", F.lit("<td>"), "c_mktsegment", F.lit("&amp;co<tr><td></td></tr><tr><td>second</td><td> </td></tr>"))
     page = F.when(F.col("c_custkey") % 11 == 0, "<p>none</p>").otherwise(F.concat(F.lit("<div><table>"), head, body, F.lit("</table>")))
-    return st.table(spark, sf_dir, "customer").select("c_custkey", page.alias("html"))
+    return st.dealt(st.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select("c_custkey", page.alias("html"))
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,8 @@ def table_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit("<table><tr><td>Company</td><td>"), "s_name", F.lit("</td></tr><tr><td>Nation</td><td>"), "s_nationkey", F.lit("</td></tr><tr><td>Nation</td><td>n"), "s_nationkey", F.lit("</td></tr></table><table><tr><td>x</td><td>y</td></tr></table>"))
-    rows = ex.table_rows(st.table(spark, sf_dir, "supplier").select("s_suppkey", page.alias("html")), "s_suppkey")
+    suppliers = st.dealt(st.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
+    rows = ex.table_rows(suppliers.select("s_suppkey", page.alias("html")), "s_suppkey")
     return ex.kv_tables(rows, "s_suppkey", "Company").select("s_suppkey", F.col("record")["Company"].alias("company"), F.col("record")["Nation"].alias("nation"))
 
 

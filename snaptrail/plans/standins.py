@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows of which pages are made, over as many tasks as shuffles have.
+
+    One small file (one row group) holds very many, which one task would have to read as pages. The number is named, as few
+    bytes a row would else be put together to few tasks again.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log: one run an event."""
     e = table(spark, sf_dir, "events")

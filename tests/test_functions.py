@@ -169,6 +169,24 @@ def test_tables_in_pages(spark):
     assert {(r["k"], r["problem"]) for r in problems.collect()} == {(2, "NO_TABLE"), (3, "HEADER_MISMATCH")}
 
 
+def test_a_page_is_judged_by_itself(spark):
+    """Also where a key is null or repeated."""
+    good, other = "<table><tr><td>A</td></tr><tr><td>1</td></tr></table>", "<table><tr><td>B</td></tr><tr><td>2</td></tr></table>"
+    df = spark.createDataFrame([(None, good), (5, good), (5, other), (6, None), (7, other + good)], "k int, html string")
+    rows, problems = extract.html_tables(df, ["A"], "k")
+    assert sorted((r["k"] or 0, r["table_no"], r["row_no"], r["A"]) for r in rows.collect()) == [(0, 0, 1, "1"), (5, 0, 1, "1"), (7, 1, 1, "1")]
+    assert sorted(map(tuple, problems.collect())) == [(5, "HEADER_MISMATCH"), (6, "NO_TABLE")]
+
+
+@pytest.mark.parametrize("query", ["table_cells", "table_problems", "key_values"])
+def test_pages_are_read_once_by_all_tasks(spark, sf_dir, query):
+    """The pages made of one small file are dealt before they are read, and none is read a second time to be joined."""
+    from snaptrail.plans import file_queries
+
+    plan = file_queries.QUERIES[query][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "REPARTITION_BY_NUM" in plan[plan.index("MapInArrow") :]
+
+
 def test_urls(spark):
     base = "https://x.org/a/b?c"
     cases = {"http://y.de/z": "http://y.de/z", "//y.de/z": "https://y.de/z", "/r": "https://x.org/r", "f.csv": "https://x.org/a/f.csv", "?p=1": "https://x.org/a/b?p=1", "#t": "https://x.org/a/b?c#t"}
