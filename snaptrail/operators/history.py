@@ -80,12 +80,15 @@ def apply_snapshots(history: DataFrame, observations: DataFrame, snapshots: list
         ordinal = history.sparkSession.createDataFrame(told, f"snapshot_id {kinds['first_seen_snapshot_id']}, at {kinds['first_seen_at']}, ordinal int")
         olds = [m for m in MARKS if not m.startswith("removed")]
         current = history.filter(F.col("removed_snapshot_id").isNull()).select(*key, *own, F.lit(0).alias("__o"), *[F.col(m).alias(f"__{m}") for m in olds])
-        coming = observations.join(F.broadcast(ordinal.select("snapshot_id", F.col("ordinal").alias("__o"))), "snapshot_id")
+        # looked up, not joined: rows keep the partitions in which they come
+        places = F.create_map(*[x for i, _, n in told[1:] for x in (F.lit(i).cast(kinds["first_seen_snapshot_id"]), F.lit(n))])
+        coming = observations.withColumn("__o", F.try_element_at(places, F.col("snapshot_id").cast(kinds["first_seen_snapshot_id"]))).filter("__o IS NOT NULL")
         coming = coming.select(*key, *own, "__o", *[F.lit(None).cast(kinds[m]).alias(f"__{m}") for m in olds])
         bit = F.expr("shiftleft(1L, __o)")
         # a row keeps the values that it came with first
         values = [F.min_by(F.struct(*own), "__o").alias("__own")] if own else []
-        both = current.unionByName(coming)
+        # in this order Spark sees that both are dealt alike, if they are (a table in buckets, rows counted by its columns)
+        both = coming.unionByName(current)
         met = (both.repartitionByRange(*key) if ranges else both).groupBy(*key).agg(F.bit_or(bit).alias("__bits"), *values, *[F.max(f"__{m}").alias(f"__{m}") for m in olds])
         at = F.filter(F.array(*[F.lit(i) for i in range(len(some) + 1)]), lambda i: F.getbit("__bits", i) == 1)
         rows = versions(met.select(*key, *[F.col(f"__own.{c}") for c in own], *[f"__{m}" for m in olds], at.alias("__at")), ordinal)

@@ -92,14 +92,15 @@ def published_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of three snapshots as a bucketed table, to which the fourth is applied, stored as the next version."""
-    obs, root, own = st.licence_obs(spark, sf_dir), scratch(spark), ["row_hash", *st.VALUES]
-    name = f"history_{root.rsplit('/', 1)[1]}"
-    old = hist.build_history_of_rows(obs.filter("snapshot_id < 4"), st.snapshots(spark).filter("snapshot_id < 4"))
-    fourth = identity.row_identity(obs.filter("snapshot_id = 4").select(*st.VALUES)).select(*own)
-    readers.write_history_table(old, f"{name}_3", f"{root}/3", 16)
-    new = hist.apply_snapshot(spark.table(f"{name}_3"), fourth, F.lit(4).cast("long"), F.expr("timestamp_ntz'2024-01-04'"), newest=F.lit(3).cast("long"))
-    readers.write_history_table(new, f"{name}_4", f"{root}/4", 16)
-    return spark.table(f"{name}_4")
+    obs, root, buckets = st.licence_obs(spark, sf_dir), scratch(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, snaps = f"history_{root.rsplit('/', 1)[1]}", st.snapshots(spark)
+    old = hist.history_of_rows(obs.filter("snapshot_id < 4"), snaps.filter("snapshot_id < 4"))
+    readers.write_history_table(old, f"{name}_3", f"{root}/3", buckets, st.VALUES)
+    fourth = identity.numbered(obs.filter("snapshot_id = 4").select(*st.VALUES)).withColumn("snapshot_id", F.lit(4).cast("long"))
+    told = [(r["snapshot_id"], r["at"]) for r in snaps.filter("snapshot_id = 4").collect()]  # one row a snapshot
+    new = hist.apply_snapshots(spark.table(f"{name}_3"), fourth, told, 3, hq.KEY)
+    readers.write_history_table(new, f"{name}_4", f"{root}/4", buckets, st.VALUES)
+    return hq.with_hash(spark.table(f"{name}_4"))
 
 
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,13 +125,16 @@ def write_history(history: DataFrame, root: str, version: int) -> str:
     return path
 
 
-def write_history_table(history: DataFrame, name: str, path: str, buckets: int) -> None:
-    """A version of a history as a table in buckets of ``row_hash``, its files below ``path``; an existing table is never written over.
+def write_history_table(history: DataFrame, name: str, path: str, buckets: int, key: tuple[str, ...] = ("row_hash",)) -> None:
+    """A version of a history as a table in buckets of ``key``, its files below ``path``; an existing table is never written over.
 
-    Applying a snapshot to such a table (``apply_snapshot`` on ``spark.table``) shuffles the snapshot's rows only. The same
-    number of buckets must be kept from version to version; a bucket should fit a task.
+    Applying a snapshot to such a table shuffles the snapshot's rows only: ``apply_snapshot`` on ``spark.table`` for buckets of
+    ``row_hash``, ``apply_snapshots`` for buckets of columns of its key. Rows without hashes take a fraction of the room; all
+    copies of a row lie in its bucket then. The same number of buckets must be kept from version to version; a bucket should
+    fit a task. With as many buckets as shuffles have partitions, rows counted by ``key`` come in buckets already.
     """
-    history.write.bucketBy(buckets, "row_hash").sortBy("row_hash").option("path", path).mode("errorifexists").saveAsTable(name)
+    stored = history.write.bucketBy(buckets, *key).sortBy(*key).option("path", path).option("compression", "zstd")
+    stored.mode("errorifexists").saveAsTable(name)
 
 
 def write_snapshot_log(log: DataFrame, path: str) -> None:

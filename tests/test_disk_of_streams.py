@@ -1,4 +1,4 @@
-"""What streams of snapshots leave on disk."""
+"""What streams of snapshots and histories in buckets leave on disk."""
 
 import datetime as dt
 import os
@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from snaptrail.operators import history as hist
+from snaptrail.operators import identity
 from snaptrail.plans import file_queries as fq
 from snaptrail.plans import history_queries as hq
+from snaptrail.sources import readers
 from snaptrail.streaming import streams
 
 
@@ -97,3 +99,40 @@ def test_applying_in_ranges(spark):
     late = (5, dt.datetime(2024, 1, 5))
     spliced = [hist.spliced_versions(out[0].filter("last_seen_snapshot_id = 4"), obs.filter("snapshot_id = 2").drop("snapshot_id", "at"), late, (4, at[4]), None, KEY, ranges=r) for r in (False, True)]
     assert lines(spliced[0].drop("change")) == lines(spliced[1].drop("change"))
+
+
+def test_buckets_take_little_disk(spark, sf_dir):
+    """Two stored versions take a few times the room of the history's values, as no hash is stored."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = size(shared)
+    history = fq.history_in_buckets(spark, sf_dir)
+    taken = size(shared) - before
+    one = f"{shared}/one_{random.random()}"
+    hq.history(spark, sf_dir).drop("row_hash").coalesce(1).write.parquet(one)
+    assert taken < 2.5 * size(one)
+    assert history.count() == hq.history(spark, sf_dir).count()
+
+
+@pytest.mark.parametrize("buckets", [4, 7])
+def test_applying_to_buckets_of_values(spark, tmp_path, buckets):
+    """Rows without hashes, some null, some many times, meet a table in buckets of their values; the table isn't shuffled if shuffles have as many partitions."""
+    at = {i: dt.datetime(2024, 1, i) for i in range(1, 5)}
+    rows = [(i, f"name {k}" if k % 7 else None, k % 3 if k % 5 else None) for i in at for k in range(60) for _ in range(200 if k == 7 else 1 + k % 2) if (k * i) % 5 != 1]
+    obs = spark.createDataFrame(rows, "snapshot_id long, name string, kind int")
+    snapshots = spark.createDataFrame(list(at.items()), "snapshot_id long, at timestamp_ntz")
+    name, path = f"values_{os.getpid()}_{buckets}", str(tmp_path / "table")
+    old = hist.history_of_rows(obs.filter("snapshot_id < 4"), snapshots.filter("snapshot_id < 4"))
+    readers.write_history_table(old, name, path, buckets, ("name", "kind"))
+    try:
+        fourth = identity.numbered(obs.filter("snapshot_id = 4").drop("snapshot_id")).withColumn("snapshot_id", F.lit(4).cast("long"))
+        new = hist.apply_snapshots(spark.table(name), fourth, [(4, at[4])], 3, KEY)
+        assert lines(new) == lines(hist.history_of_rows(obs, snapshots))
+        if buckets == 4:
+            plan = new._jdf.queryExecution().executedPlan().toString()
+            assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+            readers.write_history_table(new, f"{name}_next", f"{path}_next", buckets, ("name", "kind"))
+            assert lines(spark.table(f"{name}_next")) == lines(new)
+            assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) <= buckets
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}_next")
